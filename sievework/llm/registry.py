@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
+    "op10_mixing": mixing.SQL,
 }
