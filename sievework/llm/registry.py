@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing
+from . import bpe, exact_dedup, jaccard_join, mixing
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
