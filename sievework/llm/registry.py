@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, mixing
+from . import bpe, exact_dedup, jaccard_join, mixing, quality
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
