@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, mixing, quality
+from . import bpe, exact_dedup, jaccard_join, language_id, mixing, quality
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op4_bpe": bpe.op4_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
