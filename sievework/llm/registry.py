@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_id, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, jaccard_join, language_id, mixing, quality, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,11 +10,13 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
+    "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
+    "op8_chat": chat.SQL,
     "op10_mixing": mixing.SQL,
 }
