@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, language_id, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, jaccard_join, language_id, maxent, mixing, quality, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_maxent": maxent.op2_maxent,
     "op4_bpe": bpe.op4_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
