@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, language_id, maxent, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, jaccard_join, language_id, licenses, maxent, mixing, quality, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_maxent": maxent.op2_maxent,
+    "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
