@@ -57,7 +57,12 @@ class Classes:
         self.lows = np.array(lows, np.int64)
         # A pair passes when down * i >= up * (a + b - i), so a + b - 2 * i <= (a + b) * (down - up) / (down + up).
         most = 2 * (self.lows[1:] - 1) * (down - up) // (down + up)
+        # Parts to spare for empty ones: what the class's smallest set has by chance, and some more.
         self.spare = 2 + most // 100
+        for _ in range(6):
+            parts = most + 1 + self.spare
+            empty = parts * np.exp(-self.lows[:-1] / parts)
+            self.spare = np.minimum(np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64), most + 2)
         #: No parts: such small sets pass only if they are equal.
         self.parts = np.where(most > 0, most + 1 + self.spare, 0)
 
@@ -80,13 +85,13 @@ def _keys_in(cls: Classes, grams: np.ndarray, owner: np.ndarray, label: np.ndarr
     at = np.flatnonzero(new)
     content = np.add.reduceat(tk.mix(grams + U64(0x51ED2701)), at)
     name = lambda c, p: tk.mix(c.astype(np.uint64) << U64(40) | p)
-    keys, who = tk.mix(content + name(of[at], part[at])), owner[at]
+    keys, who, filled_by = tk.mix(content + name(of[at], part[at])), owner[at], owner[at]
     # A set with more empty parts than the class has to spare may agree with another on empty parts alone.
     texts, filled = np.unique(who, return_counts=True)
     few = np.flatnonzero(cls.parts[label[texts]] - filled > cls.spare[label[texts]])
     for t in few:
         c = label[texts[t]]
-        empty = np.setdiff1d(np.arange(cls.parts[c], dtype=np.uint64), part[at][who == texts[t]])
+        empty = np.setdiff1d(np.arange(cls.parts[c], dtype=np.uint64), part[at][filled_by == texts[t]])
         keys = np.concatenate((keys, tk.mix(name(np.full(len(empty), c), empty) + U64(0xE3779B))))
         who = np.concatenate((who, np.full(len(empty), texts[t])))
     return keys, who
