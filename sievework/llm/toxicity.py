@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import fold, read, small_batches
 
-SAMPLE, LANDMARKS, CANDIDATES = 3000, 192, 2000
+SAMPLE, LANDMARKS, CANDIDATES = 1500, 192, 400
 LAMBDA, SPAN, FLOOR, BITS = 0.7, 5, 0.45, 15
 THRESHOLD, CLOSE = 0.3, 0.005
 #: A landmark is in so many toxic documents of the sample, and so large a share of them, at least.
 LEAST, LEAST_SHARE = 3, 0.005
 #: Groups of landmarks that have a bound of their own.
 GROUPS = 24
+#: Words that a worker remembers as far from all landmarks, before it starts anew.
+FAR = 500_000
+#: And as close to one.
+CLOSE_WORDS = 200_000
 #: Places of the second and third letter after the first.
 PAIRS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 _KEPT = np.zeros(256, bool)
@@ -118,10 +122,9 @@ class Landmarks:
                 for i in range(lo, hi - k):
                     table[code[i], m] += LAMBDA ** (k - 2) / norm[m]
         self.table = table
-        self.bound = table.max(1) if self.words else np.zeros(1 << BITS, np.float32)
         own = self.kernel(data, starts, ends) if self.words else np.zeros((0, 0))
         values, vectors = np.linalg.eigh((own + own.T) / 2 + 0.05 * np.eye(len(own))) if self.words else (np.zeros(0), own)
-        self.whiten = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+        self.whiten = ((vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
         # Landmarks alike form a group; the largest weight in a group bounds each of its kernels.
         leaders: list[int] = []
         group = np.zeros(len(self.words), np.int64)
@@ -130,14 +133,21 @@ class Landmarks:
             if not close and len(leaders) < GROUPS:
                 leaders.append(m)
             group[m] = close[0] if close else len(leaders) - 1 if leaders[-1] == m else m % GROUPS
-        self.group_bound = np.stack([table[:, group == g].max(1) for g in range(len(leaders))], 1) if leaders else np.zeros((1 << BITS, 0), np.float32)
+        bound = lambda of, n: np.stack([table[:, of == g].max(1) for g in range(n) if (of == g).any()], 1) if leaders else np.zeros((1 << BITS, 0), np.float32)
+        self.bounds = (bound(group // 4, GROUPS), bound(group, GROUPS))
+        #: Hashes of words known to be far from every landmark, by this worker.
+        self.far: set[int] = set()
+        #: And where the kernels of those that aren't stand.
+        self.close: dict[int, int] = {}
+        self.kernels = np.zeros((1024, len(self.words)), np.float16)
 
     @staticmethod
     def _sums(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word the sum of its subsequences' rows of the table, scaled by the word's length."""
         out = np.zeros((len(starts), table.shape[1]), np.float32)
-        for lo in range(0, len(starts), 8192):
-            some = slice(lo, lo + 8192)
+        step = max(256, 160_000 // max(table.shape[1], 16))
+        for lo in range(0, len(starts), step):
+            some = slice(lo, lo + step)
             size = ends[some] - starts[some]
             word = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -159,7 +169,7 @@ class Landmarks:
     def near(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words whose kernel with some landmark may be above the floor, by bounds ever closer."""
         found = np.arange(len(starts))
-        for table in (self.bound[:, None], self.group_bound):
+        for table in self.bounds:
             if len(found):
                 found = found[self._sums(table, data, starts[found], ends[found]).max(1) >= FLOOR]
         return found
@@ -168,17 +178,17 @@ class Landmarks:
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000.0) -> np.ndarray:
     """A linear support vector machine with squared hinge by Newton steps over its active rows; the last weight is the
     bias."""
-    x = np.concatenate((x, np.ones((len(x), 1))), 1)
+    x = np.concatenate((x, np.ones((len(x), 1))), 1).astype(np.float32)
     sign = np.where(y, 1.0, -1.0)
     weight = 2 * cost * weight / weight.sum()
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     now, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(60):
-        part = x[active] * weight[active][:, None]
-        new = np.linalg.solve(ridge + part.T @ x[active], part.T @ sign[active])
+        own = x[active]
+        new = np.linalg.solve(ridge + (own * weight[active][:, None].astype(np.float32)).T @ own, own.T @ (weight * sign)[active])
         now = new if _ < 20 else (now + new) / 2
-        wrong = sign * (x @ now) < 1
+        wrong = sign * (x @ now.astype(np.float32)) < 1
         if (wrong == active).all():
             break
         active = wrong
@@ -221,17 +231,29 @@ class Model:
             return np.zeros((0, len(self.landmarks.words))), np.zeros(0, np.int64)
         spans = tk.Texts(words.data, np.array([len(words.data) - 1]), 0).hashes(words.starts, words.ends)
         # Each different word once.
-        _, first, which = np.unique(spans, return_index=True, return_inverse=True)
-        some = self.landmarks.near(words.data, words.starts[first], words.ends[first])
-        row = np.full(len(first), -1)
-        row[some] = np.arange(len(some))
+        different, first, which = np.unique(spans, return_index=True, return_inverse=True)
+        marks = self.landmarks
+        names = different.tolist()
+        if len(marks.far) > FAR:
+            marks.far.clear()
+        if len(marks.close) > CLOSE_WORDS // 2:
+            marks.close.clear()
+        new = np.array([i for i, h in enumerate(names) if h not in marks.far and h not in marks.close], np.int64)
+        found = new[marks.near(words.data, words.starts[first[new]], words.ends[first[new]])]
+        marks.far.update(np.setdiff1d(different[new], different[found]).tolist())
+        base = len(marks.close)
+        marks.close.update((names[i], base + k) for k, i in enumerate(found.tolist()))
+        if base + len(found) > len(marks.kernels):
+            marks.kernels = np.concatenate((marks.kernels, np.zeros((base + 2 * len(found), marks.kernels.shape[1]), np.float16)))
+        marks.kernels[base : base + len(found)] = marks.kernel(words.data, words.starts[first[found]], words.ends[first[found]])
+        row = np.array([marks.close.get(h, -1) for h in names])
         near = np.flatnonzero(row[which] >= 0)
         if not len(near):
             return np.zeros((0, len(self.landmarks.words))), near
-        kernels = self.landmarks.kernel(words.data, words.starts[first[some]], words.ends[first[some]])[row[which[near]]]
+        kernels = marks.kernels[row[which[near]]]
         sentence = words.sentences[near]
         cuts = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
-        return np.maximum.reduceat(kernels, cuts), words.texts[near][cuts]
+        return np.maximum.reduceat(kernels, cuts).astype(np.float32), words.texts[near][cuts]
 
     def decide(self, kernels: np.ndarray) -> np.ndarray:
         return kernels @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1]
@@ -250,19 +272,28 @@ class Model:
 
 def _chosen(pieces: list[tk.Texts], toxic: np.ndarray) -> Landmarks:
     """Words that tell toxic documents from others, best first, each unlike those before."""
-    seen = (Counter(), Counter())
-    for piece in pieces:
-        words = Words(piece)
-        own = set(zip(words.texts.tolist(), (words.string(i) for i in range(len(words.starts))), strict=True))
-        for text, word in own:
-            if 3 <= len(word) <= 40:
-                seen[int(toxic[piece.first + text])][word] += 1
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    value = {w: (np.log((c + 0.2) / n1) - np.log((seen[0][w] + 0.2) / n0)) * np.sqrt(c) for w, c in seen[1].items() if c >= max(LEAST, LEAST_SHARE * n1)}
+    least = max(LEAST, LEAST_SHARE * n1)
+
+    def holding(label: bool, only: set[bytes] | None) -> Counter:
+        """Documents of the label that hold each word."""
+        out: Counter = Counter()
+        for piece in pieces:
+            words = Words(piece)
+            use = np.flatnonzero((toxic[piece.first + words.texts] == label) & (words.ends - words.starts >= 5) & (words.ends - words.starts <= 42))
+            # Once for each text and word.
+            spans = tk.Texts(words.data, np.array([len(words.data) - 1]), 0).hashes(words.starts[use], words.ends[use])
+            _, first = np.unique(spans + words.texts[use].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+            out.update(w for w in map(words.string, use[first]) if only is None or w in only)
+        return out
+
+    bad = {w: c for w, c in holding(True, None).items() if c >= least}
+    good = holding(False, set(bad))
+    value = {w: (np.log((c + 0.2) / n1) - np.log((good[w] + 0.2) / n0)) * np.sqrt(c) for w, c in bad.items()}
     best = sorted((w for w in value if value[w] > 0), key=lambda w: (-value[w], w))[:CANDIDATES]
     chosen: list[bytes] = []
     if best:
-        alike = Landmarks(best[:CANDIDATES])
+        alike = Landmarks(best)
         data, starts, ends = _letters(best)
         taken = np.zeros(len(best), bool)
         far = np.ones(len(best), bool)
@@ -290,9 +321,15 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
         return none
     weigh = lambda y: np.where(y, prior / max(y.sum(), 1), (1 - prior) / max((~y).sum(), 1))
     model = Model(landmarks, np.zeros(len(landmarks.words) + 1), (1.0, 0.0))
-    found = [model.sentences(p) for p in pieces]
-    kernels, owner = np.concatenate([k for k, _ in found]), np.concatenate([t + p.first for (_, t), p in zip(found, pieces, strict=True)])
-    whole = np.zeros((len(texts), len(landmarks.words)))
+    found = []
+    for piece in pieces:
+        kernels, owner = model.sentences(piece)
+        # Sentences far from every landmark look like the empty one, which is added below.
+        some = kernels.max(1) >= 0.1 if len(kernels) else np.zeros(0, bool)
+        found.append((kernels[some].astype(np.float32), owner[some] + piece.first))
+    kernels, owner = np.concatenate([k for k, _ in found]), np.concatenate([t for _, t in found])
+    del found
+    whole = np.zeros((len(texts), len(landmarks.words)), np.float32)
     np.maximum.at(whole, owner, kernels)
     even = lambda y: np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
     model.weights = _machine(whole @ landmarks.whiten, toxic, even(toxic))
@@ -329,7 +366,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score. The model is a few MB whatever the corpus."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Without what the driver remembers of words.
+    sent = docs.sparkSession.sparkContext.broadcast(Model(Landmarks(model.landmarks.words), model.weights, model.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
