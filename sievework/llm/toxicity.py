@@ -358,7 +358,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = F.when(F.col("toxic"), F.lit(sizes.get(True, 0))).otherwise(F.lit(sizes.get(False, 0)))
     some = marked.withColumn("chance", chance).where(F.col("chance") * size < 1.3 * SAMPLE + 30)
     some = some.withColumn("place", F.expr("row_number() over (partition by toxic order by chance, id)")).where(F.col("place") <= SAMPLE)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").select("toxic", "text", "chance").toPandas().sort_values(["chance", "toxic", "text"])
+    # 2 * SAMPLE rows at most, so texts stay where they are.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("toxic", "text", "chance").toPandas().sort_values(["chance", "toxic", "text"])
     total = sum(sizes.values())
     return fit([t or "" for t in rows["text"]], rows["toxic"].to_numpy(bool), sizes.get(True, 0) / total if total else 0.0)
 
