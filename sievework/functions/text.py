@@ -77,14 +77,18 @@ def fts_query(text: Column, prefix_last: bool = False) -> Column:
     return F.when(F.size(found) > 0, F.array_join(patterns(found, prefix_last), " OR "))
 
 
+def _starting(pattern: str):
+    return lambda w: w.rlike(pattern)
+
+
 def kind_hints(text: Column) -> Column:
     """Kinds that a query asks for; a Bengali or Arabic kind word also at the start of a longer word."""
     found = words(text)
     hits = []
     for kind, names in KIND_WORDS.items():
         exact = F.arrays_overlap(found, F.array(*map(F.lit, names.split())))
-        stems = [n for n in names.split() if ord(n[0]) > 0x5FF and len(n) >= 3]
-        longer = F.exists(found, lambda w, s=stems: F.coalesce(*[F.when(w.startswith(x), True) for x in s], F.lit(False))) if stems else F.lit(False)
+        stems = "|".join(n for n in names.split() if ord(n[0]) > 0x5FF and len(n) >= 3)
+        longer = F.exists(found, _starting(f"^({stems})")) if stems else F.lit(False)
         hits.append(F.when(exact | longer, F.lit(kind)))
     return F.array_compact(F.array(*hits))
 
