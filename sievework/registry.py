@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.functions import embedding, passages
 from sievework.functions import text as T
 from sievework.operators import estimate as E
 from sievework.operators import evaluate as V
@@ -453,7 +454,7 @@ def _ranks(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem),
-r AS (SELECT l_orderkey, l_returnflag AS tag, min(rank) AS rank FROM h WHERE l_linenumber = 1 GROUP BY 1, 2)
+r AS (SELECT e.l_orderkey, e.l_returnflag AS tag, min(h.rank) AS rank FROM lineitem e JOIN h ON h.l_orderkey = e.l_orderkey AND h.l_partkey = e.l_partkey AND h.l_linenumber = 1 WHERE e.l_linenumber = 1 GROUP BY 1, 2)
 SELECT coalesce(tag, 'ALL') AS tag, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS r5,
 round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS r10, round(avg(CASE WHEN rank <= 10 THEN 1e0 / rank ELSE 0e0 END), 6) AS mrr FROM r GROUP BY ROLLUP (tag)""")
 def eval_recall_mrr(spark, sf_dir):
@@ -577,3 +578,29 @@ def semi_join_counts(spark, sf_dir):
 def anti_join_parts(spark, sf_dir):
     big = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").join(big, "p_partkey", "left_anti").select("p_partkey")
+
+
+@query()
+def snippets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.lower("text").contains("erst"))
+    return d.select("doc_id", passages.snippet_of(F.col("text"), ["erst"]).alias("snippet"))
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS problem FROM documents")
+def page_problems(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", passages.page_problem(F.col("text")).alias("problem"))
+
+
+@query()
+def embedded_texts(spark, sf_dir):
+    return embedding.embedded(table(spark, sf_dir, "benchmark"), "text").select("item_id", "vec", "error")
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1")
+def content_digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS INT) AS distance FROM events")
+def hamming_distances(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).cast("int").alias("distance"))
