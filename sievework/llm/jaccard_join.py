@@ -5,11 +5,13 @@ Only rows of the incidence matrix that can pass the threshold meet in a block:
 1. Documents with the same set are one row of the matrix (they are linked with each other).
 2. Sets whose sizes differ too much for the threshold never meet: a set belongs to a size class, and near a class's
    upper bound to the next one as well. Two sets of one class that pass differ in at most d n-grams, where d follows
-   from the class's sizes. The class cuts the hash range into more than d parts, so two such sets agree on a whole
-   part, and the part's content is a key on which they meet. Parts hold about seven n-grams, so a passage that many
-   documents share doesn't bring them together.
-3. The connected groups of sets that share keys are the blocks of the product. A group larger than a block is cut
-   into size bands and chunks, and only chunks of equal or neighbouring bands are multiplied.
+   from the class's sizes. The class cuts the hash range into more than d / 2 parts, so in some part two such sets
+   differ in one n-gram at most, and agree on all but one of its sub-parts. Each part has a key for each sub-part left
+   out, the others' content; on one of them the two sets meet. Keys hold five n-grams or more, so a passage that many
+   documents share seldom brings them together.
+3. The connected groups of sets that share keys are the blocks of the product. A group larger than a block is first
+   cut down by the product of parity sketches, whose distance is a lower bound on the sets' own, and then into size
+   bands and chunks, of which only equal or neighbouring bands are multiplied.
 4. Within a block the product is accumulated over slabs of n-gram columns; pairs whose overlap is below the bound of
    their two sizes are discarded, the others are links. A block returns, for each row, its number of links and the
    least row that it reaches; components then join the blocks' results.
@@ -36,13 +38,17 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .shared import read, small_batches, written
+from .shared import read, small_batches, small_side, written
 
 WINDOW = 3
 #: A threshold of UP / DOWN = 0.9.
 UP, DOWN = 90, 100
 #: Documents, n-grams in a chunk; n-gram columns in a slab of the product.
 CHUNK, CHUNK_GRAMS, SLAB = 128, 1_000_000, 4096
+#: Bits of a sketch, and rows of a chunk of sketches.
+SKETCH, WIDE_CHUNK = 1024, 1024
+#: Sub-parts of a part of the hash range.
+SUBS = 3
 U64 = np.uint64
 
 
@@ -57,14 +63,15 @@ class Classes:
         self.lows = np.array(lows, np.int64)
         # A pair passes when down * i >= up * (a + b - i), so a + b - 2 * i <= (a + b) * (down - up) / (down + up).
         most = 2 * (self.lows[1:] - 1) * (down - up) // (down + up)
-        # Parts to spare for empty ones: what the class's smallest set has by chance, and some more.
+        # At most half of so many differences' parts hold two or more of them. Parts to spare for those with an empty
+        # key: what the class's smallest set has by chance, and some more.
         self.spare = 2 + most // 100
         for _ in range(6):
-            parts = most + 1 + self.spare
-            empty = parts * np.exp(-self.lows[:-1] / parts)
-            self.spare = np.minimum(np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64), most + 2)
+            parts = most // 2 + 1 + self.spare
+            empty = parts * SUBS * np.exp(-self.lows[:-1] / parts * (SUBS - 1) / SUBS)
+            self.spare = np.minimum(np.ceil(empty + 4 * np.sqrt(empty) + 1).astype(np.int64), most // 2 + 2)
         #: No parts: such small sets pass only if they are equal.
-        self.parts = np.where(most > 0, most + 1 + self.spare, 0)
+        self.parts = np.where(most > 0, most // 2 + 1 + self.spare, 0)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, n, "right") - 1
@@ -74,27 +81,41 @@ class Classes:
 
 
 def _keys_in(cls: Classes, grams: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and texts of all parts; label: each text's class, -1 for none. grams are sorted by text and hash."""
+    """Keys and texts; label: each text's class, -1 for none. grams are sorted by text and hash."""
     use = label[owner] >= 0
     grams, owner = grams[use], owner[use]
     if not len(grams):
         return grams, owner
-    of = label[owner]
-    part = ((grams >> U64(20)) * cls.parts[of].astype(np.uint64)) >> U64(32)
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
-    at = np.flatnonzero(new)
-    content = np.add.reduceat(tk.mix(grams + U64(0x51ED2701)), at)
-    name = lambda c, p: tk.mix(c.astype(np.uint64) << U64(40) | p)
-    keys, who, filled_by = tk.mix(content + name(of[at], part[at])), owner[at], owner[at]
-    # A set with more empty parts than the class has to spare may agree with another on empty parts alone.
-    texts, filled = np.unique(who, return_counts=True)
-    few = np.flatnonzero(cls.parts[label[texts]] - filled > cls.spare[label[texts]])
-    for t in few:
-        c = label[texts[t]]
-        empty = np.setdiff1d(np.arange(cls.parts[c], dtype=np.uint64), part[at][filled_by == texts[t]])
-        keys = np.concatenate((keys, tk.mix(name(np.full(len(empty), c), empty) + U64(0xE3779B))))
-        who = np.concatenate((who, np.full(len(empty), texts[t])))
-    return keys, who
+    fine = (((grams >> U64(20)) * (cls.parts[label[owner]] * SUBS).astype(np.uint64)) >> U64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (fine[1:] != fine[:-1]))))
+    text, part, sub = owner[at], fine[at] // SUBS, fine[at] % SUBS
+    content = tk.mix(np.add.reduceat(tk.mix(grams + U64(0x51ED2701)), at) + sub.astype(np.uint64))
+    new = np.concatenate(([True], (text[1:] != text[:-1]) | (part[1:] != part[:-1])))
+    row = np.cumsum(new) - 1
+    held, filled = np.zeros((row[-1] + 1, SUBS), np.uint64), np.zeros((row[-1] + 1, SUBS), np.int64)
+    held[row, sub], filled[row, sub] = content, 1
+    text, part = text[new], part[new]
+    name = lambda c, p, j: tk.mix((c.astype(np.uint64) << U64(40) | p.astype(np.uint64)) * U64(SUBS) + U64(j))
+    keys, who, hollow = [], [], np.zeros(len(text), bool)
+    for j in range(SUBS):
+        # All but one sub-part.
+        full = filled.sum(1) > filled[:, j]
+        hollow |= ~full
+        key = tk.mix(held.sum(1, dtype=np.uint64) - held[:, j] + name(label[text], part, j))
+        keys.append(key[full])
+        who.append(text[full])
+    # A set with more hollow parts than its class has to spare may agree with another on empty keys alone.
+    texts, rows, empty = *np.unique(text, return_counts=True), np.bincount(text, hollow)
+    missing = cls.parts[label[texts]] - rows + empty[texts].astype(np.int64)
+    for t in texts[missing > cls.spare[label[texts]]]:
+        own = np.flatnonzero(text == t)
+        sizes = np.zeros((int(cls.parts[label[t]]), SUBS), np.int64)
+        sizes[part[own]] = filled[own]
+        for j in range(SUBS):
+            hole = np.flatnonzero(sizes.sum(1) == sizes[:, j])
+            keys.append(tk.mix(name(np.full(len(hole), label[t]), hole, j) + U64(0xE3779B)))
+            who.append(np.full(len(hole), t))
+    return np.concatenate(keys), np.concatenate(who)
 
 
 def _sets(piece: tk.Texts, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,29 +124,66 @@ def _sets(piece: tk.Texts, window: int) -> tuple[np.ndarray, np.ndarray]:
     return tk.sets(*tk.windows(low.hashes(starts, ends), text_of, window, piece.n, short=True))
 
 
-def _described(window: int, cls: Classes):
-    """Rows (id, text) to (id, n, key1, key2, parts)."""
+def _set_keys(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's whole set."""
+    key1, key2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if len(grams):
+        at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        key1[owner[at]] = np.add.reduceat(tk.mix(grams + U64(1)), at)
+        key2[owner[at]] = np.add.reduceat(tk.mix(grams ^ U64(0xA5A5A5A5A5A5)), at)
+    return key1, key2
+
+
+def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """For each text SKETCH bits, each the parity of the n-grams hashed to it: two sets' sketches differ in at most as
+    many bits as the sets do in n-grams."""
+    bit = (tk.mix(grams + U64(0x5CE7C4)) & U64(SKETCH - 1)).astype(np.int64)
+    parity = np.bincount(owner * SKETCH + bit, minlength=n * SKETCH).reshape(n, SKETCH) & 1
+    return [row.tobytes() for row in np.packbits(parity.astype(np.uint8), axis=1)]
+
+
+def _described(window: int):
+    """Rows (id, text) to (id, n, key1, key2, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tk.pieces(batch.column(1)):
+                grams, owner = _sets(piece, window)
+                key1, key2 = _set_keys(grams, owner, piece.n)
+                ids = batch.column(0).slice(piece.first, piece.n)
+                sketches = []
+                for lo in range(0, piece.n, 256):
+                    a, b = np.searchsorted(owner, (lo, lo + 256))
+                    sketches += _sketches(grams[a:b], owner[a:b] - lo, min(256, piece.n - lo))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(tk.counts_of(owner, piece.n)), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(sketches, pa.binary())], ["id", "n", "key1", "key2", "sketch"])
+
+    return run
+
+
+def _keyed(window: int, cls: Classes):
+    """Rows (id, text) to (part, node): the keys of each different set, whose node is an id. A task gives a set's keys
+    once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for piece in tk.pieces(batch.column(1)):
                 grams, owner = _sets(piece, window)
                 n = tk.counts_of(owner, piece.n)
-                key1, key2 = np.zeros(piece.n, np.uint64), np.zeros(piece.n, np.uint64)
-                if len(grams):
-                    at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                    key1[owner[at]] = np.add.reduceat(tk.mix(grams + U64(1)), at)
-                    key2[owner[at]] = np.add.reduceat(tk.mix(grams ^ U64(0xA5A5A5A5A5A5)), at)
+                node = batch.column(0).slice(piece.first, piece.n).to_numpy()
+                new = np.zeros(piece.n, bool)
+                for i, key in enumerate(_set_keys(grams, owner, piece.n)[0].tolist()):
+                    if n[i] and key not in seen:
+                        new[i] = True
+                        seen.add(key)
+                if len(seen) > 2_000_000:
+                    seen.clear()
                 own = cls.of(np.maximum(n, 1))
-                usable = (n > 0) & (cls.parts[own] > 0)
-                after = (n > 0) & cls.reaches_next(n, own) & (cls.parts[own + 1] > 0)
+                usable = new & (cls.parts[own] > 0)
+                after = new & cls.reaches_next(n, own) & (cls.parts[own + 1] > 0)
                 found = [_keys_in(cls, grams, owner, np.where(mask, c, -1)) for mask, c in ((usable, own), (after, own + 1))]
-                keys, who = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                order = np.argsort(who, kind="stable")
-                offsets = np.concatenate(([0], np.cumsum(tk.counts_of(who, piece.n)))).astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
-                ids = batch.column(0).slice(piece.first, piece.n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), parts], ["id", "n", "key1", "key2", "parts"])
+                keys, who = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who])], ["part", "node"])
 
     return run
 
@@ -162,11 +220,26 @@ def _least_reached(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = new
 
 
+def _possible(up: int, down: int):
+    """Blocks of rows with sketches to (id, low): low is the least row that it reaches by pairs that may pass."""
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        ids, n, side = (table[c].to_numpy() for c in ("id", "n", "side"))
+        bits = np.unpackbits(np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8)).reshape(len(ids), SKETCH)
+        signs = bits.astype(np.float32) * 2 - 1
+        differ = ((SKETCH - signs @ signs.T) / 2).astype(np.int64)
+        pairs = (differ * (up + down) <= (down - up) * (n[:, None] + n[None, :])) & (np.minimum(n[:, None], n[None, :]) * down >= up * np.maximum(n[:, None], n[None, :]))
+        if len(np.unique(side)) > 1:
+            pairs &= side[:, None] != side[None, :]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_least_reached(pairs, ids))], ["id", "low"])
+
+    return _by_block(block)
+
+
 def _linked(window: int, up: int, down: int):
-    """Sorted rows (root, band, x, y, side, id, copies, text), whole blocks in turn, to (id, low, links)."""
+    """Blocks of rows with texts to (id, low, links)."""
 
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
+    def block(table: pa.Table) -> pa.RecordBatch:
         grams: list[np.ndarray] = []
         for piece in tk.pieces(table["text"]):
             found, owner = _sets(piece, window)
@@ -175,6 +248,15 @@ def _linked(window: int, up: int, down: int):
         links = _product(grams, table["side"].to_numpy(), up, down)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_least_reached(links, ids)), pa.array(links @ copies)], ["id", "low", "links"])
 
+    return _by_block(block)
+
+
+def _by_block(of_table):
+    """Rows sorted by (root, band, x, y), whole blocks in turn; `of_table` gets each block's rows."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return of_table(pa.Table.from_batches(rows))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         held_key = None
@@ -194,16 +276,20 @@ def _linked(window: int, up: int, down: int):
     return run
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(root, id, n, copies) to (root, band, x, y, side, id, copies): each pair of sets that can pass is in one block."""
+def _sized(members: DataFrame) -> DataFrame:
+    """members (root, id, n, copies, sketch) with `fits`: whether their group is no larger than a block."""
     whole = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
-    members = members.join(whole, "root")
-    fits = (F.col("m") <= CHUNK) & (F.col("grams") <= 2 * CHUNK_GRAMS)
-    none = F.lit(0)
-    small = members.where(fits).select("root", none.alias("band"), none.alias("x"), none.alias("y"), none.alias("side"), "id", "copies")
+    return members.join(whole, "root").withColumn("fits", (F.col("m") <= CHUNK) & (F.col("grams") <= 2 * CHUNK_GRAMS))
+
+
+def _blocks(members: DataFrame, chunk: int, grams: int) -> DataFrame:
+    """`_sized` members to (root, band, x, y, side, id, n, copies, sketch): each pair of sets that can pass is in one
+    block. chunk, grams: what a chunk of a group that doesn't fit holds."""
+    none, kept = F.lit(0), ("id", "n", "copies", "sketch")
+    small = members.where("fits").select("root", none.alias("band"), none.alias("x"), none.alias("y"), none.alias("side"), *kept)
     # Sizes that differ by more than one band are further apart than the threshold allows.
-    large = members.where(~fits).withColumn("b", F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int"))
-    bands = large.groupBy("root", "b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    large = members.where("not fits").withColumn("b", F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int"))
+    bands = large.groupBy("root", "b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / grams)).cast("int").alias("chunks"))
     near = lambda by, name: bands.select("root", (F.col("b") + by).alias("b"), F.col("chunks").alias(name))
     large = large.join(bands, ["root", "b"]).join(near(-1, "above"), ["root", "b"], "left").join(near(1, "below"), ["root", "b"], "left")
     x = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -213,8 +299,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     within = to(F.col("chunks"), lambda y: place(2 * F.col("b") + 2, F.least("c", y), F.greatest("c", y), F.when(F.col("c") > y, 1).otherwise(0)))
     upward = to(F.coalesce("above", none), lambda y: place(2 * F.col("b") + 3, F.col("c"), y, F.lit(0)))
     downward = to(F.coalesce("below", none), lambda y: place(2 * F.col("b") + 1, y, F.col("c"), F.lit(1)))
-    large = large.select("root", F.explode(F.concat(within, upward, downward)).alias("p"), "id", "copies")
-    return small.union(large.select("root", "p.band", "p.x", "p.y", "p.side", "id", "copies"))
+    large = large.select("root", F.explode(F.concat(within, upward, downward)).alias("p"), *kept)
+    return small.union(large.select("root", "p.band", "p.x", "p.y", "p.side", *kept))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, up: int = UP, down: int = DOWN) -> DataFrame:
@@ -222,21 +308,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(texts.mapInArrow(_described(window, Classes(up, down)), "id long, n long, key1 long, key2 long, parts array<long>"), "ngram-sets")
+    sets = written(texts.mapInArrow(_described(window), "id long, n long, key1 long, key2 long, sketch binary"), "ngram-sets")
     same = ["key1", "key2", "n"]
-    rows = sets.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows = sets.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     rows = written(rows, "ngram-rows")
-    reps = rows.select(F.col("rep").alias("id"), *same, "copies")
-
-    keyed = sets.join(reps.select("id", *same), ["id", *same], "left_semi").select("id", F.explode("parts").alias("part"))
-    earlier = F.expr("min(id) over (partition by part order by id rows between unbounded preceding and current row)")
-    met = keyed.select("id", earlier.alias("first")).where("first < id").distinct()
-    groups = written(components(met, "first", "id").withColumnRenamed("node", "id").withColumnRenamed("component", "root"), "ngram-groups")
 
-    members = groups.join(reps.select("id", "n", "copies"), "id")
-    blocks = _blocks(members)
-    loaded = blocks.join(texts, "id").select("root", "band", "x", "y", "side", "id", "copies", "text")
-    loaded = loaded.repartition("root", "band", "x", "y").sortWithinPartitions("root", "band", "x", "y")
+    keyed = texts.where("id is not null").mapInArrow(_keyed(window, Classes(up, down)), "part long, node long")
+    earlier = F.expr("min(node) over (partition by part order by node rows between unbounded preceding and current row)")
+    met = keyed.select("node", earlier.alias("first")).where("first < node").distinct()
+    groups = written(components(met, "first", "node").withColumnRenamed("component", "root"), "ngram-groups")
+
+    # Copies of a set read by several tasks are nodes of one group.
+    rooted = groups.join(sets, groups["node"] == sets["id"]).groupBy(*same).agg(F.min("root").alias("root"))
+    members = _sized(rooted.join(rows, same).select("root", F.col("rep").alias("id"), "n", "copies", "sketch"))
+    order = ["root", "band", "x", "y"]
+
+    # Groups larger than a block are cut down to what sketches leave possible.
+    wide = _blocks(members.where("not fits"), WIDE_CHUNK, 1 << 50).repartition(*order).sortWithinPartitions(*order)
+    near = wide.select(*order, "side", "id", "n", "sketch").mapInArrow(_possible(up, down), "id long, low long").where("low < id").distinct()
+    finer = components(near, "low", "id").select(F.col("node").alias("id"), F.col("component").alias("finer"))
+    again = members.where("not fits").join(finer, "id").select(F.col("finer").alias("root"), "id", "n", "copies", "sketch")
+    blocks = _blocks(members.where("fits"), CHUNK, CHUNK_GRAMS).union(_blocks(_sized(again), CHUNK, CHUNK_GRAMS)).drop("n", "sketch")
+    blocks = small_side(written(blocks, "ngram-blocks"))
+    loaded = texts.join(blocks, "id").select(*order, "side", "id", "copies", "text")
+    loaded = loaded.repartition(*order).sortWithinPartitions(*order)
     linked = written(loaded.mapInArrow(_linked(window, up, down), "id long, low long, links long"), "ngram-links")
 
     found = components(linked.select("low", "id"), "low", "id")
@@ -251,6 +346,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class stays: the one that names it. Documents without an id stay."""
     drop = jaccard_classes(docs, id_col, text_col, **options).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__drop"))
+    drop = small_side(written(drop, "ngram-drop"))
     return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
 
 

@@ -39,6 +39,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(written_rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of narrow rows as the side of a join: broadcast while it has `most` rows at most, a few ten MB;
+    beyond that both sides are shuffled."""
+    return F.broadcast(written_rows) if written_rows.count() <= most else written_rows
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
