@@ -36,7 +36,7 @@ END = "</w>"
 #: The tokenizer file's own split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space of the split pattern; str.split() also cuts at the four separators below.
-BREAKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+BREAKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Pieces that a worker remembers before it starts anew; letters in the longest; letters of text encoded together.
 REMEMBERED, LONGEST_REMEMBERED, TOGETHER = 300_000, 1000, 6 << 20
@@ -57,9 +57,8 @@ class MergeAutomaton:
         self.ids, self.labels = vocab, [""] * size
         for label, i in vocab.items():
             self.labels[i] = label
-        #: after[t]: (r, merge that uses r up) for the tokens at t's right edge; before[t]: at its left edge.
-        self.after = [((i, NEVER),) for i in range(size)]
-        self.before = [((i, NEVER),) for i in range(size)]
+        #: For a token that a merge makes: its parts, and the merge's rank.
+        self.left, self.right, self.made = (array("i", [-1]) * size for _ in range(3))
         self.reachable = bytearray(b"\1" * size)
         self.cut: dict[int, int] = {}
         self.table: dict[int, bool] = {}
@@ -77,15 +76,23 @@ class MergeAutomaton:
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         self.reachable[uv] = self.reachable[u] and self.reachable[v] and self._joins(u, v, rank)
-        self.before[uv] = ((uv, NEVER), (u, rank), *self.before[u][1:])
-        self.after[uv] = ((uv, NEVER), (v, rank), *self.after[v][1:])
+        self.left[uv], self.right[uv], self.made[uv] = u, v, rank
         self.cut[u << _FLAT | v] = rank
 
+    def _chain(self, part: array, t: int) -> list[tuple[int, int]]:
+        """The tokens at an edge of t, each with the merge that uses it up."""
+        out = [(t, NEVER)]
+        while part[t] >= 0:
+            out.append((part[t], self.made[t]))
+            t = part[t]
+        return out
+
     def _joins(self, t: int, y: int, until: int = NEVER) -> bool:
         """Whether no merge before `until` joins the right edge of t with the left edge of y. Of two equal merges that
         overlap the left one is made, so the right edge's own merge wins a tie and the left edge's loses it."""
-        for r, used in self.after[t]:
-            for left, taken in self.before[y]:
+        before = self._chain(self.left, y)
+        for r, used in self._chain(self.right, t):
+            for left, taken in before:
                 rank = self.cut.get(r << _FLAT | left, NEVER)
                 if rank < until and rank < used and rank <= taken:
                     return False
@@ -194,11 +201,15 @@ class Tokenizer:
                 self.ids[piece] = b"".join([words[w][0] for w in own])
                 self.decoded[piece] = " ".join([words[w][1] for w in own])
 
+    def forget(self) -> None:
+        """Frees what a task has learned: the worker's next task may be another operator's."""
+        self.ids, self.decoded, self.words = {}, {}, {}
+
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and what they decode to."""
         if len(self.ids) > REMEMBERED:
             self.ids, self.decoded = {}, {}
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > REMEMBERED // 2:
             self.words = {}
         cut = [self.special_in.split(t) if self.special_in and "<|" in t else [t] for t in texts]
         plain = [[[x for x in BREAKS.split(p) if x] if SEPARATORS.search(p) else p.split() for p in parts[::2]] for parts in cut]
@@ -271,6 +282,7 @@ def encode_decode(docs: DataFrame, spec: str | None = None, id_col: str = "doc_i
                     held, size = [], 0
         if held:
             yield from done(held)
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
