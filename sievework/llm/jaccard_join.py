@@ -282,13 +282,15 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(whole, "root").withColumn("fits", (F.col("m") <= CHUNK) & (F.col("grams") <= 2 * CHUNK_GRAMS))
 
 
-def _blocks(members: DataFrame, chunk: int, grams: int) -> DataFrame:
-    """`_sized` members to (root, band, x, y, side, id, n, copies, sketch): each pair of sets that can pass is in one
-    block. chunk, grams: what a chunk of a group that doesn't fit holds."""
+def _blocks(members: DataFrame, chunk: int, grams: int, up: int, down: int) -> DataFrame:
+    """`_sized` members to (root, band, x, y, side, id, n, copies, sketch): each pair of sets that can pass at up / down
+    is in one block. chunk, grams: what a chunk of a group that doesn't fit holds."""
     none, kept = F.lit(0), ("id", "n", "copies", "sketch")
     small = members.where("fits").select("root", none.alias("band"), none.alias("x"), none.alias("y"), none.alias("side"), *kept)
-    # Sizes that differ by more than one band are further apart than the threshold allows.
-    large = members.where("not fits").withColumn("b", F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int"))
+    # Sizes that differ by more than one band are further apart than the threshold allows. Bands are a little wider than
+    # down / up, so that rounding can't part sizes that are just so far apart.
+    width = float(np.log(down / up) + 1e-6)
+    large = members.where("not fits").withColumn("b", F.floor(F.log("n") / F.lit(width)).cast("int"))
     bands = large.groupBy("root", "b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / grams)).cast("int").alias("chunks"))
     near = lambda by, name: bands.select("root", (F.col("b") + by).alias("b"), F.col("chunks").alias(name))
     large = large.join(bands, ["root", "b"]).join(near(-1, "above"), ["root", "b"], "left").join(near(1, "below"), ["root", "b"], "left")
@@ -324,11 +326,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = ["root", "band", "x", "y"]
 
     # Groups larger than a block are cut down to what sketches leave possible.
-    wide = _blocks(members.where("not fits"), WIDE_CHUNK, 1 << 50).repartition(*order).sortWithinPartitions(*order)
+    wide = _blocks(members.where("not fits"), WIDE_CHUNK, 1 << 50, up, down).repartition(*order).sortWithinPartitions(*order)
     near = wide.select(*order, "side", "id", "n", "sketch").mapInArrow(_possible(up, down), "id long, low long").where("low < id").distinct()
     finer = components(near, "low", "id").select(F.col("node").alias("id"), F.col("component").alias("finer"))
     again = members.where("not fits").join(finer, "id").select(F.col("finer").alias("root"), "id", "n", "copies", "sketch")
-    blocks = _blocks(members.where("fits"), CHUNK, CHUNK_GRAMS).union(_blocks(_sized(again), CHUNK, CHUNK_GRAMS)).drop("n", "sketch")
+    blocks = _blocks(members.where("fits"), CHUNK, CHUNK_GRAMS, up, down).union(_blocks(_sized(again), CHUNK, CHUNK_GRAMS, up, down)).drop("n", "sketch")
     blocks = small_side(written(blocks, "ngram-blocks"))
     loaded = texts.join(blocks, "id").select(*order, "side", "id", "copies", "text")
     loaded = loaded.repartition(*order).sortWithinPartitions(*order)

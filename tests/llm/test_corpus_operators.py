@@ -123,6 +123,16 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert got == near_brute(texts, 3, 90)
 
 
+def test_jaccard_join_of_a_large_group_at_a_lower_threshold(spark):
+    base = [f"w{i}" for i in range(300)]
+    # Sizes 192 and 235: only pairs across them tie the two halves together, at a Jaccard of 0.809.
+    texts = {i: " ".join([*base[: 195 if i % 2 else 238], f"own{i}"]) for i in range(jaccard_join.CHUNK + 12)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.jaccard_classes(d, window=5, up=80).collect()}
+    assert got == near_brute(texts, 5, 80)
+    assert jaccard_join.keep_documents(d, window=5, up=80).count() == 1
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
