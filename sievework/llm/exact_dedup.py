@@ -43,14 +43,15 @@ def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row for each distinct content: digest, bytes, keep_id, group_size."""
+    """One row for each distinct content: digest, bytes, keep_id, keep_points (the kept text's code points), group_size."""
     order = F.col("points").cast("decimal(10,0)") * F.lit(SPAN) + F.coalesce(F.lit(TOP) - F.col("id").cast("decimal(20,0)"), F.lit(Decimal(0)))
     rows = _digested(docs, id_col, text_col).select("digest", "content", F.pmod(F.xxhash64("id", "points"), F.lit(salts)).cast("int").alias("salt"), order.cast("decimal(38,0)").alias("best"))
     salted = rows.groupBy("digest", "content", "salt").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
     whole = salted.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     rest = F.col("best") % F.lit(SPAN)
     keep = F.when(rest > 0, (F.lit(TOP) - rest).cast("long"))
-    return whole.select("digest", F.octet_length("content").alias("bytes"), keep.alias("keep_id"), F.col("n").cast("long").alias("group_size"))
+    points = F.floor(F.col("best") / F.lit(SPAN)).cast("long")
+    return whole.select("digest", F.octet_length("content").alias("bytes"), keep.alias("keep_id"), points.alias("keep_points"), F.col("n").cast("long").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -67,12 +68,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = written(winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__keep")), "dedup-keep")
-    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    # An id that several rows hold can bring more rows than there are winners.
-    again = docs.groupBy(docs[id_col]).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if again else kept
+    """The documents that stay, with all their columns. An id alone doesn't name a row: null and repeated ids may come
+    with several texts, so a row stays by its winner's id, length and content."""
+    best = winners(docs, id_col, text_col, salts)
+    keep = written(best.select(F.col("keep_id").alias("__id"), F.col("keep_points").alias("__points"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")), "dedup-keep")
+    identifier, raw = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    content = normalised(F.col(text_col))
+    own = docs.withColumns({"__id": identifier, "__points": F.length(raw).cast("long"), "__bytes": F.octet_length(content), "__digest": F.unhex(F.sha2(content, 256))})
+    same = [own["__id"].eqNullSafe(keep["__id"]), *(own[c] == keep[c] for c in ("__points", "__bytes", "__digest"))]
+    kept = own.join(keep, same, "left_semi")
+    # Rows that repeat an id and a text all match their winner.
+    again = docs.groupBy(identifier.alias("__id")).count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(keep.columns) if again else kept).drop(*keep.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

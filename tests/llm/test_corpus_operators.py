@@ -77,6 +77,13 @@ def test_exact_dedup_ties_and_nulls(spark):
     assert exact_dedup.keep_documents(d).count() == 2
 
 
+def test_exact_dedup_keeps_each_text_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "b"), (3, "y"), (5, "y"), (5, "x"), (5, "z"), (7, "y"), (8, "q q"), (8, "qq"), (9, None), (9, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, exact_dedup.keep_documents(d).collect()), key=str)
+    assert kept == sorted([(None, "a"), (None, "b"), (3, "y"), (5, "x"), (5, "z"), (8, "q q"), (9, None), (9, "w")], key=str)
+
+
 def shingles(text, window):
     words = WORD.findall(lower(text))
     return {tuple(words[i : i + window]) for i in range(len(words) - window + 1)} if len(words) >= window else {tuple(words)} if words else set()
