@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .rules import is_inside
 
 TOLERANCE = 0.001
+#: Rows of a range of the queue, about; the most ranges, about.
+BUCKET_ROWS, BUCKETS = 50_000, 500
 KIND_ORDER = ["screenshot", "image", "pdf", "doc", "audio", "video", "code"]
 
 
@@ -75,11 +77,32 @@ def queue(files: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def batches(queued: DataFrame, order: str, size: int = 8) -> DataFrame:
-    """Runs of one kind cut into batches. Meant for a queue that a limit bounds."""
-    w = Window.orderBy(order)
-    runs = queued.withColumn("new", (F.lag("kind").over(w) != F.col("kind")).cast("int"))
-    runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return runs.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("run").orderBy(order)) - 1) / size)).drop("new")
+    """Runs of one kind cut into batches, over a queue of any length.
+
+    Ranges of `order` are numbered each on its own; from a row for each range follow the runs before it and the rows
+    that its first run has in earlier ranges."""
+    # Bounds by hash, the same each time that the plan runs: every BUCKET_ROWS-th row or so, about BUCKETS at most.
+    n = queued.count()
+    step = max(BUCKET_ROWS, -(-n // BUCKETS))
+    bounds = sorted(r[0] for r in queued.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0).select(order).dropna().distinct().collect()) if n > step else []
+    before = F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order)) if bounds else F.array()
+    w = Window.partitionBy("__range").orderBy(order)
+    new = lambda earlier, kind: F.coalesce((earlier != kind).cast("int"), F.lit(0))
+    rows = queued.withColumn("__range", F.size(before)).withColumn("__new", new(F.lag("kind").over(w), F.col("kind")))
+    rows = rows.withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    ends = F.struct(F.col(order).alias("at"), F.col("kind").alias("kind"))
+    runs = rows.groupBy("__range", "__run").agg(F.count(F.lit(1)).alias("rows"), F.min(ends).alias("first"), F.max(ends).alias("last"))
+    ranges = runs.groupBy("__range").agg(F.max("__run").alias("changes"), F.max_by("rows", "__run").alias("tail"), F.min_by("first", "__run")["kind"].alias("first"), F.max_by("last", "__run")["kind"].alias("last"))
+    # A row for each range.
+    w = Window.orderBy("__range")
+    ranges = ranges.withColumn("new", new(F.lag("last").over(w), F.col("first")))
+    ranges = ranges.withColumn("since", F.sum(F.when((F.col("new") > 0) | (F.col("changes") > 0), 1).otherwise(0)).over(w))
+    ranges = ranges.withColumn("trailing", F.sum("tail").over(Window.partitionBy("since").orderBy("__range")))
+    carried = F.when(F.col("new") > 0, 0).otherwise(F.coalesce(F.lag("trailing").over(w), F.lit(0)))
+    ranges = ranges.select("__range", (F.sum(F.col("new") + F.col("changes")).over(w) - F.col("changes")).alias("__before"), carried.alias("__carried"))
+    place = F.row_number().over(Window.partitionBy("__range", "__run").orderBy(order)) + F.when(F.col("__run") == 0, F.col("__carried")).otherwise(0)
+    out = rows.join(F.broadcast(ranges), "__range").withColumn("run", F.col("__before") + F.col("__run"))
+    return out.withColumn("batch", F.floor((place - 1) / size)).drop("__range", "__run", "__before", "__carried")
 
 
 def counts(files: DataFrame) -> DataFrame:

@@ -161,3 +161,27 @@ def test_estimates(spark):
     jobs = spark.createDataFrame([(i, "image", 100.0, 100.0) for i in range(3)] + [(9, "image", 20.0, 2.0)], "seq long, name string, units double, seconds double")
     assert tuple(estimate.tallies(jobs).first()) == ("image", 152.0, 170.0)
     assert one(spark, estimate.subfolder(F.lit("/d/a/b.txt"), "/d")) == "/d/a" and one(spark, estimate.subfolder(F.lit("/d/b.txt"), "/d")) == "/d"
+
+
+def test_batches_of_a_long_queue(spark, monkeypatch):
+    """Ranges of a queue join to the runs of the whole; no window orders all of its rows in one task."""
+    rng = random.Random(3)
+    rows, kind = [], "code"
+    for i in range(3000):
+        if i % 1000 > 700 or rng.random() < 0.03:
+            kind = rng.choice(["image", "doc", "code", None] if i < 2000 else ["pdf"])
+        rows.append((i * 3, kind))
+    expected, run, before, place = [], 0, None, 0
+    for i, kind in rows:
+        place += 1
+        if before is not None and kind is not None and kind != before:
+            run, place = run + 1, 1
+        expected.append((i, run, (place - 1) // 8))
+        before = kind
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "id long, kind string")
+    for bucket_rows in (40, 50_000):
+        monkeypatch.setattr(sync, "BUCKET_ROWS", bucket_rows, raising=False)
+        found = sync.batches(shuffled, "id")
+        assert sorted(map(tuple, found.select("id", "run", "batch").collect())) == expected
+        assert found.columns == ["id", "kind", "run", "batch"] and sync.batches(shuffled.limit(0), "id").count() == 0
+        assert bucket_rows > 40 or "windowspecdefinition(id#" not in found._jdf.queryExecution().optimizedPlan().toString()
