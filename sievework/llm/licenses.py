@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences (at line ends and after sentence marks before white space), each sentence is normalised
-(lower case, runs of anything but letters and digits to one space) and looked up among known licence sentences. What is
+A text is cut into sentences (at blank lines and after full stops and other sentence marks), each sentence is normalised
+(lower case, runs of anything but letters and digits to one space) and known licence sentences are looked up in it. A
+line end, semicolon or colon within a sentence may begin or end a licence sentence or lie inside it, so hard-wrapped
+notices are found as well as one-line ones. `PREFIXED` ones may have words before them, but for a negation. What is
 found, in the order of the text, is a sequence of sentence identifiers; a licence rule is an ordered list of
 identifiers and matches where they follow each other in the sequence with at most `GAP` other sentences between two.
 Longer rules come first, and a sentence that a rule has used is not used again.
@@ -57,7 +59,12 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", ("cc-by-sa-named",)),
     ("proprietary", ("reserved",)),
 ]
-_CUT = re.compile(r"(?<=[!?;:])\s+|(?<=[a-z)\"]\.)\s+(?=[A-Z\"(])|(?<=[0-9]\.)\s+(?=[A-Z])|\n+")
+_CUT = re.compile(r"(?<=[!?])\s+|(?<=[a-z)\"]\.)\s+(?=[A-Z\"(])|(?<=[A-Z]{2}\.)\s+(?=[A-Z\"(])|(?<=[0-9]\.)\s+(?=[A-Z])|(?<=\.)[^\S\n]*\n\s*|\n[^\S\n]*\n\s*")
+#: Breaks within a sentence, at which a licence sentence may begin or end.
+_BREAK = re.compile(r"\n|(?<=[;:])\s+")
+#: Licence sentences that may have words before them.
+PREFIXED = re.compile(r".*-named|reserved")
+_START = r"(?<![0-9a-z])(?<!\bnot[ \n])(?<!\bnever[ \n])(?<!\blonger[ \n])"
 _SPACES = re.compile(r"[^0-9a-z]+")
 #: Every licence sentence holds one of these.
 HINT = re.compile(r"licen[sc]e|permission|warranty|rights|copyright|redistribut", re.I)
@@ -67,9 +74,14 @@ def normalised(sentence: str) -> str:
     return _SPACES.sub(" ", sentence.lower()).strip()
 
 
+def _within(name: str, pattern: str) -> re.Pattern:
+    """A pattern over a whole normalised sentence as one over parts of it between breaks, each of which is a line end."""
+    return re.compile(rf"(?m){_START if PREFIXED.fullmatch(name) else '^'}(?:{pattern.replace(' ', '[ \n]')})$")
+
+
 class Scanner:
     def __init__(self, sentences=None, rules=None, gap: int = GAP):
-        self.sentences = [(name, re.compile(pattern)) for name, pattern in (sentences or SENTENCES)]
+        self.sentences = [(name, _within(name, pattern)) for name, pattern in (sentences or SENTENCES)]
         self.rules = sorted(rules or RULES, key=lambda r: -len(r[1]))
         self.gap = gap
 
@@ -80,8 +92,13 @@ class Scanner:
         out = []
         for place, sentence in enumerate(s for s in _CUT.split(text) if s and s.strip()):
             if HINT.search(sentence):
-                clean = normalised(sentence)
-                out += [(place, name) for name, pattern in self.sentences if pattern.fullmatch(clean)][:1]
+                clean = "\n".join(filter(None, map(normalised, _BREAK.split(sentence))))
+                met = sorted((m.start(), rank, m.end(), name) for rank, (name, pattern) in enumerate(self.sentences) for m in pattern.finditer(clean))
+                end = -1
+                for start, _, after, name in met:
+                    if start > end:
+                        out.append((place, name))
+                        end = after
         return out
 
     def scan(self, text: str) -> tuple[list[str], list[str]]:

@@ -262,6 +262,61 @@ def test_licenses(docs, empty):
     assert licenses.scanned(docs).where(F.size("licenses") > 0).count() == 0 and licenses.scanned(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 IBM. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the notice is kept.
+The software is provided "as is", without warranty
+of any kind.
+"""
+
+
+def test_licenses_in_wrapped_headers():
+    own = licenses.Scanner()
+    found = {"apache": APACHE, "gpl": GPL, "bsd": BSD, "mit": MIT}
+    assert {k: own.scan(t)[0] for k, t in found.items()} == {"apache": ["Apache-2.0"], "gpl": ["GPL"], "bsd": ["BSD"], "mit": ["proprietary", "MIT"]}
+    assert own.scan(APACHE)[1] == ["apache2-named", "apache2-obey", "apache2-copy", "apache2-as-is"]
+    assert own.scan(MIT.replace("\n", "\r\n"))[0] == ["proprietary", "MIT"]
+    assert own.scan("This project is released under the MIT License.")[0] == ["MIT"]
+    assert own.scan("This project is licensed\nunder the BSD 3-Clause\nLicense.")[0] == ["BSD"]
+    assert own.scan("Copyright 2020 IBM. All rights reserved.")[0] == ["proprietary"]
+    assert own.scan("It is not released under the MIT License.")[0] == []
+    assert own.scan("Released under the MIT License\nAll rights reserved\nno more")[0] == ["MIT", "proprietary"]
+
+
 def test_chat(spark):
     turn = lambda c, t, text, role="user": (c, t, role, text)
     rows = [
