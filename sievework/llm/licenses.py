@@ -3,13 +3,17 @@
 A text is cut into sentences (at blank lines and after full stops and other sentence marks), each sentence is normalised
 (lower case, runs of anything but letters and digits to one space) and known licence sentences are looked up in it. A
 line end, semicolon or colon within a sentence may begin or end a licence sentence or lie inside it, so hard-wrapped
-notices are found as well as one-line ones. `PREFIXED` ones may have words before them, but for a negation. What is
-found, in the order of the text, is a sequence of sentence identifiers; a licence rule is an ordered list of
-identifiers and matches where they follow each other in the sequence with at most `GAP` other sentences between two.
-Longer rules come first, and a sentence that a rule has used is not used again.
+notices are found as well as one-line ones. Sentences that name a licence may have words before them, but for a
+negation. What is found, in the order of the text, is a sequence of sentence identifiers; a licence rule is an ordered
+list of identifiers and matches where they follow each other in the sequence with at most `GAP` other sentences between
+two. Longer rules come first, and a sentence that a rule has used is not used again.
+
+Licences are named by their SPDX identifiers. A sentence that names a licence ("named:X", "spdx:X") is a rule of its
+own; sentences of a licence's text or notice ("mit-grant") make one only in their order.
 
 Defined cases: a null or empty text has no sentences and no licence; repeated rows are each scanned; a text of any
-length is scanned whole; an empty table gives an empty result; ids are passed through; other columns are not read.
+length is scanned whole, in time in proportion to its length; an empty table gives an empty result; ids are passed
+through; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,101 +28,258 @@ from pyspark.sql import functions as F
 from .shared import read, small_batches
 
 GAP = 3
-#: Identifiers of licence sentences by pattern over the normalised sentence.
+#: SPDX identifiers by the name that notices give the licence, as a pattern over normalised text.
+NAMES: list[tuple[str, str]] = [
+    ("Apache-2.0", r"apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?"),
+    ("Apache-1.1", r"apache(?: software)? license(?: version)? 1 1"),
+    ("MIT-0", r"mit 0|mit no attribution"),
+    ("MIT", r"mit(?: x11)?|expat"),
+    ("ISC", r"isc"),
+    ("0BSD", r"0bsd|zero clause bsd|bsd zero clause|bsd 0 clause"),
+    ("BSD-2-Clause", r"bsd 2 clause(?: simplified)?|(?:simplified |2 clause )bsd|freebsd"),
+    ("BSD-3-Clause", r"bsd 3 clause(?: new| revised| new or revised)?|(?:new |modified |revised |3 clause )bsd"),
+    ("BSD-4-Clause", r"bsd 4 clause|(?:original |4 clause )bsd"),
+    ("BSD", r"bsd(?: style)?"),
+    ("MPL-1.1", r"(?:mozilla public license|mpl)(?: version)?(?: v)? ?1 1"),
+    ("MPL-2.0", r"(?:mozilla public license|mpl)(?: version)?(?: v)? ?2(?: 0)?"),
+    ("EPL-1.0", r"(?:eclipse public license|epl)(?: version)?(?: v)? ?1(?: 0)?"),
+    ("EPL-2.0", r"(?:eclipse public license|epl)(?: version)?(?: v)? ?2(?: 0)?"),
+    ("EUPL-1.2", r"(?:european union public licen[cs]e|eupl)(?: version)?(?: v)? ?1 2"),
+    ("CDDL-1.0", r"(?:common development and distribution license|cddl)(?: version)?(?: v)?(?: ?1(?: 0)?)?"),
+    ("BSL-1.0", r"boost software license(?: version)?(?: 1 0)?|bsl 1 0"),
+    ("Zlib", r"zlib(?: libpng)?"),
+    ("Unlicense", r"unlicense"),
+    ("WTFPL", r"wtfpl|do what the fuck you want to public license"),
+    ("Artistic-2.0", r"artistic(?: license)?(?: version)? 2 0"),
+    ("OFL-1.1", r"(?:sil )?(?:open font license|ofl)(?: version)?(?: 1 1)?"),
+    ("MS-PL", r"microsoft public license|ms pl"),
+    ("PSF-2.0", r"python software foundation license|psf(?: license)?(?: version)?(?: 2(?: 0)?)?"),
+    ("PostgreSQL", r"postgresql"),
+    ("CC0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v?1 0)?(?: universal)?"),
+]
+#: The GNU licences' names and versions, and the terms and versions of Creative Commons licences.
+GNU = {"GPL": r"(?:gnu )?(?:general public license|gpl)", "LGPL": r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)", "AGPL": r"(?:gnu )?(?:affero general public license|agpl)"}
+GNU_VERSIONS = {"GPL": ("1", "2", "3"), "LGPL": ("2", "2 1", "3"), "AGPL": ("3",)}
+CC_TERMS = {"BY": "attribution", "BY-SA": "attribution share ?alike", "BY-NC": "attribution non ?commercial", "BY-ND": "attribution no ?deriv(?:ative)?s", "BY-NC-SA": "attribution non ?commercial share ?alike", "BY-NC-ND": "attribution non ?commercial no ?deriv(?:ative)?s"}
+CC_VERSIONS = ("2 0", "2 5", "3 0", "4 0")
+
+
+def _named() -> list[tuple[str, str]]:
+    """All licences by their names' patterns, the more special first."""
+    out = []
+    for family, name in GNU.items():
+        for version in GNU_VERSIONS[family]:
+            of = f"{family}-{version.replace(' ', '.') if ' ' in version else version + '.0'}"
+            number = rf"(?:,? ?version|,? ?v)? ?{version}(?: 0)?" if " " not in version else rf"(?: version| v)? ?{version}"
+            # What says "later" may come before the name or after it.
+            out.append((f"{of}-or-later", rf"version {version}(?: 0)?(?: of the license)? or (?:at your option )?(?:any )?later(?: version)? of the {name}|{name}{number}(?: of the license)?(?: or (?:at your option )?(?:any )?(?:later|newer|above|greater)(?: versions?)?| plus| or later|\+)"))
+            out.append((f"{of}-only", rf"version {version}(?: 0)? of the {name}|{name}{number}(?: only)?(?! (?:0|1) (?:or|only|license))"))
+        out.append((family, name))
+    for terms, words in CC_TERMS.items():
+        for version in CC_VERSIONS:
+            short = terms.lower().replace("-", " ")
+            out.append((f"CC-{terms}-{version.replace(' ', '.')}", rf"(?:cc|creative commons) (?:{short}|{words})(?: licen[cs]e)?(?: version)? {version}|creative commons {words} {version}(?: international| unported| generic)?"))
+    return out + NAMES
+
+
+_UNDER = r"(?:licen[cs]ed|released|distributed|published|provided|offered|covered|available|shared|governed|redistributable)(?: to you)? (?:under|by)(?: either| both)?(?: of)?(?: the| an?)?(?: terms(?: and conditions)? of)?(?: either| both)?(?: of)?(?: the| an?)? "
+_TAIL = r"(?: (?:general |open source |software |public |free )?licen[cs]e)?"
+#: Sentences of licence texts and notices by pattern over the normalised sentence.
 SENTENCES: list[tuple[str, str]] = [
-    ("apache2-named", r"licensed under the apache license version 2 0(?: the license)?"),
+    ("apache2-named", r"licen[cs]ed under the apache license version 2 0(?: the license)?"),
     ("apache2-obey", r"you may not use this file except in compliance with the license"),
     ("apache2-copy", r"you may obtain a copy of the license at(?: .*)?"),
     ("apache2-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("mit-named", r"(?:released|licensed|distributed) under the (?:terms of the )?mit license"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("as-is", r"the software is provided as is without warranty of any kind.*"),
-    ("gpl3-named", r"this work is licensed under the gnu general public license version 3"),
-    ("gpl-modify", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
-    ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
-    ("bsd-named", r"(?:released|licensed|distributed) under the bsd (?:2|3) clause license"),
+    ("mit-notice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-notice", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", r"the software is provided as is and the author disclaims all warranties.*"),
+    ("as-is", r"(?:the|this) software is provided as is without warranty of any kind.*"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that.*"),
-    ("cc-by-nc-named", r"licensed under cc by nc 4 0"),
-    ("cc-by-named", r"licensed under cc by 4 0"),
-    ("cc-by-sa-named", r"licensed under cc by sa 4 0"),
+    ("bsd-source", r"(?:1 )?redistributions of source code must retain the above copyright notice.*"),
+    ("bsd-binary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
+    ("bsd-advert", r"(?:3 )?all advertising materials mentioning features or use of this software must display.*"),
+    ("bsd-endorse", r"(?:[34] )?neither the names? of .* may be used to endorse or promote products derived from this software.*"),
+    ("bsd-as-is", r"this software is provided by .* as is and any express or implied warranties.*"),
+    ("mpl2-subject", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl2-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
+    ("zlib-as-is", r"this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely.*"),
+    ("boost-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("unlicense-domain", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", r"anyone is free to copy modify publish use compile sell or distribute this software.*"),
+    ("wtfpl-0", r"0 you just do what the fuck you want to"),
+    ("epl2-made", r"this program and the accompanying materials are made available under the terms of the eclipse public license v?(?:ersion)? ?2 0.*"),
+    ("gpl-modify-GPL", r"(?:this program|this file|it|\w+) is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
+    ("gpl-modify-LGPL", r"(?:this library|this program|this file|it|\w+) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license.*"),
+    ("gpl-modify-AGPL", r"(?:this program|this file|it|\w+) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.*"),
+    ("gpl-later-1", r"either version 1 of the license or at your option any later version"),
+    ("gpl-later-2", r"either version 2 of the license or at your option any later version"),
+    ("gpl-later-2.1", r"either version 2 1 of the license or at your option any later version"),
+    ("gpl-later-3", r"either version 3 of the license or at your option any later version"),
+    ("gpl-only-2", r"(?:as published by the free software foundation )?version 2 of the license"),
+    ("gpl-only-2.1", r"(?:as published by the free software foundation )?version 2 1 of the license"),
+    ("gpl-only-3", r"(?:as published by the free software foundation )?version 3 of the license"),
+    ("gpl-hope", r"this (?:program|library|file|software) is distributed in the hope that it will be useful but without any warranty.*"),
+    ("public-domain", r"(?:this \w+ is |released |placed |dedicated )(?:in|in to|into|to) the public domain"),
     ("reserved", r"all rights reserved"),
+    ("confidential", r"(?:this (?:document|file|software) is )?(?:confidential and proprietary|proprietary and confidential)"),
 ]
-#: Licence rules as ordered sentence identifiers.
+#: Words that a pattern of this form may follow within its sentence.
+PREFIXED = re.compile(r".*-named|named:.*|spdx:.*|reserved|confidential|public-domain|gpl-(?:modify|later|only).*|isc-notice")
+
+
+def _gnu_rules() -> list[tuple[str, tuple[str, ...]]]:
+    out = []
+    for family, versions in GNU_VERSIONS.items():
+        for version in versions:
+            dotted = version.replace(" ", ".")
+            of = f"{family}-{dotted if ' ' in version else version + '.0'}"
+            for kind, name in (("later", "or-later"), ("only", "only")):
+                out += [(f"{of}-{name}", (f"gpl-modify-{family}", f"gpl-{kind}-{dotted}", "gpl-hope")), (f"{of}-{name}", (f"gpl-modify-{family}", f"gpl-{kind}-{dotted}"))]
+        out.append((family, (f"gpl-modify-{family}", "gpl-hope")))
+    return out
+
+
+#: Licence rules as ordered sentence identifiers. A sentence that names a licence is a rule of its own.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache2-named", "apache2-obey", "apache2-copy", "apache2-as-is")),
+    ("Apache-2.0", ("apache2-named", "apache2-obey")),
     ("Apache-2.0", ("apache2-named",)),
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
-    ("MIT", ("mit-named",)),
-    ("GPL-3.0", ("gpl3-named",)),
-    ("GPL", ("gpl-modify", "gpl-hope")),
+    ("MIT-0", ("mit-grant", "as-is")),
+    ("ISC", ("isc-grant", "isc-notice", "isc-as-is")),
+    ("0BSD", ("isc-grant", "isc-as-is")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD", ("bsd-grant", "as-is")),
-    ("BSD", ("bsd-named",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-named",)),
-    ("CC-BY-4.0", ("cc-by-named",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-named",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    ("WTFPL", ("wtfpl-0",)),
+    ("EPL-2.0", ("epl2-made",)),
+    *_gnu_rules(),
+    ("public-domain", ("public-domain",)),
+    ("proprietary", ("confidential",)),
     ("proprietary", ("reserved",)),
 ]
 _CUT = re.compile(r"(?<=[!?])\s+|(?<=[a-z)\"]\.)\s+(?=[A-Z\"(])|(?<=[A-Z]{2}\.)\s+(?=[A-Z\"(])|(?<=[0-9]\.)\s+(?=[A-Z])|(?<=\.)[^\S\n]*\n\s*|\n[^\S\n]*\n\s*")
 #: Breaks within a sentence, at which a licence sentence may begin or end.
-_BREAK = re.compile(r"\n|(?<=[;:])\s+")
-#: Licence sentences that may have words before them.
-PREFIXED = re.compile(r".*-named|reserved")
+_BREAK = re.compile(r"\n|(?<=[;:,])\s+")
 _START = r"(?<![0-9a-z])(?<!\bnot[ \n])(?<!\bnever[ \n])(?<!\blonger[ \n])"
-_SPACES = re.compile(r"[^0-9a-z]+")
-#: Every licence sentence holds one of these.
-HINT = re.compile(r"licen[sc]e|permission|warranty|rights|copyright|redistribut", re.I)
+_SPACES = re.compile(r"[^0-9a-z+]+|(?<=[^0-9])\+|\+(?=[0-9a-z])")
+#: Every licence sentence holds one of these, in lower case.
+HINTS = ("licens", "licenc", "permission", "warrant", "rights", "copyright", "redistribut", "public domain", "proprietary", "what the fuck", "free software", "as published by", "disclaim", "unencumbered", "anyone is free", "source code form", "copy of the mpl", "endorse", "advertising materials", "either version", "under the terms", "released under", "distributed under", "available under", "published under")
+NAMED = _named()
+
+
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(hint in low for hint in HINTS)
 
 
 def normalised(sentence: str) -> str:
     return _SPACES.sub(" ", sentence.lower()).strip()
 
 
-def _within(name: str, pattern: str) -> re.Pattern:
+def _within(name: str, pattern: str, start: str | None = None, end: str = "$") -> re.Pattern:
     """A pattern over a whole normalised sentence as one over parts of it between breaks, each of which is a line end."""
-    return re.compile(rf"(?m){_START if PREFIXED.fullmatch(name) else '^'}(?:{pattern.replace(' ', '[ \n]')})$")
+    start = start if start is not None else _START if PREFIXED.fullmatch(name) else "^"
+    return re.compile(rf"(?m){start}(?:{pattern.replace(' ', '[ \n]')}){end}")
+
+
+def _literal(pattern: str) -> str:
+    """The plain words at the beginning of a pattern, without which it can't match."""
+    plain = re.match(r"[0-9a-z ]*", pattern)[0]
+    # The last letter may be optional, and a word may go on.
+    return plain[:-1].rstrip() if len(plain) < len(pattern) else plain
 
 
 class Scanner:
     def __init__(self, sentences=None, rules=None, gap: int = GAP):
-        self.sentences = [(name, _within(name, pattern)) for name, pattern in (sentences or SENTENCES)]
+        self.sentences = [(name, _literal(pattern), _within(name, pattern)) for name, pattern in (sentences or SENTENCES)]
+        #: Names that may follow "licensed under", each alone; and in lists of them.
+        self.named = [] if sentences else [(name, _within("named:", rf"(?:the )?(?:{pattern}){_TAIL}", "", "")) for name, pattern in NAMED]
+        self.under = _within("named:", _UNDER, end="")
+        self.spdx = re.compile(r"spdx[ \n]license[ \n]identifier[ \n]([0-9a-z +]+)")
+        self.joint = re.compile(r"[ \n](?:and[ \n]or|or|and)[ \n](?:the[ \n])?(?:terms[ \n]of[ \n])?(?:the[ \n])?")
+        #: Normalised SPDX identifiers to their own form; the longest first.
+        self.spdx_ids = {}
+        for name, _ in NAMED:
+            self.spdx_ids[normalised(name)] = name
+            if name.endswith(("-only", "-or-later")):
+                base = name.removesuffix("-only").removesuffix("-or-later")
+                self.spdx_ids[normalised(base)] = f"{base}-only"
+                self.spdx_ids[normalised(base) + "+"] = f"{base}-or-later"
         self.rules = sorted(rules or RULES, key=lambda r: -len(r[1]))
         self.gap = gap
 
+    def _names(self, clean: str) -> Iterator[tuple[int, int, int, str]]:
+        """(start, rank, end, identifier) for the licences that a normalised sentence names."""
+        if "spdx" in clean:
+            for m in self.spdx.finditer(clean):
+                at = m.start(1)
+                for part in re.split(r" (or|and|with) ", m[1]):
+                    if (name := self.spdx_ids.get(part.strip())) is not None:
+                        yield (m.start() if at == m.start(1) else at), -2, at + len(part), f"spdx:{name}"
+                    at += len(part) + 1
+        for m in self.under.finditer(clean) if "under" in clean or "by" in clean else ():
+            start, at = m.start(), m.end()
+            while True:
+                best = max(((k.end(), -rank, name) for rank, (name, p) in enumerate(self.named) if (k := p.match(clean, at)) and not clean[k.end() : k.end() + 1].isalnum()), default=None)
+                if best is None:
+                    break
+                yield start, -1, best[0], f"named:{best[2]}"
+                if not (more := self.joint.match(clean, best[0])):
+                    break
+                start, at = best[0] + 1, more.end()
+
     def sequence(self, text: str) -> list[tuple[int, str]]:
         """(number of the sentence, identifier) for the licence sentences of a text."""
-        if not HINT.search(text):
+        if not hinted(" ".join(text.split())):
             return []
         out = []
         for place, sentence in enumerate(s for s in _CUT.split(text) if s and s.strip()):
-            if HINT.search(sentence):
-                clean = "\n".join(filter(None, map(normalised, _BREAK.split(sentence))))
-                met = sorted((m.start(), rank, m.end(), name) for rank, (name, pattern) in enumerate(self.sentences) for m in pattern.finditer(clean))
-                end = -1
-                for start, _, after, name in met:
-                    if start > end:
-                        out.append((place, name))
-                        end = after
+            if not hinted(" ".join(sentence.split())):
+                continue
+            clean = "\n".join(filter(None, map(normalised, _BREAK.split(sentence))))
+            flat = clean.replace("\n", " ")
+            met = [(m.start(), rank, m.end(), name) for rank, (name, words, pattern) in enumerate(self.sentences) if words in flat for m in pattern.finditer(clean)]
+            if self.named:
+                met += self._names(clean)
+            end = -1
+            # Of two that begin together, the one that says more; a longer one from the same beginning may hold a name.
+            for start, _, after, name in sorted(met, key=lambda x: (x[0], -x[2], x[1])):
+                if start > end:
+                    out.append((place, name))
+                    end = after
         return out
 
     def scan(self, text: str) -> tuple[list[str], list[str]]:
         """(licences in the order of the text, identifiers of the sentences found)."""
         found = self.sequence(text)
-        free, licences = [True] * len(found), []
+        free, present, licences = [True] * len(found), {name for _, name in found}, []
         for licence, rule in self.rules:
-            for start in range(len(found)):
-                used: list[int] = []
-                for at in range(start, len(found)):
-                    if free[at] and found[at][1] == rule[len(used)] and (not used or found[at][0] - found[used[-1]][0] <= self.gap + 1):
-                        used.append(at)
-                        if len(used) == len(rule):
-                            break
-                    elif not used:
-                        break
-                if len(used) == len(rule):
-                    for at in used:
-                        free[at] = False
-                    licences.append((found[used[0]][0], licence))
+            if not present.issuperset(rule):
+                continue
+            # parts[k]: the latest way to the first k identifiers.
+            parts: list[tuple | None] = [(), *[None] * len(rule)]
+            for at, (place, name) in enumerate(found):
+                if not free[at]:
+                    continue
+                for k in range(len(rule), 0, -1):
+                    if rule[k - 1] == name and parts[k - 1] is not None and (k == 1 or place - found[parts[k - 1][-1]][0] <= self.gap + 1):
+                        parts[k] = (*parts[k - 1], at)
+                if parts[-1]:
+                    for used in parts[-1]:
+                        free[used] = False
+                    licences.append((parts[-1][0], licence))
+                    parts = [(), *[None] * len(rule)]
+        licences += [(at, name.split(":", 1)[1]) for at, (_, name) in enumerate(found) if free[at] and name.startswith(("named:", "spdx:"))]
         return [x for _, x in sorted(licences)], [name for _, name in found]
 
 

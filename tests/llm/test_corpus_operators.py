@@ -254,8 +254,8 @@ def test_maxent(docs, empty, monkeypatch, head):
 
 def test_licenses(docs, empty):
     own = licenses.Scanner()
-    assert own.scan("Intro.\nLicensed under the Apache License, Version 2.0.") == (["Apache-2.0"], ["apache2-named"])
-    assert own.scan("This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.")[0] == ["GPL-3.0", "proprietary"]
+    assert own.scan("Intro.\nLicensed under the Apache License, Version 2.0.") == (["Apache-2.0"], ["named:Apache-2.0"])
+    assert own.scan("This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.")[0] == ["GPL-3.0-only", "proprietary"]
     long = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the X).\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind, express or implied."
     assert own.scan(long)[0] == ["MIT"]
     assert own.scan("\n".join(reversed(long.split("\n"))))[0] == []
@@ -307,11 +307,11 @@ of any kind.
 def test_licenses_in_wrapped_headers():
     own = licenses.Scanner()
     found = {"apache": APACHE, "gpl": GPL, "bsd": BSD, "mit": MIT}
-    assert {k: own.scan(t)[0] for k, t in found.items()} == {"apache": ["Apache-2.0"], "gpl": ["GPL"], "bsd": ["BSD"], "mit": ["proprietary", "MIT"]}
+    assert {k: own.scan(t)[0] for k, t in found.items()} == {"apache": ["Apache-2.0"], "gpl": ["GPL-3.0-or-later"], "bsd": ["BSD"], "mit": ["proprietary", "MIT"]}
     assert own.scan(APACHE)[1] == ["apache2-named", "apache2-obey", "apache2-copy", "apache2-as-is"]
     assert own.scan(MIT.replace("\n", "\r\n"))[0] == ["proprietary", "MIT"]
     assert own.scan("This project is released under the MIT License.")[0] == ["MIT"]
-    assert own.scan("This project is licensed\nunder the BSD 3-Clause\nLicense.")[0] == ["BSD"]
+    assert own.scan("This project is licensed\nunder the BSD 3-Clause\nLicense.")[0] == ["BSD-3-Clause"]
     assert own.scan("Copyright 2020 IBM. All rights reserved.")[0] == ["proprietary"]
     assert own.scan("It is not released under the MIT License.")[0] == []
     assert own.scan("Released under the MIT License\nAll rights reserved\nno more")[0] == ["MIT", "proprietary"]
