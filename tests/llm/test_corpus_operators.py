@@ -195,10 +195,10 @@ def test_quality_bands_find_junk(spark):
 
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
-    codes = np.unique(rng.integers(0, 1 << 18, 3000))
+    codes = np.unique(rng.integers(0, 1 << 21, 3000))
     model = quality.KneserNey(codes, rng.integers(1, 9, len(codes)).astype(float))
-    for context in (int(codes[0]) >> 6, int(codes[77]) >> 6, 5):
-        assert np.sum(10 ** model.log10(np.arange(64) + (context << 6)).astype(float)) == pytest.approx(1, abs=1e-4)
+    for context in (int(codes[0]) >> 7, int(codes[77]) >> 7, 5):
+        assert np.sum(10 ** model.log10(np.arange(128) + (context << 7)).astype(float)) == pytest.approx(1, abs=1e-4)
 
 
 def test_mixing(docs, empty):
