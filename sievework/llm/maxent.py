@@ -1,13 +1,15 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class is the nearest of `CLASSES` centroids of byte
-bigrams, so a word never seen has one too. P(class | history) is a softmax over hashed features: the word before, the
-one before that (a skip feature), both together, and a bias. P(word | class) is the class's share of additively
-smoothed counts, with one place for all unseen words, so the model sums to one.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf). A word's spelling, as the shares of
+its hashed byte bigrams, lies on one side of each of eight fixed hyperplanes; the first four sides are its class, the
+others its leaf within the class, so a word never seen has both. The first two factors are softmaxes over hashed features
+of the history: the word before, the one before that (a skip feature), the leaves of both together, and a bias; the
+second factor's features and bias are the class's own. P(word | leaf) is the leaf's share of additively smoothed counts,
+with one place for all unseen words, so the model sums to one.
 
-The counts cover every training document. The weights are trained by distributed gradient updates: each of at most
-`TRAINERS` tasks makes Adagrad steps over its part of all training documents, and the tasks' weights are averaged by the
-tokens that they saw. Only the centroids are fitted on a sample, of `SAMPLE` training documents at most.
+The counts cover every training document. The weights are trained by distributed gradient updates in `ROUNDS` rounds,
+each over its part of all training documents: every task makes Adagrad steps from the round's weights, and the tasks'
+weights are averaged by the tokens that they saw, first within salts, then over them.
 
 Words are scored in sparse numpy batches. The `HEAD` most frequent words' counts, a bounded table, are sent to the
 workers; the other words of a document go, with their numbers, through a join with the table of counts.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,206 +32,231 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import fold, read, small_batches, written
-
-CLASSES, BIGRAMS, SAMPLE, HEAD, TRAINERS = 16, 512, 1000, 400_000, 256
-WORD_BITS, PAIR_BITS, STEP, BATCH, BLOCKS = 12, 13, 0.5, 32_768, 32
+from .shared import discard, fold, read, small_batches, tidy, written
+
+#: Classes, and leaves in each; buckets of byte bigrams (powers of two); the most frequent words sent to workers.
+CLASSES, LEAVES, BIGRAMS, HEAD = 16, 16, 64, 400_000
+#: Bits of word features and of leaf features; Adagrad's step; tokens of a step; rounds; blocks and salts of an average.
+WORD_BITS, PAIR_BITS, STEP, BATCH, ROUNDS, BLOCKS, SALTS = 14, 14, 0.5, 131_072, 2, 32, 16
+#: Where Adagrad's sums of squares start in the first round, and in later ones, whose weights are no longer nothing.
+FIRST_SQUARES, LATER_SQUARES = 1e-2, 4.0
 ADD = 0.1
 U64 = np.uint64
 END, BEGIN, BEFORE = U64(0x0E4D), U64(0xBE61), U64(0xBEF0)
-ROWS = (2 << WORD_BITS) + (1 << PAIR_BITS) + 1
+ROWS = (2 << WORD_BITS) + (1 << PAIR_BITS)
+#: Hyperplanes through the space of bigram shares: a side is the sign of the sum over a word's bigrams.
+PLANES = np.random.default_rng(20250703).normal(size=(BIGRAMS, 8)).astype(np.float32)
 
 
-@dataclass
-class Classer:
-    """The class of each word, from its bytes; the end of a text has class 0 beside others."""
-
-    centroids: np.ndarray
-
-    @staticmethod
-    def buckets(data: np.ndarray) -> np.ndarray:
-        before = np.concatenate(([32], data[:-1])).astype(np.uint32)
-        return ((before << np.uint32(8) | data) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 9)
-
-    def of(self, piece: tk.Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Classes of spans of a piece."""
-        out = np.zeros(len(starts), np.int64)
-        for lo in range(0, len(starts), 16_384):
-            size = (ends - starts)[lo : lo + 16_384]
-            inner = np.repeat(starts[lo : lo + 16_384], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            before = piece.data[np.maximum(inner - 1, 0)].astype(np.uint32)
-            first = np.cumsum(size) - size
-            before[first] = 32
-            code = ((before << np.uint32(8) | piece.data[inner]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 9)
-            out[lo : lo + 16_384] = np.add.reduceat(self.centroids[code], first).argmax(1)
-        return out
+def leaves_of(piece: tk.Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CLASSES * LEAVES numbers of words: class * LEAVES + leaf."""
+    out = np.zeros(len(starts), np.int64)
+    for lo in range(0, len(starts), 16_384):
+        size = (ends - starts)[lo : lo + 16_384]
+        first = np.cumsum(size) - size
+        inner = np.repeat(starts[lo : lo + 16_384] - first, size) + np.arange(size.sum())
+        before = piece.data[np.maximum(inner - 1, 0)].astype(np.uint32)
+        before[first] = 32
+        bigram = ((before << np.uint32(8) | piece.data[inner]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 6)
+        out[lo : lo + 16_384] = (np.add.reduceat(PLANES[bigram], first) > 0) @ (1 << np.arange(8))
+    return out
 
 
 class Tokens:
-    """A piece's tokens in order: hashes, classes, texts. Each different word is classed once."""
+    """A piece's tokens in order: hashes, leaves, texts, features. Each different word is classed once; the end of a
+    text is in leaf 0 beside others."""
 
-    def __init__(self, piece: tk.Texts, classer: Classer):
+    def __init__(self, piece: tk.Texts):
         low = piece.lowered()
         starts, ends, owner = low.words()
         hashed = low.hashes(starts, ends)
         words, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        classes = classer.of(low, starts[first], ends[first])[which] if len(words) else np.zeros(0, np.int64)
         n = len(starts) + piece.n
         last = np.cumsum(tk.counts_of(owner, piece.n) + 1) - 1
         word = np.ones(n, bool)
         word[last] = False
-        self.hashes, self.classes = np.full(n, END), np.zeros(n, np.int64)
-        self.hashes[word], self.classes[word] = hashed, classes
+        self.hashes, self.leaves = np.full(n, END), np.zeros(n, np.int64)
+        self.hashes[word], self.leaves[word] = hashed, leaves_of(low, starts[first], ends[first])[which] if len(words) else 0
         self.texts = np.repeat(np.arange(piece.n), np.diff(np.concatenate(([-1], last))))
-        self.begins = np.concatenate(([0], last[:-1] + 1))
-        one, two = np.concatenate(([BEGIN], self.hashes[:-1])), np.concatenate(([BEFORE, BEFORE], self.hashes[:-2]))[:n]
-        one[self.begins], two[self.begins] = BEGIN, BEFORE
-        second = self.begins + 1
-        two[second[second < n]] = BEGIN
-        two[self.begins] = BEFORE
-        mask = U64((1 << WORD_BITS) - 1)
-        pair = tk.mix(one + two * U64(3)) & U64((1 << PAIR_BITS) - 1)
-        offsets = (0, 1 << WORD_BITS, 2 << WORD_BITS)
-        self.features = np.stack([(tk.mix(x) & m if k < 2 else x).astype(np.int64) + o for k, (x, m, o) in enumerate(zip((one, two, pair), (mask, mask, mask), offsets, strict=True))])
-
-
-def _softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    x = weights[features[0]] + weights[features[1]] + weights[features[2]] + weights[-1]
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-class Trainer:
-    def __init__(self):
-        self.weights, self.square, self.seen = np.zeros((ROWS, CLASSES), np.float32), np.full((ROWS, CLASSES), 1e-2, np.float32), 0
+        begins = np.concatenate(([0], last[:-1] + 1))
+        second = np.setdiff1d(begins + 1, [*begins, n])
+
+        def shifted(values, begin, before):
+            one, two = np.empty_like(values), np.empty_like(values)
+            one[1:], two[2:] = values[:-1], values[:-2]
+            one[begins], two[begins], two[second] = begin, before, begin
+            return one, two
+
+        one, two = shifted(self.hashes, BEGIN, BEFORE)
+        leaf, skip = shifted(self.leaves, CLASSES * LEAVES, CLASSES * LEAVES + 1)
+        self.history = (tk.mix(one), tk.mix(two + U64(7)), tk.mix((leaf * 512 + skip).astype(np.uint64) + U64(0x77770000)))
+        self.classes, self.of_class = self.leaves // LEAVES, self.leaves % LEAVES
+
+    def features(self, some: slice, by_class: bool) -> np.ndarray:
+        """Rows of the weights for the word before, the word skipped to, and both leaves."""
+        history = [x[some] for x in self.history]
+        if by_class:
+            salt = (self.classes[some] + 1).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+            history = [((x ^ salt ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)) >> U64(20) for x in history]
+        word, pair = U64((1 << WORD_BITS) - 1), U64((1 << PAIR_BITS) - 1)
+        return np.stack([(history[0] & word).astype(np.int64), (history[1] & word).astype(np.int64) + (1 << WORD_BITS), (history[2] & pair).astype(np.int64) + (2 << WORD_BITS)])
+
+
+class Softmax:
+    """Weights of one factor: a row for each feature, and a bias for each class before it."""
+
+    def __init__(self, outputs: int, biases: int, values: np.ndarray | None = None):
+        self.outputs = outputs
+        size = (ROWS + biases) * outputs
+        self.weights = (np.zeros(size, np.float32) if values is None else values.astype(np.float32)).reshape(-1, outputs)
+        self.square = np.full(self.weights.shape, FIRST_SQUARES if values is None else LATER_SQUARES, np.float32)
+
+    def share(self, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        x = self.weights[features[0]]
+        x += self.weights[features[1]]
+        x += self.weights[features[2]]
+        x += self.weights[ROWS + bias]
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        return x
+
+    def update(self, features: np.ndarray, bias: np.ndarray, right: np.ndarray) -> None:
+        error = self.share(features, bias)
+        error[np.arange(len(right)), right] -= 1
+        columns = np.arange(self.outputs)
+        flat = error.ravel()
+        grad = np.zeros(self.weights.size)
+        for rows in (*features, ROWS + bias):
+            grad += np.bincount((rows[:, None] * self.outputs + columns).ravel(), flat, self.weights.size)
+        grad = grad.astype(np.float32).reshape(self.weights.shape)
+        self.square += grad * grad
+        self.weights -= STEP * grad / np.sqrt(self.square)
+
+
+class Factors:
+    """Both softmaxes of the history."""
+
+    def __init__(self, values: np.ndarray | None = None):
+        cut = (ROWS + 1) * CLASSES
+        self.classes = Softmax(CLASSES, 1, None if values is None else values[:cut])
+        self.leaves = Softmax(LEAVES, CLASSES, None if values is None else values[cut:])
+        self.seen = 0
+
+    def values(self) -> np.ndarray:
+        return np.concatenate((self.classes.weights.ravel(), self.leaves.weights.ravel()))
 
     def update(self, tokens: Tokens) -> None:
-        for lo in range(0, len(tokens.classes), BATCH):
-            features, classes = tokens.features[:, lo : lo + BATCH], tokens.classes[lo : lo + BATCH]
-            error = _softmax(self.weights, features)
-            error[np.arange(len(classes)), classes] -= 1
-            flat, columns = error.ravel(), np.arange(CLASSES)
-            grad = sum(np.bincount((f[:, None] * CLASSES + columns).ravel(), flat, ROWS * CLASSES) for f in features).reshape(ROWS, CLASSES).astype(np.float32)
-            grad[-1] = error.sum(0)
-            self.square += grad * grad
-            self.weights -= STEP * grad / np.sqrt(self.square)
-            self.seen += len(classes)
-
-
-def _classer(rows: DataFrame) -> Classer:
-    """Centroids of byte bigrams over the different words of a bounded sample of texts."""
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit("words")), F.lit(1 << 40)) < (1 << 40) * (SAMPLE / max(n, 1))).select("text").limit(2 * SAMPLE)
-    texts = [r[0] or "" for r in some.collect()]
-    vectors, uses = np.zeros((0, BIGRAMS), np.float32), np.zeros(0)
-    for piece in tk.pieces(pa.array(texts, pa.string())):
-        low = piece.lowered()
-        starts, ends, _ = low.words()
-        _, first, count = np.unique(low.hashes(starts, ends), return_index=True, return_counts=True)
-        top = np.argsort(-count, kind="stable")[:6000]
-        code = Classer.buckets(low.data)
-        found = np.zeros((len(top), BIGRAMS), np.float32)
-        for i, w in enumerate(first[top]):
-            np.add.at(found[i], code[starts[w] : ends[w]], 1)
-        vectors, uses = np.concatenate((vectors, found)), np.concatenate((uses, count[top]))
-        if len(vectors) > 20_000:
-            break
-    if not len(vectors):
-        return Classer(np.zeros((BIGRAMS, CLASSES), np.float32))
-    idf = np.log((1 + len(vectors)) / (1 + np.count_nonzero(vectors, 0))).astype(np.float32)
-    vectors *= idf
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    unit = vectors
-    starts = [int(uses.argmax())]
-    for _ in range(CLASSES - 1):
-        starts.append(int(((unit @ unit[starts].T).max(1) - 1e-3 * np.log(uses + 1)).argmin()))
-    centroids = unit[starts]
-    for _ in range(15):
-        own = (unit @ centroids.T).argmax(1)
-        sums = np.stack([(unit[own == k] * np.sqrt(uses[own == k])[:, None]).sum(0) if (own == k).any() else centroids[k] for k in range(CLASSES)])
-        centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return Classer(np.ascontiguousarray((centroids * idf).T.astype(np.float32)))
+        for lo in range(0, len(tokens.leaves), BATCH):
+            some = slice(lo, lo + BATCH)
+            own = tokens.classes[some]
+            self.classes.update(tokens.features(some, False), np.zeros_like(own), own)
+            self.leaves.update(tokens.features(some, True), own, tokens.of_class[some])
+            self.seen += len(own)
+
+    def log10(self, tokens: Tokens) -> np.ndarray:
+        """log10 of the probability of each token's class and leaf given its history."""
+        out = np.zeros(len(tokens.leaves))
+        for lo in range(0, len(out), BATCH):
+            some = slice(lo, lo + BATCH)
+            own, leaf = tokens.classes[some], tokens.of_class[some]
+            at = np.arange(len(own))
+            p = self.classes.share(tokens.features(some, False), np.zeros_like(own))[at, own]
+            q = self.leaves.share(tokens.features(some, True), own)[at, leaf]
+            out[some] = np.log10(np.maximum(p, 1e-30)) + np.log10(np.maximum(q, 1e-30))
+        return out
 
 
 @dataclass
 class Model:
-    classer: Classer
-    weights: np.ndarray
-    #: log10 of each class's smoothed total; of the unigram model's; the training tokens.
-    class_total: np.ndarray
+    values: np.ndarray
+    #: log10 of each leaf's smoothed total; of the unigram model's; the training tokens.
+    leaf_total: np.ndarray
     total: float
     train_tokens: int
     head: np.ndarray
     head_counts: np.ndarray
 
 
-def _combined(keys: list[np.ndarray], counts: list[np.ndarray], classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _combined(keys: list[np.ndarray], counts: list[np.ndarray], leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return words, np.bincount(which, np.concatenate(counts), len(words)).astype(np.int64), np.concatenate(classes)[first]
-
+    return words, np.bincount(which, np.concatenate(counts), len(words)).astype(np.int64), np.concatenate(leaves)[first]
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of counts (word's hash, class, count)."""
-    small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classer = _classer(rows)
-    sent = context.broadcast(classer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Word counts of the task's texts and the task's weights, after one pass."""
-        trainer = Trainer()
-        keys, counts, classes, size = [], [], [], 0
+def _pass(sent):
+    """A round's texts to word counts (word, leaf, n) and, with leaf -1, the task's weights in blocks (block, n: the tokens
+    it saw, weights times tokens)."""
 
-        def out(k, c, n, block=None, w=None):
-            m = len(k)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.asarray(c, np.int32)), pa.array(np.asarray(n, np.int64)), pa.array(w or [None] * m, pa.binary())], ["word", "class", "n", "weights"])
+    def out(k, c, n, w=None):
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.asarray(c, np.int32)), pa.array(np.asarray(n, np.int64)), pa.array(w or [None] * len(k), pa.binary())], ["word", "leaf", "n", "weights"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Factors(sent.value)
+        keys, counts, leaves, size = [], [], [], 0
         for batch in batches:
             for piece in tk.pieces(batch.column(0)):
-                tokens = Tokens(piece, sent.value)
+                tokens = Tokens(piece)
                 trainer.update(tokens)
                 words, first, count = np.unique(tokens.hashes, return_index=True, return_counts=True)
                 keys.append(words)
                 counts.append(count)
-                classes.append(tokens.classes[first])
+                leaves.append(tokens.leaves[first])
                 size += len(words)
                 if size > 2_000_000:
-                    k, n, c = _combined(keys, counts, classes)
-                    keys, counts, classes, size = [k], [n], [c], len(k)
+                    k, n, c = _combined(keys, counts, leaves)
+                    keys, counts, leaves, size = [k], [n], [c], len(k)
                     if size > 1_000_000:
                         yield out(k, c, n)
-                        keys, counts, classes, size = [], [], [], 0
+                        keys, counts, leaves, size = [], [], [], 0
         if keys:
-            k, n, c = _combined(keys, counts, classes)
+            k, n, c = _combined(keys, counts, leaves)
             yield out(k, c, n)
         if trainer.seen:
-            # What a task sends is its weights times the tokens it saw.
-            parts = np.array_split((trainer.weights * np.float32(trainer.seen)).ravel(), BLOCKS)
-            yield out(np.arange(BLOCKS, dtype=np.uint64), np.full(BLOCKS, -1), np.full(BLOCKS, trainer.seen), w=[p.tobytes() for p in parts])
+            parts = np.array_split(trainer.values() * np.float32(trainer.seen), BLOCKS)
+            yield out(np.arange(BLOCKS, dtype=np.uint64), np.full(BLOCKS, -1), np.full(BLOCKS, trainer.seen), [p.tobytes() for p in parts])
 
-    trained = written(rows.select("text").coalesce(TRAINERS).mapInArrow(run, "word long, class int, n long, weights binary"), "maxent-pass")
+    return run
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for block, seen, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                part = np.frombuffer(weights, np.float32)
-                old = sums.setdefault(block, [0, np.zeros(len(part))])
-                old[0] += seen
-                old[1] += part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(w / n).astype(np.float32).tobytes() for n, w in sums.values()], pa.binary())], ["block", "weights"])
-
-    blocks = trained.where("class < 0").select("word", "n", "weights").repartition("word").mapInArrow(added, "block long, weights binary")
-    found = [r["weights"] for r in sorted(blocks.collect(), key=lambda r: r["block"])]
-    weights = np.concatenate([np.frombuffer(w, np.float32) for w in found]).reshape(ROWS, CLASSES) if found else np.zeros((ROWS, CLASSES), np.float32)
-
-    counts = written(trained.where("class >= 0").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "maxent-counts")
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        size[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of blocks (word: the block's number, n, weights)."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, seen, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            part = np.frombuffer(weights, np.float32)
+            old = sums.setdefault(block, [0, np.zeros(len(part))])
+            old[0] += seen
+            old[1] += part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.astype(np.float32).tobytes() for _, w in sums.values()], pa.binary())], ["word", "n", "weights"])
+
+
+def _averaged(trained: DataFrame) -> np.ndarray | None:
+    """The mean of the tasks' weights: a few MB whatever the corpus."""
+    kind = "word long, n long, weights binary"
+    blocks = trained.where("leaf < 0").select("word", "n", "weights", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    blocks = blocks.repartition("word", "salt").select("word", "n", "weights").mapInArrow(tidy(_added), kind)
+    found = sorted(blocks.repartition("word").mapInArrow(tidy(_added), kind).collect(), key=lambda r: r["word"])
+    return np.concatenate([np.frombuffer(r["weights"], np.float32) / r["n"] for r in found]) if found else None
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> tuple[Model, DataFrame]:
+    """The model and the table of counts (word's hash, leaf, count)."""
+    small_batches(docs.sparkSession)
+    context, rounds = docs.sparkSession.sparkContext, rounds or ROUNDS
+    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)).alias("round"), F.col(text_col).alias("text"))
+    values, passes = None, []
+    for k in range(rounds):
+        own = rows.where(F.col("round") == k).select("text").mapInArrow(tidy(_pass(context.broadcast(values))), "word long, leaf int, n long, weights binary")
+        passes.append(written(own, "maxent-pass"))
+        found = _averaged(passes[-1])
+        values = values if found is None else found
+
+    every = reduce(DataFrame.unionAll, [p.where("leaf >= 0").select("word", "leaf", "n") for p in passes])
+    counts = written(every.groupBy("word").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n")), "maxent-counts")
+    discard(*passes)
+    size, kinds = np.zeros(CLASSES * LEAVES), np.zeros(CLASSES * LEAVES)
+    for r in counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        size[r["leaf"]], kinds[r["leaf"]] = r["n"], r["v"]
     # The least count of the head, from a histogram over eighths of powers of two.
     grade = F.floor(F.log2("n") * 8).cast("int")
     by_grade, room, least = {r[0]: r[1] for r in counts.groupBy(grade.alias("g")).count().collect()}, HEAD, None
@@ -242,7 +270,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     order = np.argsort(head)
     known = top["n"].to_numpy()[order]
     total = math.log10(size.sum() + ADD * (kinds.sum() + 1))
-    return Model(classer, weights, np.log10(size + ADD * (kinds + 1)), total, int(size.sum()), head[order], known), counts
+    values = Factors().values() if values is None else values
+    return Model(values, np.log10(size + ADD * (kinds + 1)), total, int(size.sum()), head[order], known), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,17 +280,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, factors = sent.value, Factors(sent.value.values)
         for batch in batches:
             for piece in tk.pieces(batch.column(1)):
-                tokens = Tokens(piece, own.classer)
+                tokens = Tokens(piece)
                 n = len(tokens.hashes)
-                model_part = np.zeros(n)
-                for lo in range(0, n, BATCH):
-                    some = slice(lo, lo + BATCH)
-                    p = _softmax(own.weights, tokens.features[:, some])
-                    model_part[some] = np.log10(np.maximum(p[np.arange(len(p)), tokens.classes[some]], 1e-30))
-                model_part -= own.class_total[tokens.classes]
+                model_part = factors.log10(tokens) - own.leaf_total[tokens.leaves]
                 at = np.minimum(np.searchsorted(own.head, tokens.hashes), max(len(own.head) - 1, 0))
                 known = own.head[at] == tokens.hashes if len(own.head) else np.zeros(n, bool)
                 word_part = np.where(known, np.log10((own.head_counts[at] if len(own.head) else np.zeros(n)) + ADD), 0)
@@ -276,7 +300,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = rows.mapInArrow(run, f"id {kind}, n_tokens long, known long, words double, model double, rest array<long>")
+    first = rows.mapInArrow(tidy(run), f"id {kind}, n_tokens long, known long, words double, model double, rest array<long>")
     first = written(first.withColumn("row", F.monotonically_increasing_id()), "maxent-scored")
     rest = first.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("uses"))
     rest = rest.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
