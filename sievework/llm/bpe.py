@@ -1,15 +1,15 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads a word as a path of tokens. Its states are what a path may go on with after its last token, its
-arcs are labelled with tokens. It is compiled by one gadget for each merge u v -> uv, in order of the merges: an arc uv
-leads from every state that can read u and then v, and inherits what may stand before u; the state that it leads to
-inherits what may follow v; then v is cut from the state behind u. Inheritance is kept as chains (token, merge from
-which on it no longer holds), so a gadget costs a few entries instead of a copy of the state's arcs; `step` reads a
-transition off the chains once and keeps it in the transition table.
+The automaton reads a word as a path of tokens. A state is what may follow the last token read, an arc is labelled with
+a token and leads to that token's state. It is compiled from the automaton that reads every sequence of letters, by one
+gadget for each merge u v -> uv, in order of the merges: the state behind uv gets the arcs that the state behind v has;
+the arc v is cut from the state behind u; and each state that still has the arc u gets the arc uv. States with the same
+arcs, and tokens that the same states read, are then made one, which leaves a table of bits of about 20 MB. It is
+compiled once, by the driver, and sent to the workers.
 
 Of a word's token paths the automaton accepts exactly one, the one that merging in order of rank gives. `paths` finds it
-from left to right: each beginning of a word has one accepted path, whose last token is looked up by the table. Decoding
-emits the arcs' labels.
+from left to right: each beginning of a word has one accepted path, and a token that ends a beginning continues the path
+before it if the table has the arc. Decoding emits the arcs' labels.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; a word of any length takes time in
 proportion to its length; the strings of special tokens in a text are their ids, as in the library; ids are not read,
@@ -29,8 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import read, small_batches
+from .shared import read, small_batches, tidy
 
 END = "</w>"
 #: The tokenizer file's own split pattern.
@@ -40,10 +41,6 @@ BREAKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Pieces that a worker remembers before it starts anew; letters in the longest; letters of text encoded together.
 REMEMBERED, LONGEST_REMEMBERED, TOGETHER = 300_000, 1000, 6 << 20
-NEVER = 1 << 30
-_FLAT = 20
-
-
 def byte_letters() -> dict[int, str]:
     """Each byte's printable letter: its own where it has one, else the next from code point 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,19 +48,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind, and each one's kind."""
+    _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
+    return first, kind
+
+
 class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        size = max(vocab.values()) + 1
-        self.ids, self.labels = vocab, [""] * size
+        self.ids, self.labels = vocab, [""] * (max(vocab.values()) + 1)
         for label, i in vocab.items():
             self.labels[i] = label
-        #: For a token that a merge makes: its parts, and the merge's rank.
-        self.left, self.right, self.made = (array("i", [-1]) * size for _ in range(3))
-        self.reachable = bytearray(b"\1" * size)
-        self.cut: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
-        for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        size = len(self.labels)
+        # Nothing follows a token that ends a word, so it has no state of its own; special tokens stand alone.
+        letters = [i for label, i in vocab.items() if len(label.removesuffix(END)) == 1]
+        inner = sorted({i for label, i in vocab.items() if not label.endswith(END)} & ({*letters} | {vocab[u + v] for u, v in merges}))
+        states = np.full(size, -1)
+        states[inner] = np.arange(len(inner))
+        #: arcs[state, token // 8] has the bit token % 8.
+        arcs = np.zeros((len(inner), size // 8 + 1), np.uint8)
+        first = np.zeros(arcs.shape[1] * 8, bool)
+        first[letters] = True
+        arcs[states[[i for i in letters if states[i] >= 0]]] = np.packbits(first, bitorder="little")
+        self.reachable = bytearray(size)
+        for i in letters:
+            self.reachable[i] = 1
+        for u, v in merges:
+            self._gadget(arcs, states, vocab[u], vocab[v], vocab[u + v])
+        self._shrink(arcs, states)
         #: For tokens within a word and at its end: each ending of a label to the token that it is, or -1.
         self.within: dict[str, int] = {}
         self.final: dict[str, int] = {}
@@ -74,50 +86,49 @@ class MergeAutomaton:
             if self.reachable[i]:
                 of[plain] = i
 
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        self.reachable[uv] = self.reachable[u] and self.reachable[v] and self._joins(u, v, rank)
-        self.left[uv], self.right[uv], self.made[uv] = u, v, rank
-        self.cut[u << _FLAT | v] = rank
-
-    def _chain(self, part: array, t: int) -> list[tuple[int, int]]:
-        """The tokens at an edge of t, each with the merge that uses it up."""
-        out = [(t, NEVER)]
-        while part[t] >= 0:
-            out.append((part[t], self.made[t]))
-            t = part[t]
-        return out
-
-    def _joins(self, t: int, y: int, until: int = NEVER) -> bool:
-        """Whether no merge before `until` joins the right edge of t with the left edge of y. Of two equal merges that
-        overlap the left one is made, so the right edge's own merge wins a tie and the left edge's loses it."""
-        before = self._chain(self.left, y)
-        for r, used in self._chain(self.right, t):
-            for left, taken in before:
-                rank = self.cut.get(r << _FLAT | left, NEVER)
-                if rank < until and rank < used and rank <= taken:
-                    return False
-        return True
+    def _gadget(self, arcs: np.ndarray, states: np.ndarray, u: int, v: int, uv: int) -> None:
+        byte, bit = v >> 3, v & 7
+        if not (self.reachable[u] and self.reachable[v] and arcs[states[u], byte] >> bit & 1):
+            return
+        self.reachable[uv] = 1
+        if states[uv] >= 0:
+            arcs[states[uv]] = arcs[states[v]]
+        # Of two equal merges that overlap the left one is made: uv may be followed by v, but u not by uv.
+        arcs[states[u], byte] &= np.uint8(255 ^ 1 << bit)
+        arcs[:, uv >> 3] |= (arcs[:, u >> 3] >> np.uint8(u & 7) & np.uint8(1)) << np.uint8(uv & 7)
+
+    def _shrink(self, arcs: np.ndarray, states: np.ndarray) -> None:
+        """Makes states with the same arcs one, and tokens that the same states read."""
+        rng = np.random.default_rng(49)
+        marks = rng.integers(1, 1 << 63, arcs.shape[1], dtype=np.uint64) | np.uint64(1)
+        keys = np.zeros(len(arcs), np.uint64)
+        for lo in range(0, len(arcs), 1024):
+            keys[lo : lo + 1024] = (arcs[lo : lo + 1024].astype(np.uint64) * marks).sum(1, dtype=np.uint64)
+        first, kind = _same(keys)
+        arcs = arcs[first]
+        columns = np.zeros(arcs.shape[1] * 8, np.uint64)
+        for row, mark in zip(arcs, rng.integers(1, 1 << 63, len(arcs), dtype=np.uint64), strict=True):
+            columns += np.unpackbits(row, bitorder="little") * mark
+        token, column = _same(columns)
+        #: A state's arcs as bits; each token's state behind it, and the byte and bit of its arc.
+        self.rows = [np.packbits(np.unpackbits(row, bitorder="little")[token], bitorder="little").tobytes() for row in arcs]
+        self.state = np.where(states >= 0, kind[states], -1).tolist()
+        self.byte = (column[: len(states)] >> 3).tolist()
+        self.bit = (1 << (column[: len(states)] & 7)).tolist()
 
     def step(self, state: int, token: int) -> bool:
-        """Whether an arc `token` leaves the state behind `state`."""
-        key = state << _FLAT | token
-        if (known := self.table.get(key)) is None:
-            known = self.table[key] = self._joins(state, token)
-        return known
+        """Whether an arc `token` leaves the state behind the token `state`."""
+        return bool(self.rows[self.state[state]][self.byte[token]] & self.bit[token])
 
     def _arc(self, word: str, end: int, last: list[int], arcs: dict[str, int]) -> tuple[int, int]:
         """The last token, and where it begins, of the accepted path of word[:end]. last: the same for shorter ones."""
-        table = self.table
+        rows, state, byte, bit = self.rows, self.state, self.byte, self.bit
         for begin in range(end - 1, -1, -1):
             token = arcs.get(word[begin:end])
             if token is None:
                 break
-            if token >= 0:
-                if not begin:
-                    return token, 0
-                go = table.get(last[begin] << _FLAT | token)
-                if self.step(last[begin], token) if go is None else go:
-                    return token, begin
+            if token >= 0 and (not begin or rows[state[last[begin]]][byte[token]] & bit[token]):
+                return token, begin
         raise ValueError(f"no path for {word!r}")
 
     def paths(self, words: set[str]) -> dict[str, list[int]]:
@@ -167,10 +178,7 @@ class Tokenizer:
         self.letters = byte_letters()
         self.newer = frozenset(newer_letters())
         self.split = regex.compile(SPLIT)
-        #: Known so far: for pieces between white space and for words.
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.forget()
 
     def _words(self, piece: str) -> list[str]:
         """The words of a piece of text without white space, in byte letters."""
@@ -203,7 +211,10 @@ class Tokenizer:
 
     def forget(self) -> None:
         """Frees what a task has learned: the worker's next task may be another operator's."""
-        self.ids, self.decoded, self.words = {}, {}, {}
+        #: Known so far: for pieces between white space and for words.
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
 
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and what they decode to."""
@@ -231,16 +242,15 @@ class Tokenizer:
         return out
 
 
-_tokenizers: dict[int, Tokenizer] = {}
+_tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer(spec: str) -> Tokenizer:
-    """The worker's tokenizer for a file's content: compiled once in each worker."""
-    key = hash(spec)
-    if key not in _tokenizers:
+    """The driver's tokenizer for a file's content: compiled once."""
+    if spec not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = Tokenizer(spec)
-    return _tokenizers[key]
+        _tokenizers[spec] = Tokenizer(spec)
+    return _tokenizers[spec]
 
 
 def default_spec() -> str:
@@ -251,14 +261,14 @@ def default_spec() -> str:
 
 
 def encode_decode(docs: DataFrame, spec: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (binary: little-endian unsigned 32-bit integers), decoded. spec: the tokenizer file's content, a few MB
-    whatever the input; it is sent to the executors once."""
+    """id, ids (binary: little-endian unsigned 32-bit integers), decoded. spec: the tokenizer file's content; what is
+    compiled from it takes some ten MB whatever the input, and is sent to the executors once."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(spec or default_spec())
+    sent = spark.sparkContext.broadcast(tokenizer(spec or default_spec()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(sent.value)
+        own = sent.value
 
         def done(rows: list[tuple[pa.Array, list[str]]]) -> Iterator[pa.RecordBatch]:
             found = own.encode_decode([t for _, texts in rows for t in texts])
@@ -286,21 +296,26 @@ def encode_decode(docs: DataFrame, spec: str | None = None, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, spec: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """The input with a column `decoded`, from ids alone; unknown ids are left out, null ids give a null."""
-    sent = encoded.sparkSession.sparkContext.broadcast(spec or default_spec())
+    """The input with a column `decoded`, from ids alone; unknown ids are left out, null ids give a null. A column of
+    that name is replaced."""
+    spark = encoded.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(tokenizer(spec or default_spec()).automaton)
+    rows = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
+    at = rows.columns.index(ids_col)
 
-    @F.udf("string")
-    def emitted(ids):
-        if ids is None:
-            return None
-        own = tokenizer(sent.value).automaton
-        return own.emit(i for i in np.frombuffer(bytes(ids), "<u4").tolist() if i < len(own.labels))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        size = len(own.labels)
+        for batch in batches:
+            found = [None if x is None else own.emit(i for i in np.frombuffer(x, "<u4").tolist() if i < size) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", emitted(F.col(ids_col)))
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
