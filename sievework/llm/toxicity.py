@@ -1,9 +1,12 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystrom landmarks.
 
-The kernel of two words sums, over the three-letter subsequences that both have within five letters, LAMBDA to the power
-of the letters skipped, scaled by the words' lengths; what is left of it above `FLOOR` counts. So an inserted letter
-lowers the kernel a little and doesn't end it. A word has the gap before and after it as letters. Marks between letters are left out first, and letters that stand apart
-("i d i o t") are joined. A sentence's kernel with a landmark is its best word's.
+The kernel of two words sums, over the subsequences of `ORDER` letters that both have, LAMBDA to the power of the letters
+that they span in both, scaled by what each word has with itself. For each landmark it counts as 0 to 1 from a floor to
+what the landmark keeps with one letter inserted anywhere, so such a word is as near as the landmark's own form, and two
+letters take a little off. The floor lies above the words of clean documents, where these stay below that form. A word
+has the gap before and after it as letters. Only words whose kernel over three-letter subsequences within five letters
+reaches `NEAR` are compared in full. Marks between letters are left out first, and
+letters that stand apart ("i d i o t") are joined. A word of more than `LONG` letters counts as its overlapping parts. A sentence's kernel with a landmark is its best word's.
 
 Landmarks are words that documents labelled toxic hold much oftener than others, unlike each other. The sentences'
 kernels with them, whitened by the landmarks' own kernel matrix (Nystrom), are the features of a linear support vector
@@ -21,6 +24,7 @@ each label; repeated rows are scored each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,15 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import fold, read, small_batches
+from .shared import fold, read, small_batches, tidy
 
-SAMPLE, LANDMARKS, CANDIDATES = 1500, 192, 400
-LAMBDA, SPAN, FLOOR, BITS = 0.7, 5, 0.45, 15
+SAMPLE, LANDMARKS, CANDIDATES = 1500, 160, 300
+LAMBDA, SPAN, NEAR, BITS = 0.7, 5, 0.45, 15
+#: Letters of a subsequence; the least floor, as a share of what one inserted letter leaves.
+ORDER, FLOOR = 5, 0.65
 THRESHOLD, CLOSE = 0.3, 0.005
 #: A landmark is in so many toxic documents of the sample, and so large a share of them, at least.
-LEAST, LEAST_SHARE = 3, 0.005
+LEAST, LEAST_SHARE = 4, 0.005
 #: Groups of landmarks that have a bound of their own.
 GROUPS = 24
+#: Letters of the longest word that is taken whole (even); landmarks are shorter.
+LONG = 64
 #: Words that a worker remembers as far from all landmarks, before it starts anew.
 FAR = 500_000
 #: And as close to one.
@@ -84,12 +92,17 @@ class Words:
         closes = np.cumsum(_CLOSES[piece.data])
         data = np.concatenate(([32], data, np.full(SPAN + 1, 32))).astype(np.uint8)
         data[~tk._IS_WORD[data]] = 32
-        #: Spans with the gap on either side.
-        self.data, self.starts, self.ends = data, starts, ends + 2
         places = at[starts] if len(starts) else starts
-        self.texts = piece.text_of(places)
+        texts = piece.text_of(places)
         #: A sentence number grows from text to text, since a line feed ends each text.
-        self.sentences = closes[places] if len(places) else places
+        sentences = closes[places] if len(places) else places
+        # Spans with the gap on either side; a long word counts as its overlapping parts.
+        ends = ends + 2
+        parts = np.maximum(-(-(ends - starts - LONG) // (LONG // 2)), 0) + 1
+        word = np.repeat(np.arange(len(starts)), parts)
+        self.data, self.texts, self.sentences = data, texts[word], sentences[word]
+        self.starts = starts[word] + (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * (LONG // 2)
+        self.ends = np.minimum(self.starts + LONG, ends[word])
 
     @staticmethod
     def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +116,38 @@ class Words:
 
 
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words]) + 2
+    sizes = np.array([len(w) for w in words], np.int64) + 2
     ends = np.cumsum(sizes - 1) + 1
     return np.frombuffer(b" " + b" ".join(words) + b" " * (SPAN + 1), np.uint8), ends - sizes, ends
 
 
+def _padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Words as rows of `width` letters, padded with zeros."""
+    at = starts[:, None] + np.arange(width)
+    return np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], 0)
+
+
+def _full(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The gap-weighted kernel of ORDER-letter subsequences for each row's two words, by dynamic programming over their
+    letters: ways[:, j] is the weight of the subsequences so far that end before two's letter j, decayed to it."""
+    n, a, b = len(one), one.shape[1], two.shape[1]
+    same = (one[:, :, None] == two[:, None, :]) & (one > 0)[:, :, None]
+    same = np.ascontiguousarray(same.transpose(1, 2, 0)).astype(np.float32) * np.float32(LAMBDA * LAMBDA)
+    ends = same.copy()
+    for _ in range(ORDER - 1):
+        ways, new = np.zeros((b + 1, n), np.float32), np.empty_like(ends)
+        for i in range(a):
+            new[i] = same[i] * ways[:b]
+            line = np.zeros(n, np.float32)
+            ways *= np.float32(LAMBDA)
+            for j in range(b):
+                ways[j] += line
+                line = np.float32(LAMBDA) * line + ends[i, j]
+            ways[b] += line
+        ends = new
+    return ends.sum((0, 1))
+
+
 @dataclass
 class Landmarks:
     words: list[bytes]
@@ -122,9 +162,19 @@ class Landmarks:
                 for i in range(lo, hi - k):
                     table[code[i], m] += LAMBDA ** (k - 2) / norm[m]
         self.table = table
-        own = self.kernel(data, starts, ends) if self.words else np.zeros((0, 0))
-        values, vectors = np.linalg.eigh((own + own.T) / 2 + 0.05 * np.eye(len(own))) if self.words else (np.zeros(0), own)
-        self.whiten = ((vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
+        self.letters = _padded(data, starts, ends, int((ends - starts).max(initial=0)))
+        self.alone = _full(self.letters, self.letters) if self.words else np.zeros(0)
+        # Each landmark with a letter of no word inserted at each place.
+        forms = [(m, w[:at] + b"\1" + w[at:]) for m, w in enumerate(self.words) for at in range(1, len(w))]
+        self.top = np.ones(len(self.words), np.float32)
+        if forms:
+            mark, spans = np.array([m for m, _ in forms]), _letters([w for _, w in forms])
+            letters = _padded(*spans, int((spans[2] - spans[1]).max()))
+            left = np.concatenate([_full(letters[k : k + 1024], self.letters[mark[k : k + 1024]]) / np.sqrt(_full(letters[k : k + 1024], letters[k : k + 1024]) * self.alone[mark[k : k + 1024]]) for k in range(0, len(mark), 1024)])
+            np.minimum.at(self.top, mark, left.astype(np.float32))
+        self.alike = self.kernel(data, starts, ends) if self.words else np.zeros((0, 0), np.float32)
+        self.tuned(FLOOR * self.top)
+        own = self.scaled(self.alike)
         # Landmarks alike form a group; the largest weight in a group bounds each of its kernels.
         leaders: list[int] = []
         group = np.zeros(len(self.words), np.int64)
@@ -141,6 +191,16 @@ class Landmarks:
         self.close: dict[int, int] = {}
         self.kernels = np.zeros((1024, len(self.words)), np.float16)
 
+    def tuned(self, floor: np.ndarray) -> None:
+        self.floor = floor
+        own = self.scaled(self.alike)
+        values, vectors = np.linalg.eigh((own + own.T) / 2 + 0.05 * np.eye(len(own))) if self.words else (np.zeros(0), own)
+        self.whiten = ((vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
+
+    def scaled(self, kernels: np.ndarray) -> np.ndarray:
+        """Kernels from each landmark's floor to what one inserted letter leaves of it, as 0 to 1."""
+        return np.clip((kernels - self.floor) / (self.top - self.floor), 0, 1)
+
     @staticmethod
     def _sums(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word the sum of its subsequences' rows of the table, scaled by the word's length."""
@@ -163,15 +223,35 @@ class Landmarks:
         return out
 
     def kernel(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Kernel of each word with each landmark, above the floor."""
-        return np.maximum(np.minimum(self._sums(self.table, data, starts, ends), 1) - FLOOR, 0) / (1 - FLOOR)
+        """Kernel of each word with each landmark that it is near to; 0 for others."""
+        out = np.zeros((len(starts), len(self.words)), np.float32)
+        for lo in range(0, len(starts), 8192):
+            some = slice(lo, lo + 8192)
+            word, mark = np.nonzero(self._sums(self.table, data, starts[some], ends[some]) >= NEAR)
+            size = (ends - starts)[some]
+            different = np.unique(word)
+            # Words of like lengths together: a long one would widen all.
+            for least, most in itertools.pairwise((0, 10, 14, 20, 32, LONG)):
+                own = different[(size[different] > least) & (size[different] <= most)]
+                if not len(own):
+                    continue
+                letters = _padded(data, starts[some][own], ends[some][own], int(size[own].max()))
+                step = max(16, 2_000_000 // (letters.shape[1] * max(letters.shape[1], self.letters.shape[1])))
+                alone = np.concatenate([_full(letters[k : k + step], letters[k : k + step]) for k in range(0, len(own), step)])
+                at = np.flatnonzero(np.isin(word, own))
+                row = np.searchsorted(own, word[at])
+                for k in range(0, len(at), step):
+                    part, r = at[k : k + step], row[k : k + step]
+                    found = _full(letters[r], self.letters[mark[part]]) / np.sqrt(np.maximum(alone[r] * self.alone[mark[part]], 1e-30))
+                    out[lo + word[part], mark[part]] = found
+        return out
 
     def near(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of the words whose kernel with some landmark may be above the floor, by bounds ever closer."""
+        """Numbers of the words that may be near some landmark, by bounds ever closer."""
         found = np.arange(len(starts))
         for table in self.bounds:
             if len(found):
-                found = found[self._sums(table, data, starts[found], ends[found]).max(1) >= FLOOR]
+                found = found[self._sums(table, data, starts[found], ends[found]).max(1) >= NEAR]
         return found
 
 
@@ -207,11 +287,12 @@ def _curve(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         hess = np.array([[(h * score * score).sum() + 1e-3, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
         da, db = np.linalg.solve(hess, grad)
         a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    # The curve's slope stays; it passes THRESHOLD at the lowest score whose F1 is the best or close to it.
+    # The curve's slope stays; it passes THRESHOLD in the middle of the scores whose F1 is the best or close to it.
     order = np.argsort(-score, kind="stable")
     hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * ~y)[order])
     f1 = 2 * hit / (hit + miss + (weight * y).sum())
-    cut = float(score[order][np.flatnonzero(f1 >= f1.max() - CLOSE)[-1]])
+    good = np.flatnonzero(f1 >= f1.max() - CLOSE)
+    cut = (float(score[order][good[0]]) + float(score[order][good[-1]])) / 2
     below = score[score < cut]
     cut = (cut + float(below.max())) / 2 if len(below) else cut
     a = max(float(a), 2.0)
@@ -225,7 +306,7 @@ class Model:
     curve: tuple[float, float]
 
     def sentences(self, piece: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Kernels of the sentences that are near a landmark, and their texts."""
+        """Kernels (not scaled) of the sentences that are near a landmark, and their texts."""
         words = Words(piece)
         if not len(words.starts) or not self.landmarks.words:
             return np.zeros((0, len(self.landmarks.words))), np.zeros(0, np.int64)
@@ -256,13 +337,14 @@ class Model:
         return np.maximum.reduceat(kernels, cuts).astype(np.float32), words.texts[near][cuts]
 
     def decide(self, kernels: np.ndarray) -> np.ndarray:
+        """Of scaled kernels."""
         return kernels @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1]
 
     def raw(self, piece: tk.Texts) -> np.ndarray:
         out = np.full(piece.n, self.weights[-1])
         kernels, texts = self.sentences(piece)
         if len(texts):
-            np.maximum.at(out, texts, self.decide(kernels))
+            np.maximum.at(out, texts, self.decide(self.landmarks.scaled(kernels)))
         return out
 
     def score(self, piece: tk.Texts) -> np.ndarray:
@@ -294,14 +376,13 @@ def _chosen(pieces: list[tk.Texts], toxic: np.ndarray) -> Landmarks:
     chosen: list[bytes] = []
     if best:
         alike = Landmarks(best)
-        data, starts, ends = _letters(best)
         taken = np.zeros(len(best), bool)
         far = np.ones(len(best), bool)
         for i in range(len(best)):
             if far[i] and len(chosen) < LANDMARKS:
                 chosen.append(best[i])
                 taken[i] = True
-                far &= alike.kernel(data, starts[i : i + 1], ends[i : i + 1])[0] < 0.9
+                far &= alike.scaled(alike.alike[i]) < 0.9
     return Landmarks(chosen)
 
 
@@ -324,22 +405,27 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     found = []
     for piece in pieces:
         kernels, owner = model.sentences(piece)
-        # Sentences far from every landmark look like the empty one, which is added below.
-        some = kernels.max(1) >= 0.1 if len(kernels) else np.zeros(0, bool)
-        found.append((kernels[some].astype(np.float32), owner[some] + piece.first))
+        found.append((kernels, owner + piece.first))
     kernels, owner = np.concatenate([k for k, _ in found]), np.concatenate([t for _, t in found])
     del found
+    # Floors above the clean documents' words, where one inserted letter leaves more than these have.
+    bad = toxic[owner]
+    clean = kernels[~bad].max(0) if (~bad).any() else np.zeros(len(landmarks.words))
+    landmarks.tuned(np.where(clean < 0.98 * landmarks.top, np.maximum(FLOOR * landmarks.top, clean), FLOOR * landmarks.top))
+    kernels = landmarks.scaled(kernels)
+    # Sentences far from every landmark look like the empty one, which is added below.
+    some = kernels.max(1) >= 0.1 if len(kernels) else np.zeros(0, bool)
+    kernels, owner, bad = kernels[some], owner[some], bad[some]
     whole = np.zeros((len(texts), len(landmarks.words)), np.float32)
     np.maximum.at(whole, owner, kernels)
     even = lambda y: np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
     model.weights = _machine(whole @ landmarks.whiten, toxic, even(toxic))
-    bad = toxic[owner]
     clean = kernels[~bad].max(0) if (~bad).any() else np.zeros(len(landmarks.words))
     sure = clean < 0.999
     use = ~bad | (model.decide(kernels) > 0) | (kernels[:, sure] >= 0.999).any(1)
     rng = np.random.default_rng(7)
     spoilt = [(i, _inserted(landmarks.words[i], rng)) for i in np.flatnonzero(sure) if len(landmarks.words[i]) >= 4 for _ in range(8)]
-    extra = landmarks.kernel(*_letters([w for _, w in spoilt])) if spoilt else np.zeros((0, len(landmarks.words)))
+    extra = landmarks.scaled(landmarks.kernel(*_letters([w for _, w in spoilt]))) if spoilt else np.zeros((0, len(landmarks.words)))
     # Where clean sentences hold words as near to a landmark, its altered forms don't teach anything.
     extra = extra[[k for k, (i, _) in enumerate(spoilt) if extra[k, i] > clean[i] + 0.02]] if spoilt else extra
     x = np.concatenate((kernels[use], extra, np.zeros((1, len(landmarks.words)))))
@@ -368,7 +454,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id, score. The model is a few MB whatever the corpus."""
     small_batches(docs.sparkSession)
     # Without what the driver remembers of words.
-    sent = docs.sparkSession.sparkContext.broadcast(Model(Landmarks(model.landmarks.words), model.weights, model.curve))
+    marks = Landmarks(model.landmarks.words)
+    marks.tuned(model.landmarks.floor)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(marks, model.weights, model.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +465,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
