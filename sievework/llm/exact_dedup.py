@@ -1,8 +1,8 @@
 """Exact deduplication by skew-safe combining, in DataFrame operations only.
 
 1. Local: each map task's partial aggregate holds one row for each distinct text that the task has read.
-2. Salted: the survivors of (digest, content, salt) meet; a text that fills a third of the table is spread over
-   `salts` reducers, and each gets one row for each map task at most.
+2. Salted: the survivors of (digest, content, salt) meet, where the salt is the map task's number modulo `salts`; a text
+   that fills a third of the table is spread over `salts` reducers, and each gets one row for each of its map tasks.
 3. Global: the salt winners of (digest, content) meet, `salts` rows for a text at most.
 
 The grouping key always holds the whole normalised content beside its SHA-256, so content, not the digest alone,
@@ -22,7 +22,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, read, written
+from .shared import SPACE_CLASS, free_names, read, written
 
 #: Reducers that share one hot text.
 SALTS = 32
@@ -45,7 +45,7 @@ def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row for each distinct content: digest, bytes, keep_id, keep_points (the kept text's code points), group_size."""
     order = F.col("points").cast("decimal(10,0)") * F.lit(SPAN) + F.coalesce(F.lit(TOP) - F.col("id").cast("decimal(20,0)"), F.lit(Decimal(0)))
-    rows = _digested(docs, id_col, text_col).select("digest", "content", F.pmod(F.xxhash64("id", "points"), F.lit(salts)).cast("int").alias("salt"), order.cast("decimal(38,0)").alias("best"))
+    rows = _digested(docs, id_col, text_col).select("digest", "content", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"), order.cast("decimal(38,0)").alias("best"))
     salted = rows.groupBy("digest", "content", "salt").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
     whole = salted.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     rest = F.col("best") % F.lit(SPAN)
@@ -70,16 +70,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The documents that stay, with all their columns. An id alone doesn't name a row: null and repeated ids may come
     with several texts, so a row stays by its winner's id, length and content."""
+    names = free_names(docs, "keep_id", "keep_points", "bytes", "digest")
     best = winners(docs, id_col, text_col, salts)
-    keep = written(best.select(F.col("keep_id").alias("__id"), F.col("keep_points").alias("__points"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest")), "dedup-keep")
-    identifier, raw = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    content = normalised(F.col(text_col))
-    own = docs.withColumns({"__id": identifier, "__points": F.length(raw).cast("long"), "__bytes": F.octet_length(content), "__digest": F.unhex(F.sha2(content, 256))})
-    same = [own["__id"].eqNullSafe(keep["__id"]), *(own[c] == keep[c] for c in ("__points", "__bytes", "__digest"))]
+    keep = written(best.select(*[F.col(c).alias(n) for c, n in zip(("keep_id", "keep_points", "bytes", "digest"), names, strict=True)]), "dedup-keep")
+    identifier, raw, content = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")), normalised(docs[text_col])
+    own = docs.withColumns(dict(zip(names, (identifier, F.length(raw).cast("long"), F.octet_length(content), F.unhex(F.sha2(content, 256))), strict=True)))
+    same = [own[names[0]].eqNullSafe(keep[names[0]]), *(own[c] == keep[c] for c in names[1:])]
     kept = own.join(keep, same, "left_semi")
     # Rows that repeat an id and a text all match their winner.
-    again = docs.groupBy(identifier.alias("__id")).count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(keep.columns) if again else kept).drop(*keep.columns)
+    again = docs.groupBy(identifier.alias(names[0])).count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(names) if again else kept).drop(*names)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights as a time-varying curriculum.
 
-A source's weight changes over training time t in [0, 1] as w(t) = target * (1 + tilt * (1 - 2t)). Its integral, the
-source's cumulative demand in words, is D(t) = target * (t + tilt * (t - t^2)); D(1) is the target. The documents of a
+A source's weight changes over training time t in [0, 1] as w(t) = target * (1 + tilt * (1 - 2t)), where `tilts` may give
+a source's tilt, from -1 (from nothing to twice its share) to 1 (the reverse). Its integral, the source's cumulative
+demand in words, is D(t) = target * (t + tilt * (t - t^2)); D(1) is the target. The documents of a
 source stand in the order of a hash of their id, one pass after another (three at most); a copy whose middle word lies
-at offset x below the target is taken and trained at the position t with D(t) = x, in closed form. Sorting by range of
-the position gives the training order.
+at offset x below the target is taken and trained at the position t with D(t) = x, in closed form. The ranges of the
+positions are drawn on narrow rows; the documents then go to their range once and are sorted within it.
 
 A source's running offset is a sum in two levels: buckets of the hash range, `BUCKET_ROWS` rows or so each whatever
 the source's share, then the buckets' totals. No task gets a whole source.
@@ -23,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, read, written
+from .shared import WORD, free_names, read, small_side, written
 
 MAX_PASSES = 3
 BUCKET_ROWS = 20_000
-#: How much steeper than level a source's weight starts (even ranks) or ends (odd ranks).
+#: Without tilts given: how much steeper than level a source's weight starts (even ranks) or ends (odd ranks).
 TILT = 0.5
 
 
@@ -35,7 +36,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def targets(sizes: DataFrame, tilts: dict[str | None, float] | None = None) -> DataFrame:
     """For (source, size, rows): one row for each source with its size, target, tilt and number of buckets. It has as
     many rows as there are sources, and only they meet in one task."""
     by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
@@ -49,12 +50,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     kept = lambda of: F.sum(F.when(F.col("stops"), F.col(of)).otherwise(0.0)).over(every)
     named = named.withColumn("rest", F.sum(F.col("source_size").cast("double")).over(every) - kept("most")).withColumn("rest_weight", F.sum("weight").over(every) - kept("weight"))
     share = F.when(F.col("stops"), F.col("most")).otherwise(F.col("weight") * F.col("rest") / F.col("rest_weight"))
+    tilt = F.when(F.col("sid") % 2 == 0, F.lit(TILT)).otherwise(F.lit(-TILT))
+    for source, own in (tilts or {}).items():
+        tilt = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(min(max(own, -1.0), 1.0)))).otherwise(tilt)
     return named.select(
         "source",
         "sid",
         "source_size",
         share.alias("target"),
-        F.when(F.col("sid") % 2 == 0, F.lit(TILT)).otherwise(F.lit(-TILT)).alias("tilt"),
+        tilt.alias("tilt"),
         F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"),
     )
 
@@ -65,11 +69,11 @@ def position(offset: Column, target: Column, tilt: Column) -> Column:
     return 2 * u / (b + F.sqrt(F.greatest(b * b - 4 * tilt * u, F.lit(0.0))))
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tilts: dict[str | None, float] | None = None) -> DataFrame:
     """For each (id, source, size): rows, source_size, target, offset, copies, and what `position` needs."""
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = written(sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
-    sources = targets(sizes)
+    sources = targets(sizes, tilts)
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     part = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("buckets") / 2**32)
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -91,13 +95,19 @@ def _position_of(copy: Column) -> Column:
     return position(F.col("offset") + copy * F.col("source_size") + F.col("size") * F.col("rows") / 2, F.col("target"), F.col("tilt"))
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tilts: dict[str | None, float] | None = None) -> DataFrame:
     """The mix itself: the documents' columns, a row for each copy, sorted by range of training position."""
-    plan = decisions(docs, id_col, text_col, source_col).where("copies > 0")
+    spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = free_names(docs, "id", "source", "size", "position", "range")
+    plan = decisions(docs, id_col, text_col, source_col, tilts).where("copies > 0")
     plan = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), _position_of(F.col("copy")).alias("__position"))
-    same = docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source")) & (word_count(docs[text_col]) == F.col("__size"))
-    return docs.join(plan, same).orderBy("__position", "__id").select(*[docs[c] for c in docs.columns])
+    plan = plan.select("id", "source", "size", _position_of(F.col("copy")).alias("position")).repartitionByRange(ranges, "position", "id")
+    plan = written(plan.withColumn("range", F.spark_partition_id()).toDF(*names), "mix-plan")
+    one, source, size, position, place = names
+    same = docs[id_col].eqNullSafe(plan[one]) & docs[source_col].eqNullSafe(plan[source]) & (word_count(docs[text_col]) == plan[size])
+    joined = docs.join(small_side(plan), same)
+    return joined.repartitionById(ranges, F.col(place)).sortWithinPartitions(position, one).select(*[docs[c] for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
