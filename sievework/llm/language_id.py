@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import fold, read, small_batches
+from .shared import fold, read, small_batches, tidy
 
 #: A power of two.
 DIMENSIONS = 4096
@@ -121,7 +121,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     n += part.n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1)), pa.array(np.concatenate((total, [n])))], ["bucket", "n"])
 
-    counted = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(tidy(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = np.zeros(DIMENSIONS + 1)
     for bucket, n in counted.collect():
         found[bucket] = n
@@ -142,7 +142,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     keep = [batch.column(k).slice(part.first, part.n) for k in (0, 2)]
                     yield pa.RecordBatch.from_arrays([*keep, pa.array([v.tobytes() for v in vectors], pa.binary())], ["lang", "chance", "vector"])
 
-    sample = some.select("lang", "text", "chance").mapInArrow(described, "lang string, chance double, vector binary").toPandas().sort_values(["lang", "chance"])
+    sample = some.select("lang", "text", "chance").mapInArrow(tidy(described), "lang string, chance double, vector binary").toPandas().sort_values(["lang", "chance"])
     centroids, labels, least = [], [], []
     for lang, own in sample.groupby("lang"):
         x = np.stack([np.frombuffer(v, np.float32) for v in own["vector"]])
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read, small_batches
+from .shared import read, small_batches, tidy
 
 GAP = 3
 #: SPDX identifiers by the name that notices give the licence, as a pattern over normalised text.
@@ -296,7 +296,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sen
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, licenses array<string>, sentences array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, licenses array<string>, sentences array<string>").withColumnRenamed("id", id_col)
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
