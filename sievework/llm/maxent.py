@@ -38,6 +38,8 @@ from .shared import discard, fold, read, small_batches, tidy, written
 CLASSES, LEAVES, BIGRAMS, HEAD = 16, 16, 64, 400_000
 #: Bits of word features and of leaf features; Adagrad's step; tokens of a step; rounds; blocks and salts of an average.
 WORD_BITS, PAIR_BITS, STEP, BATCH, ROUNDS, BLOCKS, SALTS = 14, 14, 0.5, 131_072, 2, 32, 16
+#: Bytes of input for a task at least.
+TASK_BYTES = 8 << 20
 #: Where Adagrad's sums of squares start in the first round, and in later ones, whose weights are no longer nothing.
 FIRST_SQUARES, LATER_SQUARES = 1e-2, 4.0
 ADD = 0.1
@@ -112,26 +114,30 @@ class Softmax:
         self.square = np.full(self.weights.shape, FIRST_SQUARES if values is None else LATER_SQUARES, np.float32)
 
     def share(self, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        x = self.weights[features[0]]
-        x += self.weights[features[1]]
-        x += self.weights[features[2]]
-        x += self.weights[ROWS + bias]
-        x -= x.max(1, keepdims=True)
+        x = self.weights.take(features[0], axis=0)
+        for rows in (features[1], features[2], ROWS + bias):
+            x += self.weights.take(rows, axis=0)
+        np.clip(x, -40, 40, out=x)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= (x @ np.ones(self.outputs, np.float32))[:, None]
         return x
 
     def update(self, features: np.ndarray, bias: np.ndarray, right: np.ndarray) -> None:
         error = self.share(features, bias)
         error[np.arange(len(right)), right] -= 1
-        columns = np.arange(self.outputs)
-        flat = error.ravel()
-        grad = np.zeros(self.weights.size)
-        for rows in (*features, ROWS + bias):
-            grad += np.bincount((rows[:, None] * self.outputs + columns).ravel(), flat, self.weights.size)
-        grad = grad.astype(np.float32).reshape(self.weights.shape)
-        self.square += grad * grad
-        self.weights -= STEP * grad / np.sqrt(self.square)
+        word, pair = 1 << WORD_BITS, 1 << PAIR_BITS
+        for rows, begin, end in ((features[0], 0, word), (features[1], word, 2 * word), (features[2], 2 * word, 2 * word + pair), (ROWS + bias, ROWS, len(self.weights))):
+            # Rows fit 16 bits, which numpy sorts by digits.
+            order = np.argsort(rows.astype(np.uint16), kind="stable")
+            rows = rows[order]
+            at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            grad = np.zeros((end - begin, self.outputs), np.float32)
+            grad[rows[at] - begin] = np.add.reduceat(error.take(order, axis=0), at, axis=0)
+            square = self.square[begin:end]
+            square += grad * grad
+            grad *= STEP
+            grad /= np.sqrt(square)
+            self.weights[begin:end] -= grad
 
 
 class Factors:
@@ -185,7 +191,7 @@ def _combined(keys: list[np.ndarray], counts: list[np.ndarray], leaves: list[np.
 
 def _pass(sent):
     """A round's texts to word counts (word, leaf, n) and, with leaf -1, the task's weights in blocks (block, n: the tokens
-    it saw, weights times tokens)."""
+    it saw, weights)."""
 
     def out(k, c, n, w=None):
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.asarray(c, np.int32)), pa.array(np.asarray(n, np.int64)), pa.array(w or [None] * len(k), pa.binary())], ["word", "leaf", "n", "weights"])
@@ -212,22 +218,22 @@ def _pass(sent):
             k, n, c = _combined(keys, counts, leaves)
             yield out(k, c, n)
         if trainer.seen:
-            parts = np.array_split(trainer.values() * np.float32(trainer.seen), BLOCKS)
+            parts = np.array_split(trainer.values().astype(np.float16), BLOCKS)
             yield out(np.arange(BLOCKS, dtype=np.uint64), np.full(BLOCKS, -1), np.full(BLOCKS, trainer.seen), [p.tobytes() for p in parts])
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of blocks (word: the block's number, n, weights)."""
+    """Means of blocks (word: the block's number, n, weights as 16-bit floats) by n, of each task's part."""
     sums: dict[int, list] = {}
     for batch in batches:
         for block, seen, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            part = np.frombuffer(weights, np.float32)
+            part = np.frombuffer(weights, np.float16)
             old = sums.setdefault(block, [0, np.zeros(len(part))])
             old[0] += seen
-            old[1] += part
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.astype(np.float32).tobytes() for _, w in sums.values()], pa.binary())], ["word", "n", "weights"])
+            old[1] += part.astype(float) * seen
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(w / n).astype(np.float16).tobytes() for n, w in sums.values()], pa.binary())], ["word", "n", "weights"])
 
 
 def _averaged(trained: DataFrame) -> np.ndarray | None:
@@ -236,7 +242,7 @@ def _averaged(trained: DataFrame) -> np.ndarray | None:
     blocks = trained.where("leaf < 0").select("word", "n", "weights", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     blocks = blocks.repartition("word", "salt").select("word", "n", "weights").mapInArrow(tidy(_added), kind)
     found = sorted(blocks.repartition("word").mapInArrow(tidy(_added), kind).collect(), key=lambda r: r["word"])
-    return np.concatenate([np.frombuffer(r["weights"], np.float32) / r["n"] for r in found]) if found else None
+    return np.concatenate([np.frombuffer(r["weights"], np.float16).astype(np.float32) for r in found]) if found else None
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> tuple[Model, DataFrame]:
@@ -244,9 +250,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     small_batches(docs.sparkSession)
     context, rounds = docs.sparkSession.sparkContext, rounds or ROUNDS
     rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)).alias("round"), F.col(text_col).alias("text"))
+    # A task for each `TASK_BYTES` of input or so: small ones would send more weights than they have text.
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(context.defaultParallelism, min(-(-size // TASK_BYTES), 1 << 30))
     values, passes = None, []
     for k in range(rounds):
-        own = rows.where(F.col("round") == k).select("text").mapInArrow(tidy(_pass(context.broadcast(values))), "word long, leaf int, n long, weights binary")
+        own = rows.where(F.col("round") == k).select("text").coalesce(tasks).mapInArrow(tidy(_pass(context.broadcast(values))), "word long, leaf int, n long, weights binary")
         passes.append(written(own, "maxent-pass"))
         found = _averaged(passes[-1])
         values = values if found is None else found

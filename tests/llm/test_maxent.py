@@ -104,6 +104,7 @@ def test_learns_from_the_history(trained):
 
 def test_weights_are_averaged_by_tokens(spark):
     parts = [np.array([1, 2], np.float32), np.array([3, 6], np.float32)]
-    rows = [(0, -1, 10, (parts[0] * 10).tobytes()), (0, -1, 30, (parts[1] * 30).tobytes()), (1, -1, 40, (parts[0] * 40).tobytes()), (5, 3, 2, None)]
+    parts = [p.astype(np.float16) for p in parts]
+    rows = [(0, -1, 10, parts[0].tobytes()), (0, -1, 30, parts[1].tobytes()), (1, -1, 40, parts[0].tobytes()), (5, 3, 2, None)]
     d = spark.createDataFrame([(a, b, c, bytearray(x) if x else None) for a, b, c, x in rows], "word long, leaf int, n long, weights binary").repartition(4)
     assert maxent._averaged(d).tolist() == [2.5, 5.0, 1.0, 2.0]
