@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.embedding import QUERY, Embedder, HashEmbedder, document_prompt, embedded
+from sievework.functions.embedding import CODE_QUERY, QUERY, Embedder, HashEmbedder, document_prompt, embedded
 from sievework.functions.text import excerpt, has_prose
-from sievework.operators import estimate, evaluate, segment, sync
+from sievework.operators import estimate, evaluate, segment, sync, upkeep
+from sievework.operators.keyword_index import KeywordIndex, build
 from sievework.operators.search import search
 from sievework.operators.store import Index
 from sievework.sources import files as sources
@@ -15,7 +17,12 @@ from sievework.sources import files as sources
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, make: type[Embedder] = HashEmbedder):
-        self.spark, self.index_tables, self.make = spark, Index(spark, folder), make
+        self.spark, self.index_tables, self.make, self.warning = spark, Index(spark, folder), make, None
+        self.vectors = upkeep.QueryVectors(lambda text, code: [float(x) for x in make().embed([(CODE_QUERY if code else QUERY).format(text)])[0]])
+
+    def reset_on_change(self) -> None:
+        """Another model: everything is read again."""
+        self.index_tables.reset()
 
     def estimate(self, root: str) -> DataFrame:
         found = sources.crawl(self.spark, root).where("action = 'index'").withColumns({"pages": F.lit(0), "duration": F.lit(0.0)})
@@ -23,7 +30,8 @@ class Engine:
 
     def index(self, root: str) -> DataFrame:
         """Brings the index in step with a folder of text documents; returns the changes' counts."""
-        crawled = sources.crawl(self.spark, root).where("action = 'index'").select("path", "kind", "size", "mtime", F.xxhash64("path").alias("inode"), F.lit(0).cast("long").alias("device"))
+        upkeep.adopt(self._meta("fingerprint"), upkeep.fingerprint(self.make().name), self.reset_on_change)
+        crawled = sources.with_inodes(sources.crawl(self.spark, root).where("action = 'index'").select("path", "kind", "size", "mtime"))
         changes = sync.reconcile(self.index_tables.table("files"), crawled, [root]).cache()
         counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).toPandas()
         self.index_tables.apply(changes, crawled)
@@ -31,7 +39,8 @@ class Engine:
         pending = self.index_tables.table("files").where("state = 'pending' and kind = 'doc'").select("id", "path")
         content = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         content = content.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(pending.select("path"), "path", "left_semi")
-        texts = sources.texts(content).join(pending, "path")
+        # Each file is parsed once, for its segments and for its state.
+        texts = sources.texts(content).join(pending, "path").persist(StorageLevel.DISK_ONLY)
         pieces = segment.chunks(texts.where("text is not null"), "id", "text")
         title = F.lit(None).cast("string")
         vectors = embedded(pieces.withColumn("prompt", document_prompt(title, F.col("chunk"))), "prompt", self.make)
@@ -39,14 +48,33 @@ class Engine:
         self.index_tables.add_segments(rows)
         state = F.when(F.col("text").isNotNull(), "done").when(F.col("error") == "empty", "skipped").otherwise("failed")
         self.index_tables.finish(texts.select("id", state.alias("state"), F.col("error").alias("detail"), F.create_map().cast("map<string,string>").alias("info")))
+        texts.unpersist()
+        name = self.make().name
+        if self._meta("vector_source") != name:
+            self.index_tables.set_meta(fingerprint=upkeep.fingerprint(name), vector_source=name)
         return self.spark.createDataFrame(counts)
 
+    def _meta(self, key: str) -> str | None:
+        row = self.index_tables.table("meta").where(F.col("key") == key).first()
+        return row["value"] if row else None
+
+    def _keywords(self) -> KeywordIndex:
+        """The stored keyword index of the present keyword rows: built once for each version of them."""
+        folder = f"{self.index_tables.folder}/keywords/{self.index_tables.versions()['fts']}"
+        done = self.index_tables._path(f"{folder}/statistics/_SUCCESS")
+        if not self.index_tables._fs.exists(done):
+            build(self.index_tables.table("fts"), folder)
+            for old in self.index_tables._list("keywords"):
+                if old not in folder:
+                    self.index_tables._fs.delete(self.index_tables._path(f"{self.index_tables.folder}/keywords/{old}"), True)
+        return KeywordIndex(self.spark, folder)
+
     def search(self, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
         files = self.index_tables.table("files").select(F.col("id").alias("file"), "path", F.col("kind").alias("file_kind"))
         segments = self.index_tables.table("segments").where("vec is not null").drop("kind").join(files, "file").select("id", "file", F.col("file_kind").alias("kind"), "modality", (F.coalesce("loc", F.lit(0.0)) <= segment.DOC_STEP).alias("sets_scale"), "vec")
-        vector = self.make().embed([QUERY.format(query)])[0]
-        q = self.spark.createDataFrame([([float(x) for x in vector],)], "q array<float>")
-        hits = search(segments, q, self.index_tables.table("fts"), query, kinds, limit)
+        usable, self.warning = upkeep.usable_vector(self._meta("vector_source"), self.make().name)
+        q = self.spark.createDataFrame([(self.vectors.of(query),)], "q array<float>") if usable else None
+        hits = search(segments, q, self._keywords(), query, kinds, limit)
         return hits.join(files.select("file", "path"), "file").orderBy(F.desc("score"), "file")
 
     def status(self) -> DataFrame:

@@ -21,13 +21,18 @@ def _lines(text: str) -> list[str]:
     return re.split(r"\r\n|\n", text)
 
 
+#: Lines that define a name, by what stands before it and after it: a word that defines; a Go method's receiver; an
+#: Objective-C method's type; a type before and parameters after it, which is a declaration if the line ends with ";".
+_DEFINES = re.compile(r"(?:.*\s)?(?:" + "|".join(map(re.escape, DEFINERS)) + ")")
+_TYPED = re.compile(r"(?:(?!->)[^=(,.!?])*[\w*&>\]]")
+_USED = re.compile(r"(?:.*\s)?(?:" + "|".join(USERS) + ")")
+SHAPES = [(_DEFINES, re.compile("")), (re.compile(r"func \(.*\)"), re.compile("")), (re.compile(r"[-+] \(.*"), re.compile(r"$|[:{;]"))]
+
+
 def _strength(before: str, after: str, closed: bool) -> int:
-    last = before.split()[-1] if before else ""
-    if last in DEFINERS or re.fullmatch(r"func \(.*\)", before):
+    if any(b.fullmatch(before) and a.match(after) for b, a in SHAPES):
         return 2
-    if re.match(r"[-+] \(", before):
-        return 2 if not after or after[0] in ":{;" else 0
-    typed = after.startswith("(") and before and last not in USERS and not re.search(r"[=(,.!?]|->", before) and re.search(r"[\w*&>\]]$", before)
+    typed = after[:1] == "(" and _TYPED.fullmatch(before) and not _USED.fullmatch(before) and not SHAPES[2][0].match(before)
     return (1 if closed else 2) if typed else 0
 
 

@@ -1,61 +1,18 @@
-"""Keyword search: postings, weighted BM25, coverage, prefix widening.
-
-Only a query's own terms are taken out of the texts, so a search never explodes the corpus into words; `vocabulary` and
-`postings` build the inverted index where one is kept.
-"""
+"""Keyword candidates: BM25's constants, vocabulary, and the limits on rows and files. The index is `keyword_index`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import words
-
 #: BM25 constants, column weights, numbers of rows and files.
 K1, B, LEAST_IDF, NAME_WEIGHT, BODY_WEIGHT, ROWS, FILES = 1.2, 0.75, 1e-6, 3.0, 1.0, 1000, 100
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Each word with its uses and documents."""
-    found = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    uses = docs.select(F.explode(words(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    return uses.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "term")
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """(term, rowid, column, tf, positions) of rows (rowid, name, body)."""
-    parts = [rows.select("rowid", F.lit(c).alias("column"), F.posexplode(words(F.col(c))).alias("position", "term")) for c in ("name", "body")]
-    return parts[0].union(parts[1]).groupBy("term", "rowid", "column").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def _uses(found: Column, term: str, prefix: bool) -> Column:
-    same = (lambda w: w.startswith(term)) if prefix else (lambda w: w == term)
-    return F.size(F.filter(found, same))
-
-
-def matched(rows: DataFrame, terms: list[str], prefixes: list[bool] | None = None) -> DataFrame:
-    """rows (rowid, file, name, body) with length and, for each term, the uses in name and body."""
-    prefixes = prefixes or [False] * len(terms)
-    cut = rows.select("rowid", "file", words(F.col("name")).alias("n"), words(F.col("body")).alias("b"))
-    uses = [F.struct(_uses(F.col("n"), t, p).alias("name"), _uses(F.col("b"), t, p).alias("body")) for t, p in zip(terms, prefixes, strict=True)]
-    return cut.select("rowid", "file", (F.size("n") + F.size("b")).alias("length"), F.array(*uses).alias("uses"))
-
-
-def _has(i: int) -> Column:
-    return (F.col("uses")[i]["name"] + F.col("uses")[i]["body"]) > 0
-
-
-def bm25(found: DataFrame, n_terms: int) -> DataFrame:
-    """rowid, file, bm25 (smaller is better) of rows with a term. Statistics are over all rows, in one aggregate."""
-    stats = found.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"), F.array(*[F.sum(F.when(_has(i), 1).otherwise(0)) for i in range(n_terms)]).alias("df"))
-    both = found.where(" or ".join(f"uses[{i}].name + uses[{i}].body > 0" for i in range(n_terms))).crossJoin(F.broadcast(stats))
-    total = F.lit(0.0)
-    for i in range(n_terms):
-        df = F.col("df")[i]
-        idf = F.greatest(F.log((F.col("rows") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        f = NAME_WEIGHT * F.col("uses")[i]["name"] + BODY_WEIGHT * F.col("uses")[i]["body"]
-        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return both.select("rowid", "file", (-total).alias("bm25"))
+def vocabulary(postings: DataFrame) -> DataFrame:
+    """Each token with its uses and rows, from one aggregate over postings."""
+    found = postings.where("token <> ''").groupBy(F.col("token").alias("term"))
+    return found.agg(F.sum(F.col("names") + F.col("bodies")).cast("long").alias("uses"), F.count(F.lit(1)).alias("docs"))
 
 
 def keyword_files(ranked: DataFrame, rows: int = ROWS, files: int = FILES) -> DataFrame:
@@ -63,16 +20,3 @@ def keyword_files(ranked: DataFrame, rows: int = ROWS, files: int = FILES) -> Da
     best = ranked.orderBy("bm25", "rowid").limit(rows)
     first = best.groupBy("file").agg(F.min(F.struct("bm25", "rowid")).alias("b"))
     return first.select("file", "b.bm25", "b.rowid").orderBy("bm25", "rowid").limit(files)
-
-
-def coverage(found: DataFrame, files: DataFrame, n_terms: int) -> DataFrame:
-    """Share of the terms that each candidate file holds anywhere."""
-    held = found.join(files.select("file"), "file", "left_semi")
-    share = sum(F.max(F.when(_has(i), 1).otherwise(0)) for i in range(n_terms)) / F.lit(float(n_terms))
-    return held.groupBy("file").agg(share.alias("coverage"))
-
-
-def widened(found: DataFrame, terms: list[str]) -> list[bool]:
-    """Which terms of three letters or more stand in no row, and so are searched as prefixes."""
-    row = found.agg(*[F.max(_has(i)).alias(str(i)) for i in range(len(terms))]).first()
-    return [len(t) >= 3 and not row[i] for i, t in enumerate(terms)]

@@ -1,19 +1,24 @@
-"""The fused search over files, segments and keyword rows."""
+"""The fused search over files, segments and the keyword index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import KIND_WORDS, query_terms
 
 from . import postings as P
 from . import ranking as R
+from .keyword_index import KeywordIndex
+
+MARKED = 400
 
 
 def hinted_kinds(query: str) -> list[str]:
+    """Kinds that a query's words ask for; a Bengali or Arabic kind word also at the start of a longer word."""
     asked = set(query.lower().split())
-    return [kind for kind, names in KIND_WORDS.items() if asked & set(names.split())]
+    longer = lambda name: ord(name[0]) > 0x5FF and len(name) >= 3 and any(w.startswith(name) for w in asked)
+    return [kind for kind, names in KIND_WORDS.items() if asked & set(names.split()) or any(map(longer, names.split()))]
 
 
 def lookup(terms: list[str]) -> bool:
@@ -21,24 +26,53 @@ def lookup(terms: list[str]) -> bool:
     return bool(terms) and all(map(code, terms))
 
 
-def search(segments: DataFrame | None, query_vector: DataFrame | None, keyword_rows: DataFrame | None, query: str, kinds: list[str] | None = None, limit: int = 20, word_weight: float = R.WORD_WEIGHT, widen: bool = True) -> DataFrame:
-    """file, score, z, cosine, segment, coverage, keyword_rank of the best files.
+def word_files(index: KeywordIndex, terms: list[str], kinds: DataFrame | None = None, typing: bool = False, widen: bool = True, phrase: list[str] | None = None) -> DataFrame:
+    """file, coverage, keyword_rank, keyword_segment. The limit on rows comes before the kinds (file), the files last."""
+    found = index.matched(terms, index.prefixes(terms, typing, widen))
+    if phrase:
+        found = found.join(index.phrase(phrase).select("rowid"), "rowid", "left_semi")
+    best = index.bm25(found).orderBy("bm25", "rowid").limit(P.ROWS)
+    if kinds is not None:
+        best = best.join(kinds.select("file"), "file", "left_semi")
+    files = P.keyword_files(best)
+    # At most FILES rows.
+    ranked = files.withColumn("keyword_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("bm25", "rowid")))
+    cover = index.coverage(found, files, len(terms))
+    return cover.join(F.broadcast(ranked.select("file", "keyword_rank", F.col("rowid").alias("keyword_segment"))), "file")
+
 
-    segments: id, file, kind, modality, sets_scale, vec; keyword_rows: rowid, file, name, body. Without a vector it is
-    keyword search, without terms vector search."""
-    spark = (segments if segments is not None else keyword_rows).sparkSession
+def search(segments: DataFrame | None, query_vector: DataFrame | None, index: KeywordIndex | None, query: str, kinds: list[str] | None = None, limit: int = 20, word_weight: float = R.WORD_WEIGHT, widen: bool = True, typing: bool = False, phrase: list[str] | None = None) -> DataFrame:
+    """file, score, z, cosine, segment, coverage, keyword_rank, keyword_segment of the best files.
+
+    segments: id, file, kind, modality, sets_scale, vec. Without a vector it is keyword search, without terms or index
+    vector search. phrase: words that must stand side by side (a name in code)."""
+    spark = segments.sparkSession if segments is not None else index.spark
     terms = query_terms(query)
     best = spark.createDataFrame([], "file long, segment long, z double, cosine double, kind string")
     if query_vector is not None:
         best = R.best_per_file(R.with_meaning(R.cosines(segments, query_vector)), kinds)
-    cover = spark.createDataFrame([], "file long, coverage double, keyword_rank int")
-    if terms and keyword_rows is not None:
-        found = P.matched(keyword_rows, terms)
-        if widen and any(prefix := P.widened(found, terms)):
-            found = P.matched(keyword_rows, terms, prefix)
-        files = P.keyword_files(P.bm25(found, len(terms)))
-        if kinds is not None and segments is not None:
-            files = files.join(segments.where(F.col("kind").isin(kinds)).select("file").distinct(), "file", "left_semi")
-        ranked = files.withColumn("keyword_rank", F.expr("row_number() over (order by bm25, rowid)"))
-        cover = P.coverage(found, files, len(terms)).join(F.broadcast(ranked.select("file", "keyword_rank")), "file")
+    cover = spark.createDataFrame([], "file long, coverage double, keyword_rank int, keyword_segment long")
+    if terms and index is not None:
+        allowed = segments.where(F.col("kind").isin(kinds)).select("file").distinct() if kinds is not None and segments is not None else None
+        cover = word_files(index, terms, allowed, typing, widen, phrase)
     return R.with_strength(R.top(R.fused(best, cover, lookup(terms), hinted_kinds(query), word_weight), limit))
+
+
+def pointed(hits: DataFrame) -> DataFrame:
+    """hits with `points_at`: the meaning's segment where it stands out or no word was found, else the words' segment."""
+    meant = F.col("segment").isNotNull() & ((F.coalesce("z", F.lit(0.0)) >= R.Z_GATE) | F.col("keyword_rank").isNull())
+    return hits.withColumn("points_at", F.when(meant, F.col("segment")).otherwise(F.col("keyword_segment")))
+
+
+def with_excerpts(hits: DataFrame, segments: DataFrame, snippets: DataFrame) -> DataFrame:
+    """`pointed` hits with `excerpt`. segments: id, kind, loc, excerpt; snippets: id, snippet (words between « »).
+
+    Marked words are quoted only from the segment that is pointed at. A segment with no place and no text of its own may
+    borrow them from its file's other segment, unless that is the name; else its stored excerpt stands."""
+    at = segments.select(F.col("id").alias("points_at"), F.col("kind").alias("segment_kind"), "loc", F.col("excerpt").alias("stored"))
+    words = segments.select(F.col("id").alias("keyword_segment"), F.col("kind").alias("word_kind")).join(snippets.select(F.col("id").alias("keyword_segment"), "snippet"), "keyword_segment")
+    rows = hits.join(at, "points_at", "left").join(words, "keyword_segment", "left")
+    quoted = F.when(F.col("snippet").contains("«"), F.substring("snippet", 1, MARKED))
+    own = F.when(F.col("keyword_segment") == F.col("points_at"), quoted)
+    borrowed = F.when(F.col("stored").isNull() & F.col("loc").isNull() & (F.col("word_kind") != "name"), quoted)
+    return rows.withColumn("excerpt", F.coalesce(own, borrowed, F.col("stored"))).drop("stored", "snippet", "word_kind")

@@ -1,4 +1,4 @@
-"""The index as Parquet tables: files, segments, keyword rows, meta. A change writes new versions and swaps a pointer."""
+"""The index as Parquet tables: files, segments, keyword rows, meta."""
 
 from __future__ import annotations
 
@@ -20,33 +20,70 @@ SCHEMAS = {
 }
 
 
+#: Pointers that are kept, with the versions that they name: a reader may still be at an earlier one.
+KEPT = 3
+
+
 class Index:
-    """Tables under a folder. `current` names each table's version; it is written last, so a reader sees all of a change
-    or none of it."""
+    """Tables under a folder. A change writes new versions of its tables, then a numbered pointer that names every
+    table's version; the highest complete pointer counts. A pointer is written aside and renamed into place, so a reader
+    sees all of a change or none of it, and a crash between the two steps leaves the state before."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path(f"{self.folder}/current")):
+        if not self._pointers():
+            if any(self._list(name) for name in SCHEMAS):
+                raise ValueError(f"{folder} holds tables but no pointer to them")
             self.write({name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
 
-    def _current(self) -> dict[str, str]:
-        return {r["table"]: r["version"] for r in self.spark.read.schema("table string, version string").json(f"{self.folder}/current").collect()}
+    def _list(self, name: str) -> list[str]:
+        at = self._path(f"{self.folder}/{name}")
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _pointers(self) -> list[int]:
+        return sorted(int(p) for p in self._list("pointers") if p.isdigit())
+
+    def _named(self, pointer: int) -> dict[str, str]:
+        return {r["table"]: r["version"] for r in self.spark.read.schema("table string, version string").json(f"{self.folder}/pointers/{pointer}").collect()}
+
+    def versions(self) -> dict[str, str]:
+        return self._named(self._pointers()[-1])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{self._current()[name]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{self.versions()[name]}")
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        versions = self._current() if self._fs.exists(self._path(f"{self.folder}/current")) else {}
+        pointers = self._pointers()
+        versions = self._named(pointers[-1]) if pointers else {}
         for name, rows in tables.items():
             versions[name] = uuid.uuid4().hex
             rows.select(*[c.split()[0] for c in _columns(SCHEMAS[name])]).write.parquet(f"{self.folder}/{name}/{versions[name]}")
-        self.spark.createDataFrame(list(versions.items()), "table string, version string").coalesce(1).write.json(f"{self.folder}/next")
-        old = self._path(f"{self.folder}/current")
-        if self._fs.exists(old):
-            self._fs.delete(old, True)
-        self._fs.rename(self._path(f"{self.folder}/next"), old)
+        self._point(versions, pointers[-1] + 1 if pointers else 1)
+        self._clean()
+
+    def _point(self, versions: dict[str, str], number: int) -> None:
+        aside = self._path(f"{self.folder}/aside-{uuid.uuid4().hex}")
+        self.spark.createDataFrame(list(versions.items()), "table string, version string").coalesce(1).write.json(aside.toString())
+        self._fs.mkdirs(self._path(f"{self.folder}/pointers"))
+        target = self._path(f"{self.folder}/pointers/{number}")
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            raise ValueError(f"pointer {number} is there already: another writer was first")
+
+    def _clean(self) -> None:
+        """Removes pointers before the last `KEPT`, and versions that none of these names."""
+        pointers = self._pointers()
+        for old in pointers[:-KEPT]:
+            self._fs.delete(self._path(f"{self.folder}/pointers/{old}"), True)
+        kept = [self._named(p) for p in pointers[-KEPT:]]
+        for name in SCHEMAS:
+            for version in set(self._list(name)) - {k.get(name) for k in kept}:
+                self._fs.delete(self._path(f"{self.folder}/{name}/{version}"), True)
+
+    def size(self) -> int:
+        """Bytes on disk."""
+        return self._fs.getContentSummary(self._path(self.folder)).getLength()
 
     def insert(self, crawled: DataFrame) -> None:
         """New files, each with its name as a segment and as a keyword row."""

@@ -1 +1 @@
-
+"""Plans over stored tables."""

@@ -17,8 +17,10 @@ from sievework.operators import estimate as E
 from sievework.operators import evaluate as V
 from sievework.operators import postings as P
 from sievework.operators import ranking as R
+from sievework import registry_sql as Q
 from sievework.operators import rules, segment, sync
-from sievework.operators.search import search
+from sievework.operators.search import search, word_files
+from sievework.plans.stored import keyword_index
 from sievework.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,57 +115,64 @@ def _rows(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("rowid"), (F.floor(F.col("doc_id") / 2)).alias("file"), F.col("source").alias("name"), F.col("text").alias("body"))
 
 
-def _found(spark, sf_dir, terms=TERMS) -> DataFrame:
-    return P.matched(_rows(spark, sf_dir), terms)
+def _index(spark, sf_dir):
+    """The stored keyword index of documents: built by the first search, read by all."""
+    return keyword_index(spark, f"{sf_dir}/documents.parquet", _rows(spark, sf_dir))
 
 
-_W = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: length(w) >= 2)"
-_MATCHED = f"""
-r AS (SELECT doc_id AS rowid, doc_id // 2 AS file, {_W.format("source")} AS n, {_W.format("text")} AS b FROM documents),
-t AS (SELECT unnest({TERMS!r}) AS term),
-u AS (SELECT rowid, file, len(n) + len(b) AS length, term, len(list_filter(n, lambda w: w = term)) AS un, len(list_filter(b, lambda w: w = term)) AS ub FROM r, t),
-st AS (SELECT count(*) AS total, avg(len(n) + len(b)) AS mean FROM r),
-df AS (SELECT term, count(*) AS df FROM u WHERE un + ub > 0 GROUP BY term),
-bm AS (SELECT rowid, any_value(file) AS file, -sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * (3.0 * un + ub) * 2.2 / ((3.0 * un + ub) + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25
-       FROM u JOIN df USING (term), st WHERE un + ub > 0 GROUP BY rowid),
+_ROWS_SQL = "rows_of AS (SELECT doc_id AS rowid, doc_id // 2 AS file, source AS name, text AS body FROM documents)"
+_MATCHED = f"""{_ROWS_SQL}, {Q.postings('rows_of')},
+asked AS (SELECT unnest({TERMS!r}) AS w), {Q.stems('asked', 'wanted', 'a')},
+st AS (SELECT count(*) AS total, avg(length) AS mean FROM sizes),
+hit AS (SELECT wanted.w AS term, uses.rowid, uses.file, un, ub FROM wanted JOIN uses USING (token)),
+df AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
+bm AS (SELECT hit.rowid, any_value(hit.file) AS file, -sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * (3.0 * un + ub) * 2.2 / ((3.0 * un + ub) + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25
+       FROM hit JOIN df USING (term) JOIN sizes ON sizes.rowid = hit.rowid, st GROUP BY hit.rowid),
 best AS (SELECT * FROM bm ORDER BY bm25, rowid LIMIT 1000),
 kf AS (SELECT file, min(bm25) AS bm25, arg_min(rowid, (bm25, rowid)) AS rowid FROM best GROUP BY file ORDER BY 2, 3 LIMIT 100),
-cov AS (SELECT u.file, count(DISTINCT term) / 4.0 AS coverage FROM u JOIN kf ON u.file = kf.file WHERE un + ub > 0 GROUP BY u.file)
-"""
+cov AS (SELECT hit.file, count(DISTINCT term) / 4.0 AS coverage FROM hit JOIN kf ON hit.file = kf.file GROUP BY hit.file)"""
 
 
-@query(f"SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_W.format('text')}) AS term FROM documents) GROUP BY term")
+@query(f"WITH {_ROWS_SQL}, {Q.postings('(SELECT rowid, file, NULL AS name, body FROM rows_of)')} SELECT token AS term, CAST(sum(ub) AS BIGINT) AS uses, count(*) AS docs FROM uses GROUP BY token")
 def terms_vocab(spark, sf_dir):
-    return P.vocabulary(table(spark, sf_dir, "documents"))
+    return P.vocabulary(_index(spark, sf_dir).postings.withColumn("names", F.lit(0)).where("bodies > 0"))
 
 
-@query(f"SELECT term, rowid, 'body' AS \"column\", count(*) AS tf FROM (SELECT doc_id AS rowid, unnest({_W.format('text')}) AS term FROM documents) GROUP BY 1, 2")
+@query(f"WITH {_ROWS_SQL}, {Q.postings('rows_of')} SELECT token AS term, rowid, CAST(ub AS BIGINT) AS tf FROM uses WHERE ub > 0")
 def postings_body(spark, sf_dir):
-    return P.postings(_rows(spark, sf_dir)).where(F.col("column") == "body").select("term", "rowid", "column", "tf")
+    return _index(spark, sf_dir).postings.where("bodies > 0").select(F.col("token").alias("term"), "rowid", F.col("bodies").cast("long").alias("tf"))
 
 
 @query(f"WITH {_MATCHED} SELECT rowid, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25, rowid LIMIT 50")
 def bm25_topk(spark, sf_dir):
-    return P.bm25(_found(spark, sf_dir), len(TERMS)).orderBy("bm25", "rowid").limit(50).select("rowid", SIX("bm25").alias("bm25"))
+    index = _index(spark, sf_dir)
+    return index.bm25(index.matched(TERMS)).orderBy("bm25", "rowid").limit(50).select("rowid", SIX("bm25").alias("bm25"))
 
 
 @query(f"WITH {_MATCHED} SELECT file, round(bm25, 6) AS bm25, rowid FROM kf")
 def keyword_files(spark, sf_dir):
-    return P.keyword_files(P.bm25(_found(spark, sf_dir), len(TERMS))).select("file", SIX("bm25").alias("bm25"), "rowid")
+    index = _index(spark, sf_dir)
+    best = index.bm25(index.matched(TERMS)).orderBy("bm25", "rowid").limit(P.ROWS)
+    return P.keyword_files(best).select("file", SIX("bm25").alias("bm25"), "rowid")
 
 
 @query(f"WITH {_MATCHED} SELECT file, CAST(coverage AS DOUBLE) AS coverage FROM cov")
 def coverage(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    return P.coverage(found, P.keyword_files(P.bm25(found, len(TERMS))), len(TERMS))
+    return word_files(_index(spark, sf_dir), TERMS, widen=False).select("file", "coverage")
 
 
-@query(rf"""WITH v AS (SELECT DISTINCT unnest({_W.format('text')}) AS w FROM documents), t AS (SELECT unnest(['erst', 'schp', 'zzzz', 'ouch', 'er']) AS term)
-SELECT term, length(term) >= 3 AND NOT EXISTS (SELECT 1 FROM v WHERE w = term) AS is_prefix FROM t""")
+@query(f"""WITH {_ROWS_SQL}, {Q.postings('rows_of')}, asked AS (SELECT unnest(['erst', 'schp', 'zzzz', 'ouch', 'er']) AS w),
+{Q.stems('asked', 'wanted', 'a')}
+SELECT w AS term, length(w) >= 3 AND NOT EXISTS (SELECT 1 FROM uses WHERE uses.token = wanted.token) AS is_prefix FROM wanted""")
 def prefix_widen(spark, sf_dir):
     terms = ["erst", "schp", "zzzz", "ouch", "er"]
-    flags = P.widened(P.matched(_rows(spark, sf_dir), terms), terms)
-    return spark.createDataFrame(list(zip(terms, map(bool, flags), strict=True)), "term string, is_prefix boolean")
+    return spark.createDataFrame(list(zip(terms, _index(spark, sf_dir).prefixes(terms), strict=True)), "term string, is_prefix boolean")
+
+
+@query(f"""WITH {_ROWS_SQL}, {Q.postings('rows_of')}, placed AS (SELECT rowid, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS w FROM cuts),
+t AS (SELECT rowid, i, token FROM placed JOIN stemmed USING (w)) SELECT DISTINCT x.rowid FROM t x JOIN t y ON x.rowid = y.rowid AND y.i = x.i + 1 WHERE x.token = 'the' AND y.token = 'by'""")
+def phrase_rows(spark, sf_dir):
+    return _index(spark, sf_dir).phrase(["the", "by"]).select("rowid")
 
 
 _FUSED = f"""{_SCORED}, {_MATCHED.strip()},
@@ -173,7 +182,7 @@ top AS (SELECT * FROM h ORDER BY score DESC, file LIMIT 20)"""
 
 
 def _hits(spark, sf_dir, limit=20):
-    return search(_segments(spark, sf_dir), _query_vector(spark, sf_dir), _rows(spark, sf_dir), " ".join(TERMS), limit=limit, widen=False)
+    return search(_segments(spark, sf_dir), _query_vector(spark, sf_dir), _index(spark, sf_dir), " ".join(TERMS), limit=limit, widen=False)
 
 
 @query(f"WITH {_FUSED} SELECT file, round(score, 6) AS score FROM top")
@@ -201,10 +210,10 @@ def group_topk_by_kind(spark, sf_dir):
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: length(w) >= 2)) AS w FROM benchmark)
-SELECT item_id, len(list_filter(w, lambda x: NOT list_contains(['""" + "','".join(T.STOPWORDS) + r"""'], x))) AS n FROM t""")
+@query(r"""WITH t AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: length(w) >= 2))) AS term FROM benchmark)
+SELECT item_id, term FROM t WHERE term NOT IN ('""" + "','".join(T.STOPWORDS) + """')""")
 def query_terms(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(T.terms(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
 
 
 @query(r"""SELECT event_id, regexp_matches(t, '\p{N}') AND (regexp_matches(t, '\p{L}') OR length(t) >= 4) AS lookup
@@ -229,15 +238,16 @@ def has_prose_flag(spark, sf_dir):
 
 
 def _html_sql() -> str:
-    e = "html"
-    for block in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head\s*>"):
-        e = f"regexp_replace({e}, '{block}', ' ', 'g')"
-    e = rf"regexp_replace({e}, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/section|/article)\b[^>]*>', chr(10), 'g')"
-    e = f"regexp_replace({e}, '<[^>]+>', ' ', 'g')"
-    for name, letter in T.ENTITIES.items():
-        e = f"replace({e}, '{name}', '{letter.replace(chr(39), chr(39) * 2)}')"
-    e = rf"regexp_replace(regexp_replace({e}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')"
-    return rf"SELECT page_id, regexp_replace({e}, '^\s+|\s+$', '', 'g') AS body FROM pages"
+    """Cut at brackets: what stands before the first is text; each later part is a tag up to its own bracket, then text."""
+    bare = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g')"
+    tag = r"CASE WHEN regexp_matches(p, '(?i)^(br|/p|/div|/li|/h[1-6]|/tr|/section|/article)\b') THEN chr(10) ELSE ' ' END"
+    part = f"CASE WHEN strpos(p, '>') > 1 THEN {tag} || substr(p, strpos(p, '>') + 1) ELSE '<' || p END"
+    letters = "".join(f" WHEN '{n[1:]}' THEN '{x.replace(chr(39), chr(39) * 2)}'" for n, x in T.ENTITIES.items())
+    number = r"CASE WHEN regexp_matches(e, '^#[0-9]{1,7};') THEN chr(CAST(regexp_extract(e, '^#([0-9]+);', 1) AS INT)) || regexp_replace(e, '^#[0-9]+;', '') ELSE '&' || e END"
+    entity = f"CASE regexp_extract(e, '^#?\\w+;'){letters} END || regexp_replace(e, '^#?\\w+;', '')"
+    out = f"""WITH s AS (SELECT page_id, string_split({bare}, '<') AS a FROM pages), t AS (SELECT page_id, a[1] || array_to_string(list_transform(a[2:], lambda p: {part}), '') AS x FROM s),
+u AS (SELECT page_id, string_split(x, '&') AS b FROM t), v AS (SELECT page_id, b[1] || array_to_string(list_transform(b[2:], lambda e: coalesce({entity}, {number})), '') AS x FROM u)"""
+    return out + r" SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM v"
 
 
 @query(_html_sql())
@@ -395,12 +405,11 @@ def pending_order(spark, sf_dir):
     return sync.queue(_files(spark, sf_dir), 100).select("id")
 
 
-@query(f"""WITH {_FILES}, q AS (SELECT id, kind FROM files WHERE state = 'pending' ORDER BY id LIMIT 200),
+@query(f"""WITH {_FILES}, q AS (SELECT id, kind FROM files WHERE state = 'pending'),
 n AS (SELECT *, CASE WHEN lag(kind) OVER (ORDER BY id) <> kind THEN 1 ELSE 0 END AS new FROM q), r AS (SELECT *, sum(new) OVER (ORDER BY id) AS run FROM n)
 SELECT id, CAST(run AS BIGINT) AS run, (row_number() OVER (PARTITION BY run ORDER BY id) - 1) // 8 AS batch FROM r""")
 def kind_batches(spark, sf_dir):
-    q = _files(spark, sf_dir).where("state = 'pending'").orderBy("id").limit(200)
-    return sync.batches(q, "id").select("id", "run", "batch")
+    return sync.batches(_files(spark, sf_dir).where("state = 'pending'"), "id").select("id", "run", "batch")
 
 
 def _two_crawls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -586,9 +595,13 @@ def snippets(spark, sf_dir):
     return d.select("doc_id", passages.snippet_of(F.col("text"), ["erst"]).alias("snippet"))
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS problem FROM documents")
+@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents) SELECT doc_id, CASE k WHEN 1 THEN 'glyphOrder' WHEN 3 THEN 'lostLetters' END AS problem FROM p""")
 def page_problems(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", passages.page_problem(F.col("text")).alias("problem"))
+    """Pages made of documents: with Bengali signs before or after their letters, with Arabic letters lost, and as they are."""
+    sign, letter = chr(0x9BF), chr(0x995)
+    k = F.col("doc_id") % 4
+    more = F.when(k == 1, (sign + letter) * 12).when(k == 2, (letter + sign) * 12).when(k == 3, "\u0627?\u0631 \u0627.\u0628").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", passages.page_problem(F.concat("text", F.lit(" "), more)).alias("problem"))
 
 
 @query()
@@ -604,3 +617,6 @@ def content_digests(spark, sf_dir):
 @query(r"SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS INT) AS distance FROM events")
 def hamming_distances(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).cast("int").alias("distance"))
+
+
+from sievework import registry_more  # noqa: E402, F401  its queries register themselves

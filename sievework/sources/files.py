@@ -8,9 +8,11 @@ interface that one implements.
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from typing import Protocol
 from xml.etree import ElementTree
 
@@ -39,6 +41,25 @@ def crawl(spark: SparkSession, root: str, include_code: bool = False) -> DataFra
     return rows.withColumn("class", rules.classify(F.col("path"), include_code=include_code)).select("path", "class.action", "class.kind", "class.reason", "size", "mtime")
 
 
+def with_inodes(files: DataFrame) -> DataFrame:
+    """files with inode and device as executors see them; where a path isn't in a file system that they share, a hash of
+    the path, which finds no moves."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                try:
+                    s = os.stat(path)
+                    found.append((path, s.st_ino - (1 << 64) if s.st_ino >> 63 else s.st_ino, s.st_dev))
+                except OSError:
+                    found.append((path, None, None))
+            yield pd.DataFrame({"path": [f[0] for f in found], "inode": pd.array([f[1] for f in found], "Int64"), "device": pd.array([f[2] for f in found], "Int64")})
+
+    seen = files.select("path").mapInPandas(run, "path string, inode long, device long")
+    return files.join(seen, "path").withColumns({"inode": F.coalesce("inode", F.xxhash64("path")), "device": F.coalesce("device", F.lit(0).cast("long"))})
+
+
 def decoded(content: bytes) -> str:
     try:
         return content.decode("utf-8")
@@ -204,7 +225,9 @@ def rtf_text(content: bytes) -> str:
         elif hidden:
             continue
         elif word == b"u":
-            out.append(chr(int(number) % 65536))
+            # 16 bits, negative ones from above; what is beyond them is no letter.
+            point = int(number or 0)
+            out.append(chr(point % 65536) if -32768 <= point <= 65535 else "")
             skip = fallback
         elif word in (b"par", b"line", b"row"):
             out.append("\n")
@@ -222,13 +245,39 @@ def rtf_text(content: bytes) -> str:
     return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
 
 
-PARSERS = {"xlsx": xlsx_text, "pptx": pptx_text, "docx": docx_text, "odt": open_document_text, "ods": open_document_text, "odp": open_document_text, "rtf": rtf_text}
+def html_text(content: bytes) -> str:
+    """HTML's text by the standard library's parser: for files, which come as bytes."""
+    parts: list[str] = []
+    hidden: list[str] = []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "head"):
+                hidden.append(tag)
+            parts.append("\n" if tag == "br" else " ")
+
+        def handle_endtag(self, tag):
+            if tag in hidden:
+                del hidden[hidden.index(tag) :]
+            parts.append("\n" if re.fullmatch("p|div|li|h[1-6]|tr|section|article", tag) else " ")
+
+        def handle_data(self, data):
+            if not hidden:
+                parts.append(data)
+
+    Reader().feed(decoded(content))
+    lines = (re.sub(r"[ \t\xa0]+", " ", line).strip() for line in "".join(parts).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+PARSERS = {"html": html_text, "htm": html_text, "xlsx": xlsx_text, "pptx": pptx_text, "docx": docx_text, "odt": open_document_text, "ods": open_document_text, "odp": open_document_text, "rtf": rtf_text}
 
 
 def read_text(ext: str, content: bytes) -> tuple[str | None, str | None]:
-    """(text, error). A password-protected office file is an OLE container, and locked."""
-    if ext in PARSERS and ext != "rtf" and content.startswith(OLE):
-        return None, "locked"
+    """(text, error). A password-protected office file is an OLE container, and locked; so is an old word file, of
+    which no parser is here, unreadable."""
+    if content.startswith(OLE) and ext != "rtf":
+        return None, "unreadable" if ext == "doc" else "locked"
     try:
         text = PARSERS.get(ext, decoded)(content)
     except Exception:

@@ -1,15 +1,13 @@
 """Operators on small fixtures with known results."""
 
-import math
 import random
-import sqlite3
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievework.operators import estimate, evaluate, postings, ranking, rules, segment, sync
+from sievework.operators import estimate, evaluate, ranking, rules, segment, sync
 
 
 def one(spark, column):
@@ -36,28 +34,6 @@ def test_fold(spark, scores, strong):
     assert ranking.with_strength(hits).where("strong").count() == strong
 
 
-def test_bm25_matches_sqlite(spark):
-    rng = random.Random(3)
-    words = ["stone", "river", "cloud", "lamp", "seven", "table"]
-    rows = [(i, i, rng.choice(words), " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(40)]
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE fts USING fts5(name, body)")
-    db.executemany("INSERT INTO fts(rowid, name, body) VALUES (?, ?, ?)", [(r[0], r[2], r[3]) for r in rows])
-    expected = dict(db.execute("SELECT rowid, bm25(fts, 3.0, 1.0) FROM fts WHERE fts MATCH '\"river\" OR \"lamp\"'"))
-    found = postings.matched(spark.createDataFrame(rows, "rowid long, file long, name string, body string"), ["river", "lamp"])
-    got = {r["rowid"]: r["bm25"] for r in postings.bm25(found, 2).collect()}
-    assert got.keys() == expected.keys()
-    assert all(math.isclose(got[k], expected[k], rel_tol=1e-9) for k in got)
-
-
-def test_prefix_widening(spark):
-    docs = spark.createDataFrame([(1, 1, "", "Grok4 is here"), (2, 2, "", "Grokipedia"), (3, 3, "", "a cat"), (4, 4, "", "category")], "rowid long, file long, name string, body string")
-    found = postings.matched(docs, ["grok", "cat", "gr"])
-    assert postings.widened(found, ["grok", "cat", "gr"]) == [True, False, False]
-    wide = postings.matched(docs, ["grok"], [True])
-    assert {r["file"] for r in postings.bm25(wide, 1).collect()} == {1, 2}
-
-
 @pytest.mark.parametrize(
     ("name", "machine"),
     [("clip_000123", True), ("frame-0042", True), ("3f9a1c0e-77aa", True), ("IMG_1234", False), ("20261021_143022", False), ("2026-10-21 14.30.22", False), ("holiday", False), ("DSC00042", False)],
