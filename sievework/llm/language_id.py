@@ -2,8 +2,8 @@
 
 A text's vector holds its letters' n-grams of one to three bytes, hashed to `DIMENSIONS` buckets, as (1 + log tf) * idf,
 scaled to length 1. Document frequencies are counted over every training document. Each language gets `CLUSTERS`
-centroids by spherical k-means on at most `SAMPLE` of its training documents, a hash of whose ids is smallest; at most
-`LANGUAGES` languages, the most frequent, are learned. A text belongs to the language of its nearest centroid by cosine;
+centroids by spherical k-means on at most `SAMPLE` of its training documents, a hash of whose ids is smallest; each
+language is clustered by a task of its own, and only centroids come to the driver, 64 KB a language. A text belongs to the language of its nearest centroid by cosine;
 it is rejected where that cosine is below what all but `REJECTED` of the centroid's own sample reach.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0; training rows with a null
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .shared import fold, read, small_batches, tidy
 
 #: A power of two.
 DIMENSIONS = 4096
-CLUSTERS, SAMPLE, LANGUAGES, REJECTED = 4, 500, 100, 0.005
+CLUSTERS, SAMPLE, REJECTED = 4, 500, 0.005
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 _LETTERS = np.zeros(256, bool)
@@ -127,10 +128,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         found[bucket] = n
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "lang").limit(LANGUAGES)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
     # About 1.5 * SAMPLE rows of each language by hash, of which the SAMPLE smallest stay.
     chance = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 40)) / (1 << 40)
-    some = rows.join(F.broadcast(sizes), "lang").withColumn("chance", chance).where(F.col("chance") * F.col("all") < 1.5 * SAMPLE + 30)
+    some = rows.join(sizes, "lang").withColumn("chance", chance).where(F.col("chance") * F.col("all") < 1.5 * SAMPLE + 30)
     some = some.withColumn("place", F.expr("row_number() over (partition by lang order by chance, id)")).where(F.col("place") <= SAMPLE)
     base = Model(idf, np.zeros((0, DIMENSIONS)), [], np.zeros(0))
 
@@ -142,19 +143,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     keep = [batch.column(k).slice(part.first, part.n) for k in (0, 2)]
                     yield pa.RecordBatch.from_arrays([*keep, pa.array([v.tobytes() for v in vectors], pa.binary())], ["lang", "chance", "vector"])
 
-    sample = some.select("lang", "text", "chance").mapInArrow(tidy(described), "lang string, chance double, vector binary").toPandas().sort_values(["lang", "chance"])
-    centroids, labels, least = [], [], []
-    for lang, own in sample.groupby("lang"):
-        x = np.stack([np.frombuffer(v, np.float32) for v in own["vector"]])
+    def clustered(frame: pd.DataFrame) -> pd.DataFrame:
+        """A language's sample, SAMPLE rows at most, to its centroids."""
+        frame = frame.sort_values(["chance", "vector"])
+        x = np.stack([np.frombuffer(v, np.float32) for v in frame["vector"]])
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
-            continue
+            return pd.DataFrame({"lang": [], "cluster": [], "centroid": [], "least": []})
         middle, near = _clustered(x, CLUSTERS)
-        centroids.append(middle)
-        labels += [lang] * len(middle)
         best = near.argmax(1)
-        least += [float(np.quantile(near[best == j, j], REJECTED)) if (best == j).any() else 1.0 for j in range(len(middle))]
-    return Model(idf, np.concatenate(centroids) if centroids else base.centroids, labels, np.array(least))
+        least = [float(np.quantile(near[best == j, j], REJECTED)) if (best == j).any() else 1.0 for j in range(len(middle))]
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]] * len(middle), "cluster": range(len(middle)), "centroid": [m.astype(np.float32).tobytes() for m in middle], "least": least})
+
+    vectors = some.select("lang", "text", "chance").mapInArrow(tidy(described), "lang string, chance double, vector binary")
+    found = sorted(vectors.groupBy("lang").applyInPandas(clustered, "lang string, cluster int, centroid binary, least double").collect(), key=lambda r: (r["lang"], r["cluster"]))
+    centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else base.centroids
+    return Model(idf, centroids, [r["lang"] for r in found], np.array([r["least"] for r in found]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
