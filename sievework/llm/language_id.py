@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import fold, read, small_batches, tidy
+from .shared import fold, read, small_batches, small_side, tidy, written
 
 #: A power of two.
 DIMENSIONS = 4096
@@ -128,10 +128,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         found[bucket] = n
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    # A row for each language: texts stay where they are, however many of them a language has.
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "languages")
     # About 1.5 * SAMPLE rows of each language by hash, of which the SAMPLE smallest stay.
     chance = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 40)) / (1 << 40)
-    some = rows.join(sizes, "lang").withColumn("chance", chance).where(F.col("chance") * F.col("all") < 1.5 * SAMPLE + 30)
+    some = rows.join(small_side(sizes), "lang").withColumn("chance", chance).where(F.col("chance") * F.col("all") < 1.5 * SAMPLE + 30)
     some = some.withColumn("place", F.expr("row_number() over (partition by lang order by chance, id)")).where(F.col("place") <= SAMPLE)
     base = Model(idf, np.zeros((0, DIMENSIONS)), [], np.zeros(0))
 
