@@ -69,9 +69,10 @@ def tumbling(events: DataFrame, ts: str, width: str, *by: str, late: str | None
     return found.select(F.col("w.start").alias("start"), *by, "n")
 
 
-def latest_queries(events: DataFrame, key: str, ts: str, query: str, pause: str = "120 milliseconds") -> DataFrame:
-    """The newest query of each pause in typing."""
-    return events.groupBy(key, F.session_window(ts, pause)).agg(F.max_by(query, ts).alias(query)).select(key, query)
+def latest_queries(events: DataFrame, key: str, ts: str, query: str, pause: str = "120 milliseconds", late: str | None = None) -> DataFrame:
+    """The newest query of each pause in typing. On streams, with `late`, a pause is given once it is over."""
+    rows = events.withWatermark(ts, late) if late else events
+    return rows.groupBy(key, F.session_window(ts, pause)).agg(F.max_by(query, ts).alias(query)).select(key, query)
 
 
 def running_tallies(jobs: DataFrame) -> DataFrame:
@@ -91,10 +92,15 @@ def running_tallies(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("name").applyInPandasWithState(run, "name string, seconds double, units double", "seconds double, units double", "update", GroupStateTimeout.NoTimeout)
 
 
-def incremental(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str):
-    """Runs `apply` on each micro-batch's changed paths; an empty path (an overflow) asks for a full sync."""
+def incremental(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, full: Callable[[], None] | None = None):
+    """Runs `apply` on each micro-batch's changed paths. An event without a path says that events were lost: then `full`
+    syncs everything instead."""
 
     def each(batch: DataFrame, _: int) -> None:
-        apply(batch.select("path").distinct())
+        paths = batch.select(F.coalesce("path", F.lit("")).alias("path")).distinct()
+        if full is not None and paths.where("path = ''").limit(1).count():
+            full()
+        else:
+            apply(paths.where("path <> ''"))
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -91,3 +91,20 @@ def test_tally_stream(spark):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from tally").collect()][-1] == ("image", 6.0, 20.0)
+
+
+def test_lost_events_ask_for_a_full_sync(spark, tmp_path):
+    got, whole = [], []
+    for name, paths in (("one", ["/a", "/b", "/a"]), ("two", ["/c", None])):
+        source = tmp_path / name
+        spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).write.json(str(source))
+        stream = spark.readStream.schema("path string").json(str(source))
+        query = changes.incremental(stream, lambda batch: got.append(sorted(r["path"] for r in batch.collect())), str(tmp_path / f"{name}-state"), lambda: whole.append(1))
+        query.awaitTermination(60)
+    assert got == [["/a", "/b"]] and whole == [1]
+
+
+def test_newest_query_of_a_pause(spark):
+    rows = [(1, "2024-01-01 00:00:00.000", "r"), (1, "2024-01-01 00:00:00.050", "ri"), (1, "2024-01-01 00:00:00.900", "river"), (2, "2024-01-01 00:00:00.000", "x")]
+    d = spark.createDataFrame(rows, "key long, at string, query string").select("key", F.col("at").cast("timestamp").alias("ts"), "query")
+    assert sorted(map(tuple, changes.latest_queries(d, "key", "ts", "query").collect())) == [(1, "ri"), (1, "river"), (2, "x")]
