@@ -10,7 +10,7 @@ from sievework.functions.embedding import CODE_QUERY, QUERY, Embedder, HashEmbed
 from sievework.functions.text import excerpt, has_prose
 from sievework.operators import estimate, evaluate, segment, sync, upkeep
 from sievework.operators.keyword_index import KeywordIndex, build
-from sievework.operators.search import search
+from sievework.operators.search import search, search_many
 from sievework.operators.store import Index
 from sievework.sources import files as sources
 
@@ -70,22 +70,26 @@ class Engine:
         return KeywordIndex(self.spark, folder)
 
     def search(self, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
-        files = self.index_tables.table("files").select(F.col("id").alias("file"), "path", F.col("kind").alias("file_kind"))
-        segments = self.index_tables.table("segments").where("vec is not null").drop("kind").join(files, "file").select("id", "file", F.col("file_kind").alias("kind"), "modality", (F.coalesce("loc", F.lit(0.0)) <= segment.DOC_STEP).alias("sets_scale"), "vec")
+        files, segments = self.index_tables.table("files").select(F.col("id").alias("file"), "path"), self._segments()
         usable, self.warning = upkeep.usable_vector(self._meta("vector_source"), self.make().name)
         q = self.spark.createDataFrame([(self.vectors.of(query),)], "q array<float>") if usable else None
         hits = search(segments, q, self._keywords(), query, kinds, limit)
-        return hits.join(files.select("file", "path"), "file").orderBy(F.desc("score"), "file")
+        return hits.join(files, "file").orderBy(F.desc("score"), "file")
 
     def status(self) -> DataFrame:
         return sync.counts(self.index_tables.table("files"))
 
     def evaluate(self, expected: DataFrame, limit: int = 10) -> DataFrame:
-        """Metrics of expected answers (query, tag, path, first, last); each query is searched."""
-        found = None
-        for (text,) in expected.select("query").distinct().orderBy("query").collect():
-            hits = self.search(text, limit=limit).select(F.lit(text).alias("query"), "path", F.lit(None).cast("int").alias("loc"), F.lit(None).cast("int").alias("loc_end"), F.expr("row_number() over (order by score desc, file)").alias("rank"))
-            found = hits if found is None else found.unionByName(hits)
-        return evaluate.metrics(evaluate.first_ranks(found, expected))
-
+        """Metrics of expected answers (query, tag, path, first, last). All queries are searched in one plan."""
+        queries = [r["query"] for r in expected.select("query").distinct().orderBy("query").collect()]
+        usable, self.warning = upkeep.usable_vector(self._meta("vector_source"), self.make().name)
+        files = self.index_tables.table("files").select(F.col("id").alias("file"), "path")
+        hits = search_many(self._segments(), {q: self.vectors.of(q) if usable else None for q in queries}, self._keywords(), limit).join(files, "file")
+        none = F.lit(None).cast("int")
+        return evaluate.metrics(evaluate.first_ranks(hits.select("query", "path", none.alias("loc"), none.alias("loc_end"), "rank"), expected))
 
+    def _segments(self) -> DataFrame:
+        """Segments with vectors, with their files' kinds; later pages of long files don't set the scale."""
+        kinds = self.index_tables.table("files").select(F.col("id").alias("file"), F.col("kind").alias("file_kind"))
+        segments = self.index_tables.table("segments").where("vec is not null").drop("kind").join(kinds, "file")
+        return segments.select("id", "file", F.col("file_kind").alias("kind"), "modality", (F.coalesce("loc", F.lit(0.0)) <= segment.DOC_STEP).alias("sets_scale"), "vec")

@@ -76,3 +76,68 @@ def with_excerpts(hits: DataFrame, segments: DataFrame, snippets: DataFrame) ->
     own = F.when(F.col("keyword_segment") == F.col("points_at"), quoted)
     borrowed = F.when(F.col("stored").isNull() & F.col("loc").isNull() & (F.col("word_kind") != "name"), quoted)
     return rows.withColumn("excerpt", F.coalesce(own, borrowed, F.col("stored"))).drop("stored", "snippet", "word_kind")
+
+
+ASKED = "query string, term int, token string, prefix boolean, terms int"
+
+
+def _asked(index: KeywordIndex, queries: list[str], widen: bool) -> list[tuple[str, int, str, bool, int]]:
+    out = []
+    for query in queries:
+        terms = query_terms(query)
+        flags = index.prefixes(terms, widen=widen) if terms else []
+        out += [(query, i, token, flag, len(terms)) for i, (token, flag) in enumerate(zip(index.tokens(terms), flags, strict=True)) if token]
+    return out
+
+
+def _words_of_many(index: KeywordIndex, queries: list[str], widen: bool) -> DataFrame:
+    """query, file, coverage, keyword_rank of all queries, from one pass over their tokens' postings."""
+    asked = _asked(index, queries, widen)
+    kind = "query string, file long, coverage double, keyword_rank int"
+    if not asked:
+        return index.spark.createDataFrame([], kind)
+    exact, prefixes = sorted({a[2] for a in asked if not a[3]}), sorted({a[2] for a in asked if a[3]})
+    wanted = F.col("token").isin(exact)
+    for p in prefixes:
+        wanted = wanted | F.col("token").startswith(p)
+    rows, words = index.postings.where(wanted).withColumnRenamed("token", "own"), F.broadcast(index.spark.createDataFrame(asked, ASKED))
+    whole = rows.join(words.where("not prefix"), F.col("own") == F.col("token"))
+    begun = rows.join(words.where("prefix"), F.col("own").startswith(F.col("token")))
+    found = whole.unionByName(begun).groupBy("query", "term", "terms", "rowid", "file").agg(F.sum("names").alias("names"), F.sum("bodies").alias("bodies"), F.first("length").alias("length"))
+    df = found.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
+    both = found.join(F.broadcast(df), ["query", "term"]).crossJoin(F.broadcast(index.statistics))
+    idf = F.greatest(F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(P.LEAST_IDF))
+    f = P.NAME_WEIGHT * F.col("names") + P.BODY_WEIGHT * F.col("bodies")
+    score = idf * f * (P.K1 + 1) / (f + P.K1 * (1 - P.B + P.B * F.col("length") / F.col("mean")))
+    order = Window.partitionBy("query").orderBy("bm25", "rowid")
+    best = both.groupBy("query", "rowid", "file").agg((-F.sum(score)).alias("bm25")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= P.ROWS)
+    files = best.groupBy("query", "file").agg(F.min(F.struct("bm25", "rowid")).alias("b")).select("query", "file", "b.bm25", "b.rowid")
+    files = files.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= P.FILES)
+    held = found.join(files.select("query", "file", "keyword_rank"), ["query", "file"])
+    return held.groupBy("query", "file", "keyword_rank").agg((F.countDistinct("term") / F.first("terms").cast("double")).alias("coverage")).select("query", "file", "coverage", "keyword_rank")
+
+
+def search_many(segments: DataFrame, vectors: dict[str, list[float] | None], index: KeywordIndex, limit: int = 10, word_weight: float = R.WORD_WEIGHT, widen: bool = True) -> DataFrame:
+    """query, file, score, z, coverage, rank of the best files of many queries (query to its vector, or none), each on a
+    scale of its own, in one plan: an evaluation's queries are a small table."""
+    spark, queries = segments.sparkSession, list(vectors)
+    asked = [(q, v) for q, v in vectors.items() if v is not None]
+    q = F.broadcast(spark.createDataFrame(asked, "query string, q array<float>"))
+    scored = segments.crossJoin(q).withColumn("cosine", R.dot(F.col("vec"), F.col("q"))).drop("q", "vec")
+    setting = scored.where("sets_scale")
+    overall = setting.groupBy("query").agg(F.avg("cosine").alias("overall"))
+    own = setting.groupBy("query", "modality").agg(F.avg("cosine").alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= R.MODALITY_LEAST)
+    centred = scored.join(F.broadcast(own.drop("n")), ["query", "modality"], "left").join(F.broadcast(overall), "query").withColumn("d", F.col("cosine") - F.coalesce("own", "overall"))
+    scale = centred.where("sets_scale").groupBy("query").agg(F.avg("d").alias("mu"), F.greatest(F.stddev_pop("d"), F.lit(R.LEAST_SPREAD)).alias("sigma"))
+    meant = centred.join(F.broadcast(scale), "query").withColumn("z", (F.col("d") - F.col("mu")) / F.col("sigma"))
+    best = meant.groupBy("query", "file").agg(F.max(F.struct("z", (-F.col("id")).alias("minus"), "kind")).alias("b")).select("query", "file", "b.z", "b.kind")
+
+    ways = [(text, *((0.5, 2 * word_weight) if lookup(query_terms(text)) else (1.0, word_weight)), hinted_kinds(text)) for text in queries]
+    weights = F.broadcast(spark.createDataFrame(ways, "query string, mw double, ww double, hinted array<string>"))
+    both = best.join(_words_of_many(index, queries, widen), ["query", "file"], "full_outer").join(weights, "query")
+    z, c = F.coalesce("z", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0))
+    bonus = F.when(F.array_contains("hinted", F.coalesce("kind", F.lit(""))), R.KIND_BONUS).otherwise(0.0)
+    score = F.col("mw") * F.greatest(z, F.lit(0.0)) + F.col("ww") * F.pow(c, F.lit(R.COVERAGE_POWER)) + bonus
+    hits = both.where((z >= R.Z_GATE) | (c >= R.COVERAGE_GATE)).withColumn("score", score)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file")))
+    return ranked.where(F.col("rank") <= limit).select("query", "file", "score", "z", "coverage", "rank")

@@ -178,3 +178,21 @@ def test_code_search(spark, tmp_path):
     assert got == {1: (2, 21), 2: (3, 30)}
     plain = search.pointed(search.search(None, None, index, "things read", widen=False)).withColumn("place", F.lit(1))
     assert {r["file"]: r["focus"] for r in lookup.code_places(plain, stretches, index, "things read", None).collect()}[3] == 40
+
+
+def test_many_queries_in_one_plan_are_each_query_alone(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = "river stone lamp table window garden cloud seven invoice grokipedia k7q2lm photo".split()
+    rows = [(i, i // 2, f"f{i}", " ".join(words[k] for k in rng.integers(0, len(words), 6))) for i in range(60)]
+    build(spark.createDataFrame(rows, "rowid long, file long, name string, body string"), str(tmp_path))
+    index = KeywordIndex(spark, str(tmp_path))
+    vec = lambda: [float(x) for x in rng.normal(size=8)]
+    segments = spark.createDataFrame([(i, i // 2, ["image", "doc"][i // 2 % 2], ["text", "image", "audio"][i % 3], i % 9 != 0, vec()) for i in range(60)], "id long, file long, kind string, modality string, sets_scale boolean, vec array<float>")
+    vectors = {"river stone": vec(), "photo of a lamp": vec(), "k7q2lm": vec(), "grok window": None, "the": vec()}
+    got = {}
+    for r in search.search_many(segments, vectors, index, 7).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["file"], pytest.approx(r["score"], abs=1e-6)))
+    for query, vector in vectors.items():
+        q = spark.createDataFrame([(vector,)], "q array<float>") if vector else None
+        hits = search.search(segments, q, index, query, limit=7).orderBy(F.desc("score"), "file").collect()
+        assert sorted(got.get(query, []), key=lambda x: x[0]) == [(k, r["file"], r["score"]) for k, r in enumerate(hits, 1)], query
