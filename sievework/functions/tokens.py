@@ -17,8 +17,13 @@ _SWAPS = [sorted(((a, b) for a, _, b in (x.partition(":") for x in step.split())
 _DROPS = sorted(STEP4.split(), key=len, reverse=True)
 
 
+_PLAIN = {c: "v" if chr(c) in "aeiou" else "c" for c in range(256)}
+
+
 def _shape(word: str) -> str:
     """v for vowels, c for others; a y after a consonant is a vowel."""
+    if "y" not in word:
+        return word.translate(_PLAIN)
     out = ""
     for letter in word:
         out += "v" if letter in "aeiou" or (letter == "y" and out.endswith("c")) else "c"
@@ -27,8 +32,7 @@ def _shape(word: str) -> str:
 
 def _measure(word: str) -> int:
     """How often a vowel is followed by a consonant."""
-    shape = _shape(word)
-    return sum(a + b == "vc" for a, b in zip(shape, shape[1:], strict=False))
+    return _shape(word).count("vc")
 
 
 def _short(word: str) -> bool:

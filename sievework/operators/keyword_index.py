@@ -7,6 +7,7 @@ reaches the Parquet scan, and never reads a text.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -46,11 +47,17 @@ def tokenized(rows: DataFrame) -> DataFrame:
 
 
 def build(rows: DataFrame, folder: str) -> None:
-    """Writes the postings, in ranges of tokens and sorted by them, and the statistics."""
-    found = tokenized(rows)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the postings, in ranges of tokens and sorted by them, and the statistics. Texts are cut into tokens once:
+    drawing ranges reads its input twice, so it reads what is written aside."""
+    spark = rows.sparkSession
+    aside = f"{folder}/aside-{uuid.uuid4().hex}"
+    tokenized(rows).write.parquet(aside)
+    found = spark.read.schema(SCHEMA).parquet(aside)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found.repartitionByRange(parts, "token", "rowid").sortWithinPartitions("token", "rowid").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
-    postings = rows.sparkSession.read.schema(SCHEMA).parquet(f"{folder}/postings")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    postings = spark.read.schema(SCHEMA).parquet(f"{folder}/postings")
     lengths = postings.groupBy("rowid").agg(F.first("length").alias("length"))
     lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
 
