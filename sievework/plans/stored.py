@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.operators.keyword_index import KeywordIndex, build
 
+#: Changes with what an index holds.
+FORMAT = 2
 _lock = threading.Lock()
 
 
@@ -35,8 +38,13 @@ def _state(spark: SparkSession, path: str) -> str:
 def keyword_index(spark: SparkSession, path: str, rows: DataFrame) -> KeywordIndex:
     """The index of rows (rowid, file, name, body) that come from the table at `path`."""
     with _lock:
-        folder = f"{index_folder(spark)}/keywords-{_state(spark, path)}"
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/statistics/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            build(rows, folder)
+        folder = f"{index_folder(spark)}/keywords-{FORMAT}-{_state(spark, path)}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at(folder)):
+            # Built aside and renamed into place, so that nobody reads half of it; the first of several builders wins.
+            aside = f"{folder}-{uuid.uuid4().hex}"
+            build(rows, aside)
+            if fs.exists(at(folder)) or not fs.rename(at(aside), at(folder)):
+                fs.delete(at(aside), True)
         return KeywordIndex(spark, folder)
