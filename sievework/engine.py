@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.embedding import CODE_QUERY, QUERY, Embedder, HashEmbedder, document_prompt, embedded
 from sievework.functions.text import excerpt, has_prose
 from sievework.operators import estimate, evaluate, segment, sync, upkeep
-from sievework.operators.keyword_index import KeywordIndex, build
+from sievework.operators.keyword_index import KeywordIndex
 from sievework.operators.search import search, search_many
 from sievework.operators.store import Index
 from sievework.sources import files as sources
 
+#: Files that one commit reads; bytes of the largest file that is opened.
+BATCH, LARGEST = 10_000, 1 << 30
+
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, make: type[Embedder] = HashEmbedder):
@@ -36,38 +42,55 @@ class Engine:
         counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).toPandas()
         self.index_tables.apply(changes, crawled)
         changes.unpersist()
-        pending = self.index_tables.table("files").where("state = 'pending' and kind = 'doc'").select("id", "path")
-        content = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        content = content.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(pending.select("path"), "path", "left_semi")
-        # Each file is parsed once, for its segments and for its state.
-        texts = sources.texts(content).join(pending, "path").persist(StorageLevel.DISK_ONLY)
+        while self._read_some():
+            pass
+        self.index_tables.compact()
+        name = self.make().name
+        if self._meta("vector_source") != name:
+            self.index_tables.set_meta(fingerprint=upkeep.fingerprint(name), vector_source=name)
+        return self.spark.createDataFrame(counts)
+
+    def _opened(self, paths: list[str]) -> DataFrame:
+        """path, content of some files; those that have gone meanwhile are left out."""
+        load = lambda some: self.spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in some])
+        try:
+            return load(paths)
+        except AnalysisException:
+            there = [p for p in paths if self.index_tables._fs.exists(self.index_tables._path(p))]
+            return load(there) if there else self.spark.createDataFrame([], "path string, content binary")
+
+    def _read_some(self, most: int = BATCH) -> int:
+        """Reads the next pending documents, opening no other file, and commits their segments and states together.
+        Returns how many there were."""
+        waiting = sync.queue(self.index_tables.table("files").where("kind = 'doc'"), most).select("id", "path", "size").cache()
+        # At most `most` paths.
+        paths = [r["path"] for r in waiting.where(F.col("size") <= LARGEST).select("path").collect()]
+        count = waiting.count()
+        if not count:
+            return 0
+        content = self.spark.createDataFrame([], "path string, content binary")
+        if paths:
+            opened = self._opened(paths)
+            content = opened.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+        # Each file is parsed once, for its segments and for its state; one that is gone or too large has failed.
+        read = sources.texts(content)
+        texts = waiting.select("id", "path").join(read, "path", "left").persist(StorageLevel.DISK_ONLY)
         pieces = segment.chunks(texts.where("text is not null"), "id", "text")
         title = F.lit(None).cast("string")
         vectors = embedded(pieces.withColumn("prompt", document_prompt(title, F.col("chunk"))), "prompt", self.make)
         rows = vectors.select(F.col("id").alias("file"), F.lit("chunk").alias("kind"), F.lit("text").alias("modality"), F.col("loc").cast("double").alias("loc"), F.lit(None).cast("double").alias("loc_end"), excerpt(F.col("chunk")).alias("excerpt"), F.col("chunk").alias("body"), F.when(has_prose(F.col("chunk")), F.col("vec")).alias("vec"))
-        self.index_tables.add_segments(rows)
         state = F.when(F.col("text").isNotNull(), "done").when(F.col("error") == "empty", "skipped").otherwise("failed")
-        self.index_tables.finish(texts.select("id", state.alias("state"), F.col("error").alias("detail"), F.create_map().cast("map<string,string>").alias("info")))
+        self.index_tables.record(rows, texts.select("id", state.alias("state"), F.coalesce("error", F.when(F.col("text").isNull(), F.lit("not read"))).alias("detail"), F.create_map().cast("map<string,string>").alias("info")))
         texts.unpersist()
-        name = self.make().name
-        if self._meta("vector_source") != name:
-            self.index_tables.set_meta(fingerprint=upkeep.fingerprint(name), vector_source=name)
-        return self.spark.createDataFrame(counts)
+        waiting.unpersist()
+        return count
 
     def _meta(self, key: str) -> str | None:
         row = self.index_tables.table("meta").where(F.col("key") == key).first()
         return row["value"] if row else None
 
     def _keywords(self) -> KeywordIndex:
-        """The stored keyword index of the present keyword rows: built once for each version of them."""
-        folder = f"{self.index_tables.folder}/keywords/{self.index_tables.versions()['fts']}"
-        done = self.index_tables._path(f"{folder}/statistics/_SUCCESS")
-        if not self.index_tables._fs.exists(done):
-            build(self.index_tables.table("fts"), folder)
-            for old in self.index_tables._list("keywords"):
-                if old not in folder:
-                    self.index_tables._fs.delete(self.index_tables._path(f"{self.index_tables.folder}/keywords/{old}"), True)
-        return KeywordIndex(self.spark, folder)
+        return self.index_tables.keywords()
 
     def search(self, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
         files, segments = self.index_tables.table("files").select(F.col("id").alias("file"), "path"), self._segments()

@@ -13,8 +13,27 @@ LONGEST, SHORTEST = 64, 3
 STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-_SWAPS = [sorted(((a, b) for a, _, b in (x.partition(":") for x in step.split())), key=lambda p: -len(p[0])) for step in (STEP2, STEP3)]
-_DROPS = sorted(STEP4.split(), key=len, reverse=True)
+
+
+class _Suffixes:
+    """A table of suffixes, looked up by their lengths, the longest first. Most words are told by their last two letters."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.swaps = dict(pairs)
+        self.lengths = sorted({len(a) for a in self.swaps}, reverse=True)
+        self.last = {a[-2:] for a in self.swaps}
+
+    def of(self, word: str) -> str | None:
+        """The longest suffix that has something before it."""
+        if word[-2:] in self.last:
+            for n in self.lengths:
+                if n < len(word) and word[-n:] in self.swaps:
+                    return word[-n:]
+        return None
+
+
+_SWAPS = [_Suffixes([(a, b) for a, _, b in (x.partition(":") for x in step.split())]) for step in (STEP2, STEP3)]
+_DROPS = _Suffixes([(a, "") for a in STEP4.split()])
 
 
 _PLAIN = {c: "v" if chr(c) in "aeiou" else "c" for c in range(256)}
@@ -75,11 +94,11 @@ def _stemmed(word: str) -> str:
     word = _past(word)
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for swaps in _SWAPS:
-        end = next(((a, b) for a, b in swaps if _ends(word, a)), None)
-        if end and _measure(word[: -len(end[0])]) > 0:
-            word = word[: -len(end[0])] + end[1]
-    end = next((e for e in _DROPS if _ends(word, e)), None)
+    for table in _SWAPS:
+        end = table.of(word)
+        if end and _measure(word[: -len(end)]) > 0:
+            word = word[: -len(end)] + table.swaps[end]
+    end = _DROPS.of(word)
     if end and _measure(rest := word[: -len(end)]) > 1 and (end != "ion" or rest.endswith(("s", "t"))):
         word = rest
     if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _short(word[:-1])):
@@ -105,15 +124,15 @@ class Tokens:
     def __init__(self, most: int = 500_000):
         self.most, self.known = most, {}
 
+    def one(self, word: str) -> str:
+        """A word's token, empty if it is cut away whole."""
+        token = self.known.get(word)
+        if token is None:
+            if len(self.known) > self.most:
+                self.known.clear()
+            plain = folded(word)
+            token = self.known[word] = stem(plain) if plain else ""
+        return token
+
     def of(self, text: str | None) -> list[str]:
-        out, known = [], self.known
-        if len(known) > self.most:
-            known.clear()
-        for word in TOKEN.findall(text or ""):
-            token = known.get(word)
-            if token is None:
-                plain = folded(word)
-                token = known[word] = stem(plain) if plain else ""
-            if token:
-                out.append(token)
-        return out
+        return [t for t in map(self.one, TOKEN.findall(text or "")) if t]

@@ -9,7 +9,8 @@ from sievework.functions.text import KIND_WORDS, query_terms
 
 from . import postings as P
 from . import ranking as R
-from .keyword_index import KeywordIndex
+from .keyword_index import KeywordIndex, idf
+from .keyword_index import score as word_score
 
 MARKED = 400
 
@@ -28,10 +29,13 @@ def lookup(terms: list[str]) -> bool:
 
 def word_files(index: KeywordIndex, terms: list[str], kinds: DataFrame | None = None, typing: bool = False, widen: bool = True, phrase: list[str] | None = None) -> DataFrame:
     """file, coverage, keyword_rank, keyword_segment. The limit on rows comes before the kinds (file), the files last."""
-    found = index.matched(terms, index.prefixes(terms, typing, widen))
+    prefixes = index.prefixes(terms, typing, widen)
+    found = index.matched(terms, prefixes)
     if phrase:
         found = found.join(index.phrase(phrase).select("rowid"), "rowid", "left_semi")
-    best = index.bm25(found).orderBy("bm25", "rowid").limit(P.ROWS)
+        best = index.bm25(found).orderBy("bm25", "rowid").limit(P.ROWS)
+    else:
+        best = index.top(terms, P.ROWS, prefixes)
     if kinds is not None:
         best = best.join(kinds.select("file"), "file", "left_semi")
     files = P.keyword_files(best)
@@ -104,11 +108,9 @@ def _words_of_many(index: KeywordIndex, queries: list[str], widen: bool) -> Data
     whole = rows.join(words.where("not prefix"), F.col("own") == F.col("token"))
     begun = rows.join(words.where("prefix"), F.col("own").startswith(F.col("token")))
     found = whole.unionByName(begun).groupBy("query", "term", "terms", "rowid", "file").agg(F.sum("names").alias("names"), F.sum("bodies").alias("bodies"), F.first("length").alias("length"))
-    df = found.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
-    both = found.join(F.broadcast(df), ["query", "term"]).crossJoin(F.broadcast(index.statistics))
-    idf = F.greatest(F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(P.LEAST_IDF))
-    f = P.NAME_WEIGHT * F.col("names") + P.BODY_WEIGHT * F.col("bodies")
-    score = idf * f * (P.K1 + 1) / (f + P.K1 * (1 - P.B + P.B * F.col("length") / F.col("mean")))
+    df = found.groupBy("query", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    both, (total, mean) = found.join(df, ["query", "term"]), index.figures
+    score = word_score(P.NAME_WEIGHT * F.col("names") + P.BODY_WEIGHT * F.col("bodies"), F.col("length"), idf(F.col("df"), total), mean)
     order = Window.partitionBy("query").orderBy("bm25", "rowid")
     best = both.groupBy("query", "rowid", "file").agg((-F.sum(score)).alias("bm25")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= P.ROWS)
     files = best.groupBy("query", "file").agg(F.min(F.struct("bm25", "rowid")).alias("b")).select("query", "file", "b.bm25", "b.rowid")

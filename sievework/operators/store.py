@@ -1,15 +1,17 @@
-"""The index as Parquet tables: files, segments, keyword rows, meta."""
+"""The index as tables that change together: files, segments, keyword rows, meta, and the keyword index's own."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import normalized
+from sievework.plans.delta import KEPT, Change, DeltaStore
+
+from . import keyword_index, rules, sync
+from .keyword_index import KeywordIndex
 
-from . import rules, sync
+__all__ = ["KEPT", "SCHEMAS", "VERSION", "Index"]
 
 VERSION = 5
 SCHEMAS = {
@@ -18,133 +20,128 @@ SCHEMAS = {
     "fts": "rowid long, file long, name string, body string, original string",
     "meta": "key string, value string",
 }
+KEYS = {"files": "id", "segments": "id", "fts": "rowid"}
+WORDS = {name: f"keyword_{name}" for name in keyword_index.SCHEMAS}
 
 
-#: Pointers that are kept, with the versions that they name: a reader may still be at an earlier one.
-KEPT = 3
-
-
-class Index:
-    """Tables under a folder. A change writes new versions of its tables, then a numbered pointer that names every
-    table's version; the highest complete pointer counts. A pointer is written aside and renamed into place, so a reader
-    sees all of a change or none of it, and a crash between the two steps leaves the state before."""
+class Index(DeltaStore):
+    """Each method is one commit over all the tables that it changes. What it writes follows what it changes: rows of
+    its own, and the keys of those that go."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._pointers():
-            if any(self._list(name) for name in SCHEMAS):
-                raise ValueError(f"{folder} holds tables but no pointer to them")
-            self.write({name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
-
-    def _list(self, name: str) -> list[str]:
-        at = self._path(f"{self.folder}/{name}")
-        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-
-    def _pointers(self) -> list[int]:
-        return sorted(int(p) for p in self._list("pointers") if p.isdigit())
-
-    def _named(self, pointer: int) -> dict[str, str]:
-        return {r["table"]: r["version"] for r in self.spark.read.schema("table string, version string").json(f"{self.folder}/pointers/{pointer}").collect()}
-
-    def versions(self) -> dict[str, str]:
-        return self._named(self._pointers()[-1])
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{self.versions()[name]}")
-
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        pointers = self._pointers()
-        versions = self._named(pointers[-1]) if pointers else {}
-        for name, rows in tables.items():
-            versions[name] = uuid.uuid4().hex
-            rows.select(*[c.split()[0] for c in _columns(SCHEMAS[name])]).write.parquet(f"{self.folder}/{name}/{versions[name]}")
-        self._point(versions, pointers[-1] + 1 if pointers else 1)
-        self._clean()
-
-    def _point(self, versions: dict[str, str], number: int) -> None:
-        aside = self._path(f"{self.folder}/aside-{uuid.uuid4().hex}")
-        self.spark.createDataFrame(list(versions.items()), "table string, version string").coalesce(1).write.json(aside.toString())
-        self._fs.mkdirs(self._path(f"{self.folder}/pointers"))
-        target = self._path(f"{self.folder}/pointers/{number}")
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
-            raise ValueError(f"pointer {number} is there already: another writer was first")
-
-    def _clean(self) -> None:
-        """Removes pointers before the last `KEPT`, and versions that none of these names."""
-        pointers = self._pointers()
-        for old in pointers[:-KEPT]:
-            self._fs.delete(self._path(f"{self.folder}/pointers/{old}"), True)
-        kept = [self._named(p) for p in pointers[-KEPT:]]
-        for name in SCHEMAS:
-            for version in set(self._list(name)) - {k.get(name) for k in kept}:
-                self._fs.delete(self._path(f"{self.folder}/{name}/{version}"), True)
-
-    def size(self) -> int:
-        """Bytes on disk."""
-        return self._fs.getContentSummary(self._path(self.folder)).getLength()
+        words = {WORDS[n]: s for n, s in keyword_index.SCHEMAS.items()}
+        super().__init__(spark, folder, SCHEMAS | words, KEYS | {WORDS[n]: k for n, k in keyword_index.KEYS.items()})
+
+    def keywords(self, state: dict | None = None) -> KeywordIndex:
+        return KeywordIndex(self.spark, store=self, names=WORDS, state=state)
+
+    def compact(self, name=None, merge=None) -> bool:
+        """One table, or all of them."""
+        if name is not None:
+            return super().compact(name, merge)
+        done = [super(Index, self).compact(n) for n in KEYS]
+        self.keywords().compact()
+        return any(done)
+
+    def _new(self, change: Change, crawled: DataFrame) -> None:
+        # A moved file keeps its id, so that a new file at its old path needs another one.
+        new = crawled.withColumn("id", F.xxhash64("path", F.lit(change.number))).withColumns({"state": F.lit("pending"), "detail": F.lit(None).cast("string"), "info": F.create_map().cast("map<string,string>"), "indexed_at": F.lit(None).cast("timestamp")})
+        name, none = rules.name_of(F.col("path")), F.lit(None)
+        change.append("files", new)
+        change.append("segments", new.select("id", F.col("id").alias("file"), F.lit("name").alias("kind"), F.lit("none").alias("modality"), none.alias("loc"), none.alias("loc_end"), none.alias("excerpt"), none.alias("vec")))
+        rows = new.select(F.col("id").alias("rowid"), F.col("id").alias("file"), normalized(name).alias("name"), F.lit("").alias("body"), none.alias("original"))
+        change.append("fts", rows)
+        self.keywords(change.state).add(change, rows)
+
+    def _without(self, change: Change, segments: DataFrame) -> None:
+        """Segments (id) go, with their keyword rows."""
+        change.delete("segments", segments.select("id"))
+        rows = segments.select(F.col("id").alias("rowid"))
+        change.delete("fts", rows)
+        self.keywords(change.state).remove(change, rows)
 
     def insert(self, crawled: DataFrame) -> None:
         """New files, each with its name as a segment and as a keyword row."""
-        new = crawled.withColumn("id", F.xxhash64("path")).withColumns({"state": F.lit("pending"), "detail": F.lit(None).cast("string"), "info": F.create_map().cast("map<string,string>"), "indexed_at": F.lit(None).cast("timestamp")})
-        new = new.join(self.table("files").select("path"), "path", "left_anti")
-        name = rules.name_of(F.col("path"))
-        none = F.lit(None)
-        segments = new.select("id", F.col("id").alias("file"), F.lit("name").alias("kind"), F.lit("none").alias("modality"), none.cast("double").alias("loc"), none.cast("double").alias("loc_end"), none.cast("string").alias("excerpt"), none.cast("array<float>").alias("vec"))
-        rows = new.select(F.col("id").alias("rowid"), F.col("id").alias("file"), normalized(name).alias("name"), F.lit("").alias("body"), none.cast("string").alias("original"))
-        self.write({"files": self.table("files").unionByName(new.select(self.table("files").columns)), "segments": self.table("segments").unionByName(segments), "fts": self.table("fts").unionByName(rows)})
+        change = self.begin()
+        self._new(change, crawled.join(change.table("files").select("path"), "path", "left_anti"))
+        change.commit()
 
-    def add_segments(self, segments: DataFrame) -> None:
-        """Segments (file, kind, modality, loc, loc_end, excerpt, body, vec): no vector, no modality; the text as written
-        is kept where normalising changes it."""
-        s = segments.withColumn("id", F.xxhash64("file", "kind", "loc")).withColumn("plain", normalized(F.col("body")))
+    def _segments(self, change: Change, segments: DataFrame) -> None:
+        s = segments.withColumn("id", F.xxhash64("file", "kind", "loc")).withColumn("plain", normalized(F.col("body"))).dropDuplicates(["id"])
         s = s.withColumn("modality", F.when(F.col("vec").isNull(), "none").otherwise(F.col("modality")))
+        again = change.table("segments").join(s.select("id"), "id", "left_semi").select("id")
+        if not again.isEmpty():
+            self._without(change, again)
+        change.append("segments", s)
         rows = s.select(F.col("id").alias("rowid"), "file", F.lit("").alias("name"), F.col("plain").alias("body"), F.when(F.col("plain") != F.col("body"), F.col("body")).alias("original"))
-        self.write({"segments": self.table("segments").unionByName(s.select(self.table("segments").columns)), "fts": self.table("fts").unionByName(rows)})
+        change.append("fts", rows)
+        self.keywords(change.state).add(change, rows)
+
+    def _states(self, change: Change, done: DataFrame) -> None:
+        new = done.select("id", *[F.col(c).alias(f"n_{c}") for c in ("state", "detail", "info")])
+        files = change.table("files").join(new, "id")
+        change.upsert("files", files.withColumns({c: F.col(f"n_{c}") for c in ("state", "detail", "info")} | {"indexed_at": F.current_timestamp()}))
+
+    def add_segments(self, segments: DataFrame) -> None:
+        """Segments (file, kind, modality, loc, loc_end, excerpt, body, vec): no vector, no modality; the text as written
+        is kept where normalising changes it. A segment that is there already (same file, kind and place) is replaced;
+        of several in one call one stays."""
+        change = self.begin()
+        self._segments(change, segments)
+        change.commit()
+
+    def finish(self, done: DataFrame) -> None:
+        """States of files (id, state, detail, info) after reading."""
+        change = self.begin()
+        self._states(change, done)
+        change.commit()
+
+    def record(self, segments: DataFrame, done: DataFrame) -> None:
+        """Segments and the states of their files in one commit: a crash leaves both or neither."""
+        change = self.begin()
+        self._segments(change, segments)
+        self._states(change, done)
+        change.commit()
 
     def apply(self, changes: DataFrame, crawled: DataFrame) -> None:
         """A reconcile's changes: moves keep their vectors, changed files are pending again, removed ones go with their
         segments and keyword rows."""
-        files = self.table("files")
-        moved = changes.where("change = 'moved'").select(F.col("old_path").alias("o"), F.col("path").alias("p"))
-        files = files.join(moved, files["path"] == F.col("o"), "left").withColumn("path", F.coalesce("p", "path")).drop("o", "p")
-        files, segments = sync.requeued(files, self.table("segments"), changes.where("change = 'changed'"))
-        files = files.join(changes.where("change = 'removed'").select("path"), "path", "left_anti")
-        self._keep(files, segments)
-        self.insert(crawled.join(changes.where("change = 'added'").select("path"), "path", "left_semi"))
+        change = self.begin()
+        files, segments = change.table("files"), change.table("segments")
+        marked = changes.where("change in ('moved', 'changed', 'removed')").select(F.coalesce("old_path", "path").alias("stored"), F.col("path").alias("now"), "change")
+        touched = files.join(marked, files["path"] == F.col("stored"))
+        again = touched.where("change in ('moved', 'changed')").withColumns({"path": F.col("now"), "state": F.when(F.col("change") == "changed", "pending").otherwise(F.col("state"))})
+        # A changed file is compared with what it is now, the next time.
+        facts = crawled.select(F.col("path").alias("now"), *[F.col(c).alias(f"n_{c}") for c in ("size", "mtime", "inode", "device")])
+        again = again.join(facts, "now").withColumns({c: F.col(f"n_{c}") for c in ("size", "mtime", "inode", "device")})
+        left = touched.where("change in ('changed', 'removed')").select(F.col("id").alias("file"), "change")
+        going = segments.join(left, "file").where("change = 'removed' or kind <> 'name'").select("id")
+        change.upsert("files", again)
+        change.delete("files", touched.where("change = 'removed'").select("id"))
+        self._without(change, going)
+        self._new(change, crawled.join(changes.where("change = 'added'").select("path"), "path", "left_semi"))
+        change.commit()
 
     def prune(self, roots: list[str]) -> None:
-        self._keep(sync.pruned(self.table("files"), roots), self.table("segments"))
-
-    def _keep(self, files: DataFrame, segments: DataFrame) -> None:
-        ids = files.select(F.col("id").alias("file"))
-        segments = segments.join(ids, "file", "left_semi")
-        rows = self.table("fts").join(segments.select(F.col("id").alias("rowid")), "rowid", "left_semi")
-        self.write({"files": files, "segments": segments, "fts": rows})
-
-    def finish(self, done: DataFrame) -> None:
-        """States of files (id, state, detail, info) after reading."""
-        files = self.table("files").join(done.select("id", *[F.col(c).alias(f"n_{c}") for c in ("state", "detail", "info")]), "id", "left")
-        changed = F.col("n_state").isNotNull()
-        files = files.withColumns({c: F.when(changed, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("state", "detail", "info")} | {"indexed_at": F.when(changed, F.current_timestamp()).otherwise(F.col("indexed_at"))})
-        self.write({"files": files})
+        """Files outside all roots go, with their segments and keyword rows."""
+        change = self.begin()
+        files = change.table("files")
+        outside = files.join(sync.pruned(files, roots).select("id"), "id", "left_anti").select("id")
+        going = change.table("segments").join(outside.select(F.col("id").alias("file")), "file", "left_semi").select("id")
+        change.delete("files", outside)
+        self._without(change, going)
+        change.commit()
 
     def set_meta(self, **values: str) -> None:
-        self.write({"meta": sync.upserted(self.table("meta"), self.spark.createDataFrame(list(values.items()), SCHEMAS["meta"]))})
+        """The meta table has a few rows, and is written anew."""
+        change = self.begin()
+        change.overwrite("meta", sync.upserted(change.table("meta"), self.spark.createDataFrame(list(values.items()), SCHEMAS["meta"])).coalesce(1))
+        change.commit()
 
     def reset(self) -> None:
         """Everything pending again; only names stay, and the fingerprint is forgotten."""
-        names = self.table("segments").where("kind = 'name'")
-        rows = self.table("fts").join(names.select(F.col("id").alias("rowid")), "rowid", "left_semi")
-        self.write({"files": self.table("files").withColumn("state", F.lit("pending")), "segments": names, "fts": rows, "meta": self.table("meta").where("key <> 'fingerprint'")})
-
-
-def _columns(schema: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for at, c in enumerate(schema + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(schema[start:at].strip())
-            start = at + 1
-    return out
+        change = self.begin()
+        change.overwrite("files", change.table("files").withColumn("state", F.lit("pending")))
+        self._without(change, change.table("segments").where("kind <> 'name'").select("id"))
+        change.overwrite("meta", change.table("meta").where("key <> 'fingerprint'").coalesce(1))
+        change.commit()

@@ -145,15 +145,12 @@ def postings_body(spark, sf_dir):
 
 @query(f"WITH {_MATCHED} SELECT rowid, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25, rowid LIMIT 50")
 def bm25_topk(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return index.bm25(index.matched(TERMS)).orderBy("bm25", "rowid").limit(50).select("rowid", SIX("bm25").alias("bm25"))
+    return _index(spark, sf_dir).top(TERMS, 50).select("rowid", SIX("bm25").alias("bm25"))
 
 
 @query(f"WITH {_MATCHED} SELECT file, round(bm25, 6) AS bm25, rowid FROM kf")
 def keyword_files(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    best = index.bm25(index.matched(TERMS)).orderBy("bm25", "rowid").limit(P.ROWS)
-    return P.keyword_files(best).select("file", SIX("bm25").alias("bm25"), "rowid")
+    return P.keyword_files(_index(spark, sf_dir).top(TERMS, P.ROWS)).select("file", SIX("bm25").alias("bm25"), "rowid")
 
 
 @query(f"WITH {_MATCHED} SELECT file, CAST(coverage AS DOUBLE) AS coverage FROM cov")
