@@ -9,7 +9,14 @@ list of identifiers and matches where they follow each other in the sequence wit
 two. Longer rules come first, and a sentence that a rule has used is not used again.
 
 Licences are named by their SPDX identifiers. A sentence that names a licence ("named:X", "spdx:X") is a rule of its
-own; sentences of a licence's text or notice ("mit-grant") make one only in their order.
+own; sentences of a licence's text or notice ("mit-grant") make one only in their order. An SPDX line is read as it is
+written: whole identifiers, `AND`, `OR` and `WITH` in capitals between them; an exception stays with its licence.
+
+The title of a licence ("title:X") followed by the words that begin its text ("text-begin") makes the whole text one licence: what is named
+from there to the next title, or to the first sentence after the appendix that shows how to apply it, belongs to that
+text. A GNU title gives the version's `-only` identifier: a text alone grants no later version.
+
+"All rights reserved" makes a text proprietary only where no other licence is found.
 
 Defined cases: a null or empty text has no sentences and no licence; repeated rows are each scanned; a text of any
 length is scanned whole, in time in proportion to its length; an empty table gives an empty result; ids are passed
@@ -28,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import read, small_batches, tidy
 
 GAP = 3
+#: Characters that stand for the open words in the middle of a licence sentence, at most: names of holders.
+OPEN = 600
 #: SPDX identifiers by the name that notices give the licence, as a pattern over normalised text.
 NAMES: list[tuple[str, str]] = [
     ("Apache-2.0", r"apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?"),
@@ -56,7 +65,46 @@ NAMES: list[tuple[str, str]] = [
     ("PSF-2.0", r"python software foundation license|psf(?: license)?(?: version)?(?: 2(?: 0)?)?"),
     ("PostgreSQL", r"postgresql"),
     ("CC0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v?1 0)?(?: universal)?"),
+    ("Artistic-1.0", r"artistic(?: license)?(?: version)? 1 0"),
+    ("GFDL-1.1", r"(?:gnu )?(?:free documentation license|fdl|gfdl)(?: version)?(?: v)? 1 1"),
+    ("GFDL-1.2", r"(?:gnu )?(?:free documentation license|fdl|gfdl)(?: version)?(?: v)? 1 2"),
+    ("GFDL-1.3", r"(?:gnu )?(?:free documentation license|fdl|gfdl)(?: version)?(?: v)? 1 3"),
+]
+#: Titles of licence texts, as patterns over a heading, and the words that begin or end such a text.
+TITLES: list[tuple[str, str]] = [
+    ("GPL-1.0-only", r"gnu general public license version 1(?: february 1989)?"),
+    ("GPL-2.0-only", r"gnu general public license version 2(?: june 1991)?"),
+    ("GPL-3.0-only", r"gnu general public license version 3(?: 29 june 2007)?"),
+    ("LGPL-2.0-only", r"gnu library general public license version 2(?: june 1991)?"),
+    ("LGPL-2.1-only", r"gnu lesser general public license version 2 1(?: february 1999)?"),
+    ("LGPL-3.0-only", r"gnu lesser general public license version 3(?: 29 june 2007)?"),
+    ("AGPL-3.0-only", r"gnu affero general public license version 3(?: 19 november 2007)?"),
+    ("GFDL-1.1", r"gnu free documentation license version 1 1(?: march 2000)?"),
+    ("GFDL-1.2", r"gnu free documentation license version 1 2(?: november 2002)?"),
+    ("GFDL-1.3", r"gnu free documentation license version 1 3(?: 3 november 2008)?"),
+    ("Apache-2.0", r"apache license version 2 0 january 2004(?: https? www apache org licenses)?"),
+    ("MPL-1.1", r"mozilla public license version 1 1"),
+    ("MPL-2.0", r"mozilla public license version 2 0"),
+    ("EPL-1.0", r"eclipse public license v 1 0"),
+    ("EPL-2.0", r"eclipse public license v 2 0"),
+    ("Artistic-1.0", r"the artistic license"),
+    ("Artistic-2.0", r"(?:the )?artistic license 2 0"),
+    ("CC0-1.0", r"(?:creative commons legal code )?cc0 1 0 universal"),
 ]
+TEXT_BEGINS = (
+    r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    r"terms and conditions for use reproduction and distribution",
+    r"(?:1 )?definitions",
+    r"the intent of this document is to state the conditions under which a package may be copied.*",
+    r"creative commons corporation is not a law firm and does not provide legal services",
+    r"the accompanying program is provided under the terms of this eclipse public license.*",
+)
+TEXT_ENDS = (
+    r"but first please read.*",
+    r"use the gnu (?:library|lesser) general public license instead of this license",
+    r"that s all there is to it",
+    r"see the license for the specific language governing permissions and limitations under the license",
+)
 #: The GNU licences' names and versions, and the terms and versions of Creative Commons licences.
 GNU = {"GPL": r"(?:gnu )?(?:general public license|gpl)", "LGPL": r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)", "AGPL": r"(?:gnu )?(?:affero general public license|agpl)"}
 GNU_VERSIONS = {"GPL": ("1", "2", "3"), "LGPL": ("2", "2 1", "3"), "AGPL": ("3",)}
@@ -100,7 +148,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-source", r"(?:1 )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd-binary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd-advert", r"(?:3 )?all advertising materials mentioning features or use of this software must display.*"),
-    ("bsd-endorse", r"(?:[34] )?neither the names? of .* may be used to endorse or promote products derived from this software.*"),
+    ("bsd-endorse", r"(?:[34] )?(?:neither )?the names? of .* may (?:not )?be used to endorse or promote products derived from this software.*"),
     ("bsd-as-is", r"this software is provided by .* as is and any express or implied warranties.*"),
     ("mpl2-subject", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl2-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
@@ -125,6 +173,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("public-domain", r"(?:this \w+ is |released |placed |dedicated )(?:in|in to|into|to) the public domain"),
     ("reserved", r"all rights reserved"),
     ("confidential", r"(?:this (?:document|file|software) is )?(?:confidential and proprietary|proprietary and confidential)"),
+    *((f"title:{name}", pattern) for name, pattern in TITLES),
+    *(("text-begin", pattern) for pattern in TEXT_BEGINS),
+    *(("text-end", pattern) for pattern in TEXT_ENDS),
 ]
 #: Words that a pattern of this form may follow within its sentence.
 PREFIXED = re.compile(r".*-named|named:.*|spdx:.*|reserved|confidential|public-domain|gpl-(?:modify|later|only).*|isc-notice")
@@ -165,15 +216,18 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     *_gnu_rules(),
     ("public-domain", ("public-domain",)),
     ("proprietary", ("confidential",)),
-    ("proprietary", ("reserved",)),
 ]
-_CUT = re.compile(r"(?<=[!?])\s+|(?<=[a-z)\"]\.)\s+(?=[A-Z\"(])|(?<=[A-Z]{2}\.)\s+(?=[A-Z\"(])|(?<=[0-9]\.)\s+(?=[A-Z])|(?<=\.)[^\S\n]*\n\s*|\n[^\S\n]*\n\s*")
+#: Sentences between a title and the words that begin its text, at most.
+HEADING = 8
+_CUT = re.compile(r"(?<=[!?])\s+|(?<=[a-z)\"]\.)\s+(?=[A-Z\"(])|(?<=[A-Z]{2}\.)\s+(?=[A-Z\"(])|(?<=[0-9]\.)\s+(?=[A-Z])|(?<=\.)[^\S\n]*\n\s*(?![a-z0-9])|\n[^\S\n]*\n\s*")
 #: Breaks within a sentence, at which a licence sentence may begin or end.
-_BREAK = re.compile(r"\n|(?<=[;:,])\s+")
+_BREAK = re.compile(r"\n|(?<=[;:,.])\s+")
 _START = r"(?<![0-9a-z])(?<!\bnot[ \n])(?<!\bnever[ \n])(?<!\blonger[ \n])"
 _SPACES = re.compile(r"[^0-9a-z+]+|(?<=[^0-9])\+|\+(?=[0-9a-z])")
 #: Every licence sentence holds one of these, in lower case.
-HINTS = ("licens", "licenc", "permission", "warrant", "rights", "copyright", "redistribut", "public domain", "proprietary", "what the fuck", "free software", "as published by", "disclaim", "unencumbered", "anyone is free", "source code form", "copy of the mpl", "endorse", "advertising materials", "either version", "under the terms", "released under", "distributed under", "available under", "published under")
+HINTS = ("licens", "licenc", "permission", "warrant", "rights", "copyright", "redistribut", "public domain", "proprietary", "what the fuck", "free software", "as published by", "disclaim", "unencumbered", "anyone is free", "source code form", "copy of the mpl", "endorse", "advertising materials", "either version", "under the terms", "released under", "distributed under", "available under", "published under", "definitions", "legal code", "cc0", "state the conditions", "that's all there is", "please read", "law firm")
+SPDX_LINE = re.compile(r"(?i:SPDX-License-Identifier)\s*:?\s*((?:[^\n]*\b(?:AND|OR|WITH)[^\S\n]*\n[\s#*/]*)*[^\n]*(?:\n[\s#*/]*(?:AND|OR|WITH)\b[^\n]*)*)")
+SPDX_WORD = re.compile(r"[A-Za-z0-9.+-]+|[()]")
 NAMED = _named()
 
 
@@ -189,7 +243,10 @@ def normalised(sentence: str) -> str:
 def _within(name: str, pattern: str, start: str | None = None, end: str = "$") -> re.Pattern:
     """A pattern over a whole normalised sentence as one over parts of it between breaks, each of which is a line end."""
     start = start if start is not None else _START if PREFIXED.fullmatch(name) else "^"
-    return re.compile(rf"(?m){start}(?:{pattern.replace(' ', '[ \n]')}){end}")
+    # Words that a pattern leaves open in its middle may go over lines; at its end they go to the line's end.
+    body, rest = (pattern[:-2], ".*") if pattern.endswith(".*") else (pattern, "")
+    body = body.replace(" ", "[ \n]").replace("[ \n].*[ \n]", rf"[ \n][^\0]{{1,{OPEN}}}?[ \n]")
+    return re.compile(rf"(?m){start}(?:{body}{rest}){end}")
 
 
 def _literal(pattern: str) -> str:
@@ -205,28 +262,46 @@ class Scanner:
         #: Names that may follow "licensed under", each alone; and in lists of them.
         self.named = [] if sentences else [(name, _within("named:", rf"(?:the )?(?:{pattern}){_TAIL}", "", "")) for name, pattern in NAMED]
         self.under = _within("named:", _UNDER, end="")
-        self.spdx = re.compile(r"spdx[ \n]license[ \n]identifier[ \n]([0-9a-z +]+)")
+        self.spdx = re.compile(r"spdx[ \n]license[ \n]identifier")
         self.joint = re.compile(r"[ \n](?:and[ \n]or|or|and)[ \n](?:the[ \n])?(?:terms[ \n]of[ \n])?(?:the[ \n])?")
-        #: Normalised SPDX identifiers to their own form; the longest first.
+        #: SPDX identifiers in lower case to the form that is given back.
         self.spdx_ids = {}
-        for name, _ in NAMED:
-            self.spdx_ids[normalised(name)] = name
+        for name in {*(n for n, _ in NAMED), *(n for n, _ in TITLES)}:
+            self.spdx_ids[name.lower()] = name
             if name.endswith(("-only", "-or-later")):
                 base = name.removesuffix("-only").removesuffix("-or-later")
-                self.spdx_ids[normalised(base)] = f"{base}-only"
-                self.spdx_ids[normalised(base) + "+"] = f"{base}-or-later"
+                self.spdx_ids[base.lower()] = f"{base}-only"
+                self.spdx_ids[base.lower() + "+"] = f"{base}-or-later"
         self.rules = sorted(rules or RULES, key=lambda r: -len(r[1]))
         self.gap = gap
 
-    def _names(self, clean: str) -> Iterator[tuple[int, int, int, str]]:
+    def _expression(self, line: str) -> Iterator[str]:
+        """The licences of an SPDX expression, each with its exception."""
+        words, held = SPDX_WORD.findall(line), None
+        for at, word in enumerate(words):
+            if word in "()":
+                continue
+            before = next((w for w in reversed(words[:at]) if w not in "()"), "OR")
+            if word in ("AND", "OR", "WITH"):
+                continue
+            if before == "WITH":
+                held = f"{held} WITH {word}" if held else None
+            elif before in ("AND", "OR"):
+                if held:
+                    yield held
+                held = self.spdx_ids.get(word.lower())
+            else:
+                # What follows an identifier without an operator is no part of the expression.
+                break
+        if held:
+            yield held
+
+    def _names(self, clean: str, sentence: str) -> Iterator[tuple[int, int, int, str]]:
         """(start, rank, end, identifier) for the licences that a normalised sentence names."""
         if "spdx" in clean:
-            for m in self.spdx.finditer(clean):
-                at = m.start(1)
-                for part in re.split(r" (or|and|with) ", m[1]):
-                    if (name := self.spdx_ids.get(part.strip())) is not None:
-                        yield (m.start() if at == m.start(1) else at), -2, at + len(part), f"spdx:{name}"
-                    at += len(part) + 1
+            for m, line in zip(self.spdx.finditer(clean), SPDX_LINE.finditer(sentence), strict=False):
+                for i, name in enumerate(self._expression(line[1])):
+                    yield m.start() + i, -2, m.start() + i, f"spdx:{name}"
         for m in self.under.finditer(clean) if "under" in clean or "by" in clean else ():
             start, at = m.start(), m.end()
             while True:
@@ -250,7 +325,7 @@ class Scanner:
             flat = clean.replace("\n", " ")
             met = [(m.start(), rank, m.end(), name) for rank, (name, words, pattern) in enumerate(self.sentences) if words in flat for m in pattern.finditer(clean)]
             if self.named:
-                met += self._names(clean)
+                met += self._names(clean, sentence)
             end = -1
             # Of two that begin together, the one that says more; a longer one from the same beginning may hold a name.
             for start, _, after, name in sorted(met, key=lambda x: (x[0], -x[2], x[1])):
@@ -259,10 +334,24 @@ class Scanner:
                     end = after
         return out
 
+    @staticmethod
+    def _texts(found: list[tuple[int, str]]) -> Iterator[tuple[int, str, int]]:
+        """(place in the sequence, licence, end) of whole licence texts."""
+        titles = [at for at, (_, name) in enumerate(found) if name.startswith("title:")]
+        for k, at in enumerate(titles):
+            after = titles[k + 1] if k + 1 < len(titles) else len(found)
+            begun = next((i for i in range(at + 1, after) if found[i][1] == "text-begin" and found[i][0] - found[at][0] <= HEADING), None)
+            if begun is not None:
+                last = max((i for i in range(begun, after) if found[i][1] == "text-end"), default=None)
+                yield at, found[at][1].removeprefix("title:"), after if last is None else last + 1
+
     def scan(self, text: str) -> tuple[list[str], list[str]]:
         """(licences in the order of the text, identifiers of the sentences found)."""
         found = self.sequence(text)
         free, present, licences = [True] * len(found), {name for _, name in found}, []
+        for at, licence, end in self._texts(found):
+            licences.append((at, licence))
+            free[at:end] = [False] * (end - at)
         for licence, rule in self.rules:
             if not present.issuperset(rule):
                 continue
@@ -280,6 +369,8 @@ class Scanner:
                     licences.append((parts[-1][0], licence))
                     parts = [(), *[None] * len(rule)]
         licences += [(at, name.split(":", 1)[1]) for at, (_, name) in enumerate(found) if free[at] and name.startswith(("named:", "spdx:"))]
+        if not licences:
+            licences = [(at, "proprietary") for at, (_, name) in enumerate(found) if name == "reserved"]
         return [x for _, x in sorted(licences)], [name for _, name in found]
 
 

@@ -1,6 +1,9 @@
 """Licence rules against brute force over sequences, and notices of many licences."""
 
+import importlib.metadata
 import itertools
+import os
+import textwrap
 import time
 
 import numpy as np
@@ -90,3 +93,86 @@ def test_a_long_text_takes_time_in_proportion():
         assert own.scan(sentence * n)[0] == []
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.2
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+
+@pytest.mark.parametrize("text", NOTICES)
+def test_notices_at_every_width(text):
+    own = licenses.Scanner()
+    wrong = {width: got for width in range(30, 101) if (got := own.scan(wrapped(text, width))[0]) != NOTICES[text]}
+    assert not wrong
+
+
+@pytest.mark.parametrize(
+    ("line", "right"),
+    [
+        ("GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+        ("AGPL-3.0-or-later */", ["AGPL-3.0-or-later"]),
+        ("LGPL-2.1+", ["LGPL-2.1-or-later"]),
+        ("GPL-2.0", ["GPL-2.0-only"]),
+        ("gpl-3.0-OR-later", ["GPL-3.0-or-later"]),
+        ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later WITH Classpath-exception-2.0"]),
+        ("(GPL-2.0-only OR MIT) AND Apache-2.0 -->", ["GPL-2.0-only", "MIT", "Apache-2.0"]),
+        ("MIT OR\n# LicenseRef-Own AND ISC", ["MIT", "ISC"]),
+        ("LicenseRef-Own WITH Something", []),
+        ("MIT and more words", ["MIT"]),
+    ],
+)
+def test_spdx_expressions(line, right):
+    assert licenses.Scanner().scan(f"# SPDX-License-Identifier: {line}\nint x;")[0] == right
+
+
+TEXTS = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_whole_licence_texts(name):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no such file here")
+    with open(path, encoding="utf-8", errors="replace") as f:
+        text = f.read()
+    own = licenses.Scanner()
+    assert own.scan(text)[0] == [TEXTS[name]]
+    # A notice before the text, and another text behind it, stay licences of their own.
+    assert own.scan("Released under the MIT license.\n\n" + text + "\n\n" + BSD3.format(more=ENDORSE))[0] in (["MIT", TEXTS[name], "BSD-3-Clause"], ["MIT", TEXTS[name]])
+
+
+PACKAGES = {"attrs": "MIT", "certifi": "MPL-2.0", "idna": "BSD-3-Clause", "protobuf": "BSD-3-Clause", "psutil": "BSD-3-Clause", "pygments": "BSD-2-Clause", "pytest": "MIT", "pyyaml": "MIT", "requests": "Apache-2.0", "sortedcontainers": "Apache-2.0", "tiktoken": "MIT", "urllib3": "MIT", "xxhash": "BSD-2-Clause", "zstandard": "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize("name", PACKAGES)
+def test_licence_files_of_installed_packages(name):
+    try:
+        files = [f for f in importlib.metadata.files(name) or [] if f.name.upper().startswith(("LICENSE", "COPYING"))]
+    except importlib.metadata.PackageNotFoundError:
+        files = []
+    if not files:
+        pytest.skip("not installed here")
+    assert licenses.Scanner().scan(files[0].read_text(encoding="utf-8"))[0] == [PACKAGES[name]]
+
+
+def test_reserved_rights_alone_are_proprietary():
+    own = licenses.Scanner()
+    assert own.scan("Copyright 2020 Someone. All rights reserved.")[0] == ["proprietary"]
+    assert own.scan("Copyright 2020 Someone. All rights reserved.\n\n" + BSD3.format(more=""))[0] == ["BSD-2-Clause"]
+
+
+def test_recognition_of_sentences_against_brute_force():
+    """Each sentence's pattern, tried at every run of words of a text that is cut by full stops alone."""
+    import re
+
+    rng, own = np.random.default_rng(9), licenses.Scanner()
+    fixed = [(name, pattern) for name, pattern in licenses.SENTENCES if re.fullmatch(r"[0-9a-z ]+", pattern) and not name.startswith(("title", "text-", "spdx"))]
+    words = "the software may be used by anyone at will".split()
+    for _ in range(200):
+        picked = [fixed[k] for k in rng.integers(0, len(fixed), int(rng.integers(0, 4)))]
+        lines = [pattern for _, pattern in picked] + [" ".join(rng.choice(words, 6)) for _ in range(2)]
+        order = rng.permutation(len(lines))
+        text = ". ".join(lines[k].capitalize() for k in order) + "."
+        sentences = [" ".join(re.findall("[0-9a-z+]+", part.lower())) for part in text.split(". ")]
+        right = [name for part in sentences for name, pattern in fixed if re.fullmatch(pattern, part)]
+        assert [name for name in own.scan(text)[1] if name in dict(fixed)] == right, text
