@@ -46,6 +46,8 @@ KEYS = {"blocks": "rowid", "rows": "rowid"}
 BUCKET, CHARS, PART_BITS, TASK_BITS = 64, 4 << 20, 44, 24
 #: Postings of a search that are read without looking at bounds; share of the postings read first otherwise.
 SMALL, SHARE = 1_000_000, 16
+#: Frequencies that an index remembers.
+SEEN = 10_000
 _CUT = "token string, bucket long, n int, uses long, strongest double, shortest int, postings array<" + POSTING + ">, rowid long, file long, length int, tokens array<struct<token:string,uses:int>>"
 
 
@@ -156,7 +158,7 @@ class KeywordIndex:
         self.spark, self.names = spark, names or {n: n for n in SCHEMAS}
         self.store = store or DeltaStore(spark, folder, SCHEMAS, KEYS)
         self.state = state or self.store.versions()
-        self._tokens = Tokens()
+        self._tokens, self._seen = Tokens(), {}
 
     # --- changing ---------------------------------------------------------------------------------------------------
 
@@ -207,7 +209,7 @@ class KeywordIndex:
             self.state = self.store.versions()
             while self.store.compact(self.names[name], merge):
                 self.state = self.store.versions()
-        self.state = self.store.versions()
+        self.state, self._seen = self.store.versions(), {}
 
     # --- reading ----------------------------------------------------------------------------------------------------
 
@@ -253,9 +255,13 @@ class KeywordIndex:
 
     def frequencies(self, tokens: list[str]) -> dict[str, int]:
         """The rows that hold each token, from the words; a token that no row holds isn't there."""
-        asked = sorted({t for t in tokens if t})
-        rows = self._table("words").where(F.col("token").isin(asked)).groupBy("token").agg(F.sum("docs").alias("docs")).collect() if asked else []
-        return {r["token"]: r["docs"] for r in rows if r["docs"] > 0}
+        asked = sorted({t for t in tokens if t and t not in self._seen})
+        if asked:
+            rows = self._table("words").where(F.col("token").isin(asked)).groupBy("token").agg(F.sum("docs").alias("docs")).collect()
+            if len(self._seen) > SEEN:
+                self._seen.clear()
+            self._seen |= dict.fromkeys(asked, 0) | {r["token"]: r["docs"] for r in rows}
+        return {t: n for t in tokens if t and (n := self._seen[t]) > 0}
 
     def _wanted(self, tokens: list[str], prefixes: list[bool]) -> Column:
         exact = sorted({t for t, p in zip(tokens, prefixes, strict=True) if t and not p})

@@ -11,6 +11,7 @@ from . import postings as P
 from . import ranking as R
 from .keyword_index import KeywordIndex, idf
 from .keyword_index import score as word_score
+from .vectors import FOUND, VectorIndex
 
 MARKED = 400
 
@@ -45,23 +46,40 @@ def word_files(index: KeywordIndex, terms: list[str], kinds: DataFrame | None =
     return cover.join(F.broadcast(ranked.select("file", "keyword_rank", F.col("rowid").alias("keyword_segment"))), "file")
 
 
-def search(segments: DataFrame | None, query_vector: DataFrame | None, index: KeywordIndex | None, query: str, kinds: list[str] | None = None, limit: int = 20, word_weight: float = R.WORD_WEIGHT, widen: bool = True, typing: bool = False, phrase: list[str] | None = None) -> DataFrame:
+def search(segments: DataFrame | None, query_vector: DataFrame | None, index: KeywordIndex | None, query: str, kinds: list[str] | None = None, limit: int = 20, word_weight: float = R.WORD_WEIGHT, widen: bool = True, typing: bool = False, phrase: list[str] | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """file, score, z, cosine, segment, coverage, keyword_rank, keyword_segment of the best files.
 
     segments: id, file, kind, modality, sets_scale, vec. Without a vector it is keyword search, without terms or index
-    vector search. phrase: words that must stand side by side (a name in code)."""
+    vector search. phrase: words that must stand side by side (a name in code). With a vector index its blocks are read in
+    place of the segments' vectors, and only those that can hold an answer."""
     spark = segments.sparkSession if segments is not None else index.spark
     terms = query_terms(query)
     best = spark.createDataFrame([], "file long, segment long, z double, cosine double, kind string")
-    if query_vector is not None:
+    if query_vector is not None and vectors is None:
         best = R.best_per_file(R.with_meaning(R.cosines(segments, query_vector)), kinds)
     cover = spark.createDataFrame([], "file long, coverage double, keyword_rank int, keyword_segment long")
     if terms and index is not None:
         allowed = segments.where(F.col("kind").isin(kinds)).select("file").distinct() if kinds is not None and segments is not None else None
         cover = word_files(index, terms, allowed, typing, widen, phrase)
+    if query_vector is not None and vectors is not None:
+        row = query_vector.select("q").first()
+        # At most FILES rows.
+        found = cover.collect()
+        cover = spark.createDataFrame(found, cover.schema)
+        best = spark.createDataFrame(_meant(vectors, list(row["q"]), [r["file"] for r in found], kinds, hinted_kinds(query), 0.5 if lookup(terms) else 1.0, limit) if row else [], FOUND)
     return R.with_strength(R.top(R.fused(best, cover, lookup(terms), hinted_kinds(query), word_weight), limit))
 
 
+def _meant(vectors: VectorIndex, q: list[float], files: list[int], kinds: list[str] | None, hinted: list[str], weight: float, limit: int) -> list[tuple]:
+    """The files that meaning alone brings among the first, and what it says of those that words have found."""
+    scale = vectors.scale(q)
+    if scale is None:
+        return []
+    found = vectors.best_files(q, scale, limit, kinds, hinted, weight, R.Z_GATE)
+    found += [r for r in vectors.of_files(files, q, scale, kinds) if r[0] not in {f[0] for f in found}]
+    return found
+
+
 def pointed(hits: DataFrame) -> DataFrame:
     """hits with `points_at`: the meaning's segment where it stands out or no word was found, else the words' segment."""
     meant = F.col("segment").isNotNull() & ((F.coalesce("z", F.lit(0.0)) >= R.Z_GATE) | F.col("keyword_rank").isNull())

@@ -1,4 +1,4 @@
-"""Stored keyword indexes of the provided tables: built once for a table's state, then read by every search."""
+"""Stored keyword and vector indexes of the provided tables: built once for a table's state, then read by every search."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import hashlib
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.operators import vectors
 from sievework.operators.keyword_index import KeywordIndex, build
+from sievework.operators.vectors import VectorIndex
 
 #: Changes with what an index holds.
 FORMAT = 3
@@ -35,16 +38,26 @@ def _state(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(files).encode()).hexdigest()[:24]
 
 
-def keyword_index(spark: SparkSession, path: str, rows: DataFrame) -> KeywordIndex:
-    """The index of rows (rowid, file, name, body) that come from the table at `path`."""
+def _stored(spark: SparkSession, name: str, path: str, make: Callable[[str], None]) -> str:
+    """The folder of an index of the table at `path`. It is built aside and renamed into place, so that nobody reads half
+    of it; the first of several builders wins."""
     with _lock:
-        folder = f"{index_folder(spark)}/keywords-{FORMAT}-{_state(spark, path)}"
+        folder = f"{index_folder(spark)}/{name}-{FORMAT}-{_state(spark, path)}"
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at(folder)):
-            # Built aside and renamed into place, so that nobody reads half of it; the first of several builders wins.
             aside = f"{folder}-{uuid.uuid4().hex}"
-            build(rows, aside)
+            make(aside)
             if fs.exists(at(folder)) or not fs.rename(at(aside), at(folder)):
                 fs.delete(at(aside), True)
-        return KeywordIndex(spark, folder)
+        return folder
+
+
+def keyword_index(spark: SparkSession, path: str, rows: DataFrame) -> KeywordIndex:
+    """The index of rows (rowid, file, name, body) that come from the table at `path`."""
+    return KeywordIndex(spark, _stored(spark, "keywords", path, lambda folder: build(rows, folder)))
+
+
+def vector_index(spark: SparkSession, path: str, segments: DataFrame) -> VectorIndex:
+    """The index of segments (id, file, kind, modality, sets_scale, vec) that come from the table at `path`."""
+    return VectorIndex(spark, _stored(spark, "vectors", path, lambda folder: vectors.build(segments, folder)))

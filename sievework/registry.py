@@ -20,7 +20,7 @@ from sievework.operators import ranking as R
 from sievework import registry_sql as Q
 from sievework.operators import rules, segment, sync
 from sievework.operators.search import search, word_files
-from sievework.plans.stored import keyword_index
+from sievework.plans.stored import keyword_index, vector_index
 from sievework.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def _scored(spark, sf_dir) -> DataFrame:
     return R.cosines(_segments(spark, sf_dir), _query_vector(spark, sf_dir))
 
 
+def _vectors(spark, sf_dir):
+    """The stored vector index of embeddings."""
+    return vector_index(spark, f"{sf_dir}/embeddings.parquet", _segments(spark, sf_dir))
+
+
 _SCORED = """
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id AS id, vec_id // 4 AS file, (['image','pdf','doc'])[CAST(vec_id % 3 AS INT) + 1] AS kind, label AS modality,
@@ -179,7 +184,7 @@ top AS (SELECT * FROM h ORDER BY score DESC, file LIMIT 20)"""
 
 
 def _hits(spark, sf_dir, limit=20):
-    return search(_segments(spark, sf_dir), _query_vector(spark, sf_dir), _index(spark, sf_dir), " ".join(TERMS), limit=limit, widen=False)
+    return search(_segments(spark, sf_dir), _query_vector(spark, sf_dir), _index(spark, sf_dir), " ".join(TERMS), limit=limit, widen=False, vectors=_vectors(spark, sf_dir))
 
 
 @query(f"WITH {_FUSED} SELECT file, round(score, 6) AS score FROM top")
