@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
@@ -16,81 +17,146 @@ GENERATED = ["DO NOT EDIT", "@generated", "Code generated by", "Autogenerated by
 LIBRARIES, BUNDLES = ["photoslibrary", "photolibrary"], ["app", "bundle", "framework", "photoslibrary", "photolibrary", "rtfd", "pages", "numbers", "key", "xcodeproj", "xcworkspace", "playground"]
 
 
-def inside(path: str, folder: str) -> bool:
-    return path.startswith(folder.rstrip("/") + "/")
+#: What may be said of a folder. Kept folders are searched like chosen ones.
+CHOSEN, SKIPPED, KEPT = "chosen", "skipped", "kept"
+CHOICES = "folder string, choice string"
 
 
 def parent(path: str) -> str:
     return path.rstrip("/").rpartition("/")[0] or "/"
 
 
-def walked(path: str, folder: str) -> bool:
-    """Whether a walk of the folder gets to a path in it."""
-    below = path[len(folder.rstrip("/")) + 1 :].split("/") if inside(path, folder) else []
-    return bool(below) and not any(p.startswith(".") or p.endswith(".noindex") or p in rules.SKIPPED_FOLDERS for p in below)
+def _closed(name: str) -> bool:
+    """A folder's name into which no walk goes from above."""
+    return name.startswith(".") or name.endswith(".noindex") or name in rules.SKIPPED_FOLDERS
+
+
+def _depth(path: Column) -> Column:
+    """Components of a path; none for the root."""
+    return F.when(path == "/", 0).otherwise(F.size(F.split(path, "/")) - 1)
+
+
+def _closed_depth(path: Column) -> Column:
+    """The depth of the last component of a path into which no walk goes."""
+    names = F.split(path, "/")
+    closed = F.transform(names, lambda p, i: F.when(p.startswith(".") | p.isin(rules.SKIPPED_FOLDERS) | p.endswith(".noindex"), i).otherwise(0))
+    return F.array_max(closed)
+
+
+def _above(choices: DataFrame, folders: DataFrame, strict: bool = False) -> DataFrame:
+    """folder, on, off: of each folder the depth of the deepest chosen and of the deepest skipped folder that holds it or is
+    it (strict: that holds it, for the chosen ones). A row for each folder that has any."""
+    known = choices.select(F.col("folder").alias("top"), F.when(F.col("choice") == SKIPPED, SKIPPED).otherwise(CHOSEN).alias("choice")).distinct()
+    up = F.concat(F.when(F.col("folder") == "/", F.array().cast("array<string>")).otherwise(F.transform(rules.ancestors(F.col("folder")), lambda x: F.when(x == "", "/").otherwise(x))), F.array("folder"))
+    met = folders.select("folder", F.explode(up).alias("top")).join(known, "top")
+    use = (F.col("choice") == CHOSEN) & (F.col("top") != F.col("folder")) if strict else F.col("choice") == CHOSEN
+    depth = _depth(F.col("top"))
+    return met.groupBy("folder").agg(F.max(F.when(use, depth)).alias("on"), F.max(F.when(F.col("choice") == SKIPPED, depth)).alias("off"))
+
+
+def standing(paths: DataFrame, choices: DataFrame) -> DataFrame:
+    """paths (path, and other columns) with `searched` and `searched_as`, the closest folder that searches it.
+
+    A path is searched by the deepest chosen folder on its way or not at all: any skip or closed component below that
+    one is below all others too. So two depths decide, that of the deepest chosen folder against those of the deepest
+    skip and closed component. They are found once for each folder of paths, by a join on the folders above it, however many
+    choices (folder, choice) there are; repeated choices count once, null ones not at all."""
+    folder, own = F.coalesce(F.nullif(rules.folder_of(F.col("path")), F.lit("")), F.lit("/")), F.col("path")
+    rows = paths.withColumn("__folder", folder)
+    tops = _above(choices, rows.select(F.col("__folder").alias("folder")).where("folder is not null").distinct()).select(F.col("folder").alias("__folder"), F.col("on").alias("__on"), F.col("off").alias("__off"))
+    # A path may itself be a folder that was chosen or skipped.
+    said = choices.groupBy(F.col("folder").alias("__said")).agg(F.max(F.col("choice") != SKIPPED).alias("__chosen"), F.max(F.col("choice") == SKIPPED).alias("__left"))
+    both = rows.join(tops, "__folder", "left").join(said, F.col("path") == F.col("__said"), "left")
+    depth = _depth(own)
+    on = F.coalesce(F.when(F.col("__chosen"), depth), F.col("__on"))
+    off = F.greatest(F.when(F.col("__left"), depth), F.col("__off"), _closed_depth(own))
+    searched = F.coalesce(on >= F.coalesce(off, F.lit(0)), F.lit(False))
+    top = F.when(on == 0, "/").otherwise(F.array_join(F.slice(F.split(own, "/"), F.lit(1), on + 1), "/"))
+    return both.withColumns({"searched": searched, "searched_as": F.when(searched, top)}).drop("__folder", "__on", "__off", "__said", "__chosen", "__left")
+
+
+def effective(choices: DataFrame) -> DataFrame:
+    """Of choices (folder, choice) those that make a difference: chosen folders that no other one searches, and skips
+    below a chosen folder."""
+    above = _above(choices, choices.select("folder").distinct(), strict=True)
+    rows = choices.distinct().join(above, "folder", "left")
+    covered = F.coalesce(F.col("on") >= F.greatest(F.coalesce("off", F.lit(0)), _closed_depth(F.col("folder"))), F.lit(False))
+    return rows.where(F.when(F.col("choice") == SKIPPED, F.col("on").isNotNull()).otherwise(~covered)).select("folder", "choice")
+
+
+def marks(folders: DataFrame, choices: DataFrame) -> DataFrame:
+    """folder, mark: on, mixed or off, by the folder itself and the choices just below it."""
+    all_ = standing(choices.select(F.col("folder").alias("path"), "choice"), choices)
+    up = F.coalesce(F.nullif(rules.folder_of(F.col("path")), F.lit("")), F.lit("/"))
+    below = all_.where("path <> '/'").groupBy(up.alias("path")).agg(F.max((F.col("choice") == SKIPPED) & ~F.col("searched")).alias("less"), F.max(F.col("choice") != SKIPPED).alias("more"))
+    rows = standing(folders.select(F.col("folder").alias("path")), choices).join(below, "path", "left")
+    mixed = F.when(F.col("searched"), F.coalesce("less", F.lit(False))).otherwise(F.coalesce("more", F.lit(False)))
+    return rows.select(F.col("path").alias("folder"), F.when(mixed, "mixed").when(F.col("searched"), "on").otherwise("off").alias("mark"))
 
 
 @dataclass(frozen=True)
 class Selection:
-    """Folders chosen, skipped and kept; edits give a new selection."""
+    """A short list of choices, as one person makes them; edits give a new selection. `table` gives them for `standing`."""
 
     chosen: tuple[str, ...] = ()
     skipped: tuple[str, ...] = ()
     kept: tuple[str, ...] = ()
 
-    @property
-    def all(self) -> list[str]:
-        return list(dict.fromkeys(self.kept + self.chosen))
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(f, choice) for choice, these in ((CHOSEN, self.chosen), (SKIPPED, self.skipped), (KEPT, self.kept)) for f in these], CHOICES)
 
-    def _by(self, path: str, folder: str) -> bool:
-        reached = path == folder or walked(path, folder)
-        return reached and not any(inside(s, folder) and (path == s or inside(path, s)) for s in self.skipped)
+    def _way(self, path: str, strict: bool = False) -> tuple[str | None, bool]:
+        """The deepest chosen folder on the way to a path, and whether a skip or closed component lies below it."""
+        way, name = ["/"], ""
+        for part in path.strip("/").split("/") if path != "/" else ():
+            name += f"/{part}"
+            way.append(name)
+        tops = {*self.chosen, *self.kept}
+        on = max((k for k, f in enumerate(way) if f in tops and not (strict and f == path)), default=-1)
+        off = max((k for k, f in enumerate(way) if f in self.skipped or _closed(f.rpartition("/")[2])), default=-1)
+        return (way[on], off > on) if on >= 0 else (None, True)
 
     def searched(self, path: str) -> bool:
-        return any(self._by(path, f) for f in self.all)
+        return not self._way(path)[1]
 
     def searched_as(self, path: str) -> str | None:
         """The closest folder that searches the path."""
-        return max((f for f in self.all if (path == f or inside(path, f)) and self._by(path, f)), key=len, default=None)
+        folder, cut = self._way(path)
+        return None if cut else folder
 
     def folders(self) -> list[str]:
-        """Without those that another one searches."""
-        return [f for f in self.all if not any(o != f and inside(f, o) and self._by(f, o) for o in self.all)]
+        """Kept and chosen folders, without those that another one searches."""
+        return [f for f in dict.fromkeys((*self.kept, *self.chosen)) if self._way(f, strict=True)[1]]
 
     def effective_skips(self) -> list[str]:
-        tops = self.folders()
-        return [s for s in self.skipped if any(inside(s, f) for f in tops)]
+        """Skips that leave something out."""
+        return [s for s in self.skipped if self._way(s, strict=True)[0] is not None]
 
     def mark(self, folder: str) -> str:
         """on, mixed or off, by the folder itself and the choices just below it."""
-        if self.searched(folder):
-            return "mixed" if any(parent(s) == folder and not self.searched(s) for s in self.skipped) else "on"
-        return "mixed" if any(parent(f) == folder for f in self.all) else "off"
+        on = self.searched(folder)
+        near = [f for f in (self.skipped if on else (*self.kept, *self.chosen)) if f != "/" and parent(f) == folder]
+        return "mixed" if any(not on or not self.searched(f) for f in near) else "on" if on else "off"
 
     def with_folder(self, folder: str, on: bool) -> Selection:
         """The folder with its subfolders, or none of it."""
-        out = replace(self, chosen=tuple(c for c in self.chosen if parent(c) != folder), skipped=tuple(s for s in self.skipped if parent(s) != folder))
-        return out.with_subfolder(folder, on)
+        far = lambda these: tuple(f for f in these if f == "/" or parent(f) != folder)
+        return replace(self, chosen=far(self.chosen), skipped=far(self.skipped)).with_subfolder(folder, on)
 
     def with_subfolder(self, folder: str, on: bool) -> Selection:
-        """One folder; choices inside it stay."""
-        drop = lambda paths: tuple(p for p in paths if p != folder)
-        out = replace(self, skipped=drop(self.skipped)) if on else replace(self, chosen=drop(self.chosen))
-        if on:
-            return out if out.searched(folder) else replace(out, chosen=(*out.chosen, folder))
-        return replace(out, skipped=(*out.skipped, folder)) if out.searched(folder) else out
+        """One folder; choices inside it stay. What says the opposite goes, and the choice is added where that is not
+        enough."""
+        against, added = (SKIPPED, CHOSEN) if on else (CHOSEN, SKIPPED)
+        left = replace(self, **{against: tuple(f for f in getattr(self, against) if f != folder)})
+        return left if left.searched(folder) == on else replace(left, **{added: (*getattr(left, added), folder)})
 
 
 def is_searched(path: Column, folders: list[str], skipped: list[str] = ()) -> Column:
-    """`Selection.searched` of a column, for a short list of folders: prefix tests, which the scan can use."""
-    found = F.lit(False)
-    for folder in folders:
-        own = rules.is_walked(path, F.lit(folder))
-        for skip in skipped:
-            if inside(skip, folder):
-                own = own & (path != skip) & ~rules.is_inside(path, F.lit(skip))
-        found = found | own
-    return found
+    """`standing` of a column for a short list of folders: prefix tests, which the scan can use."""
+    below = lambda skip, folder: skip.startswith(folder.rstrip("/") + "/")
+    apart = lambda skip: (path != skip) & ~rules.is_inside(path, F.lit(skip))
+    ways = [reduce(lambda a, b: a & b, [apart(s) for s in skipped if below(s, f)], rules.is_walked(path, F.lit(f))) for f in folders]
+    return reduce(lambda a, b: a | b, ways, F.lit(False))
 
 
 def post_filter(hits: DataFrame, folders: list[str], skipped: list[str] = (), types: list[str] = (), present: DataFrame | None = None) -> DataFrame:

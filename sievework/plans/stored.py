@@ -38,7 +38,7 @@ def _state(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(files).encode()).hexdigest()[:24]
 
 
-def _stored(spark: SparkSession, name: str, path: str, make: Callable[[str], None]) -> str:
+def stored(spark: SparkSession, name: str, path: str, make: Callable[[str], None]) -> str:
     """The folder of an index of the table at `path`. It is built aside and renamed into place, so that nobody reads half
     of it; the first of several builders wins."""
     with _lock:
@@ -55,9 +55,9 @@ def _stored(spark: SparkSession, name: str, path: str, make: Callable[[str], Non
 
 def keyword_index(spark: SparkSession, path: str, rows: DataFrame) -> KeywordIndex:
     """The index of rows (rowid, file, name, body) that come from the table at `path`."""
-    return KeywordIndex(spark, _stored(spark, "keywords", path, lambda folder: build(rows, folder)))
+    return KeywordIndex(spark, stored(spark, "keywords", path, lambda folder: build(rows, folder)))
 
 
 def vector_index(spark: SparkSession, path: str, segments: DataFrame) -> VectorIndex:
     """The index of segments (id, file, kind, modality, sets_scale, vec) that come from the table at `path`."""
-    return VectorIndex(spark, _stored(spark, "vectors", path, lambda folder: vectors.build(segments, folder)))
+    return VectorIndex(spark, stored(spark, "vectors", path, lambda folder: vectors.build(segments, folder)))

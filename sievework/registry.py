@@ -636,4 +636,4 @@ def hamming_distances(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).cast("int").alias("distance"))
 
 
-from sievework import registry_more  # noqa: E402, F401  its queries register themselves
+from sievework import registry_index, registry_more  # noqa: E402, F401  their queries register themselves

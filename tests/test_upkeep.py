@@ -196,3 +196,46 @@ def test_many_queries_in_one_plan_are_each_query_alone(spark, tmp_path):
         q = spark.createDataFrame([(vector,)], "q array<float>") if vector else None
         hits = search.search(segments, q, index, query, limit=7).orderBy(F.desc("score"), "file").collect()
         assert sorted(got.get(query, []), key=lambda x: x[0]) == [(k, r["file"], r["score"]) for k, r in enumerate(hits, 1)], query
+
+
+def test_choices_as_tables_equal_the_short_list(spark):
+    """Random choices and paths: `standing`, `marks` and `effective` against Selection, and Selection against the definition."""
+    import itertools
+    import random
+
+    rng, names = random.Random(3), ["a", "b", ".git", "node_modules", "c.noindex"]
+    tree = ["/", *("/" + "/".join(p) for n in (1, 2, 3) for p in itertools.product(names, repeat=n))]
+    inside = lambda path, folder: path != folder and path.startswith(folder.rstrip("/") + "/")
+
+    def reached(path, top):
+        rest = path[len(top.rstrip("/")) + 1 :].split("/")
+        return path == top or (inside(path, top) and not any(x.startswith(".") or x.endswith(".noindex") or x == "node_modules" for x in rest))
+
+    for _ in range(6):
+        picked = [tuple(rng.sample(tree, rng.randint(0, 4))) for _ in range(3)]
+        s = folders.Selection(*picked)
+        by = lambda path, top, s=s: reached(path, top) and not any(inside(k, top) and (path == k or inside(path, k)) for k in s.skipped)
+        tops = [*s.kept, *s.chosen]
+        right = {p: [t for t in tops if by(p, t)] for p in tree}
+        assert all(s.searched(p) == bool(right[p]) and s.searched_as(p) == max(right[p], key=len, default=None) for p in tree)
+        assert s.folders() == [f for f in dict.fromkeys(tops) if not any(o != f and inside(f, o) and by(f, o) for o in tops)]
+        assert s.effective_skips() == [k for k in s.skipped if any(inside(k, f) for f in s.folders())]
+        choices = s.table(spark)
+        paths = spark.createDataFrame([(p,) for p in tree], "path string")
+        rows = {r["path"]: (r["searched"], r["searched_as"]) for r in folders.standing(paths, choices).collect()}
+        assert rows == {p: (s.searched(p), s.searched_as(p)) for p in tree}
+        marked = {r["folder"]: r["mark"] for r in folders.marks(paths.withColumnRenamed("path", "folder"), choices).collect()}
+        assert marked == {p: s.mark(p) for p in tree}
+        kept = {(r["folder"], r["choice"]) for r in folders.effective(choices).collect()}
+        assert {f for f, c in kept if c != "skipped"} == set(s.folders()) and {f for f, c in kept if c == "skipped"} == set(s.effective_skips())
+
+
+def test_standing_of_odd_paths(spark):
+    choices = spark.createDataFrame([("/a", "chosen"), ("/a", "chosen"), (None, "chosen"), ("/b", None), ("/a/s", "skipped")], folders.CHOICES)
+    rows = spark.createDataFrame([("/a/x", 1), (None, 2), ("", 3), ("/ab", 4), ("/a/s/t", 5), ("/a", 6)], "path string, folder int")
+    found = folders.standing(rows, choices)
+    assert found.columns == ["path", "folder", "searched", "searched_as"]
+    assert {r["folder"]: (r["searched"], r["searched_as"]) for r in found.collect()} == {1: (True, "/a"), 2: (False, None), 3: (False, None), 4: (False, None), 5: (False, None), 6: (True, "/a")}
+    many = spark.range(5000).select(F.concat(F.lit("/r/"), F.col("id").cast("string")).alias("folder"), F.lit("chosen").alias("choice"))
+    plan = folders.standing(rows, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and folders.standing(rows, many).where("searched").count() == 0
