@@ -6,13 +6,15 @@ what the landmark keeps with one letter inserted anywhere, so such a word is as
 letters take a little off. The floor lies above the words of clean documents, where these stay below that form. A word
 has the gap before and after it as letters. Only words whose kernel over three-letter subsequences within five letters
 reaches `NEAR` are compared in full. Marks between letters are left out first, and
-letters that stand apart ("i d i o t") are joined. A word of more than `LONG` letters counts as its overlapping parts. A sentence's kernel with a landmark is its best word's.
+letters that stand apart ("i d i o t") are joined. A word of more than `LONG` letters counts as its overlapping parts, and a longer
+word's beginnings of `BEGINNINGS` bytes count as words too, so that a stem is found with any ending. A sentence's kernel with a landmark is its best word's.
 
-Landmarks are words that documents labelled toxic hold much oftener than others, unlike each other. The sentences'
+Landmarks are words that documents labelled toxic hold much oftener than others, more than chance explains among so many words,
+unlike each other; copies and near copies of a document count once. The sentences'
 kernels with them, whitened by the landmarks' own kernel matrix (Nystrom), are the features of a linear support vector
 machine. It learns first from whole documents, then from sentences: those of clean documents, those of toxic documents
-that the first machine finds or that hold a landmark no clean document holds, and such landmarks with letters inserted. A document scores as its worst sentence,
-mapped to a probability by a logistic curve.
+that the first machine finds or that hold a landmark no clean document holds, and such landmarks with letters inserted. A document scores as its worst sentence, and a
+little higher the more of its sentences are toxic, mapped to a probability by a logistic curve.
 
 Labelled rows: at most `SAMPLE` toxic and as many clean documents, by a hash of their ids. Scoring covers every
 text, whole. An upper bound on the kernel, one number for each subsequence, leaves the full kernel to few words.
@@ -25,6 +27,7 @@ each label; repeated rows are scored each; an empty table gives an empty result;
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,8 +47,16 @@ ORDER, FLOOR = 5, 0.65
 THRESHOLD, CLOSE = 0.3, 0.005
 #: A landmark is in so many toxic documents of the sample, and so large a share of them, at least.
 LEAST, LEAST_SHARE = 4, 0.005
+#: Landmarks that chance alone would give, at most on average.
+CHANCE = 1.0
+#: Weights of the number of toxic sentences that are tried.
+MORE = (0.0, 0.1, 0.25, 0.5, 1.0)
 #: Groups of landmarks that have a bound of their own.
 GROUPS = 24
+#: Pairs of least hashes by which copies are known.
+BANDS = 3
+#: Bytes of the beginnings of words that count as words too.
+BEGINNINGS = (5, 7)
 #: Letters of the longest word that is taken whole (even); landmarks are shorter.
 LONG = 64
 #: Words that a worker remembers as far from all landmarks, before it starts anew.
@@ -103,6 +114,25 @@ class Words:
         self.data, self.texts, self.sentences = data, texts[word], sentences[word]
         self.starts = starts[word] + (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * (LONG // 2)
         self.ends = np.minimum(self.starts + LONG, ends[word])
+        self._begun(starts, ends, texts, sentences)
+
+    def _begun(self, starts: np.ndarray, ends: np.ndarray, texts: np.ndarray, sentences: np.ndarray) -> None:
+        """The beginnings of longer words as words of their own, behind the text: an insult that takes endings."""
+        data, items = [self.data[:-SPAN]], [(self.starts, self.ends, self.texts, self.sentences)]
+        at = len(data[0])
+        for n in BEGINNINGS:
+            long = np.flatnonzero(ends - starts - 2 > n)
+            # No letter is cut in two.
+            long = long[(self.data[starts[long] + n + 1] & 0xC0) != 0x80]
+            letters = self.data[starts[long, None] + np.arange(n + 2)]
+            letters[:, -1] = 32
+            # A gap belongs to the words on both its sides.
+            data.append(letters[:, 1:].ravel())
+            first = at - 1 + (n + 1) * np.arange(len(long))
+            items.append((first, first + n + 2, texts[long], sentences[long]))
+            at += letters[:, 1:].size
+        self.data = np.concatenate([*data, np.full(SPAN, 32, np.uint8)])
+        self.starts, self.ends, self.texts, self.sentences = (np.concatenate(x) for x in zip(*items, strict=True))
 
     @staticmethod
     def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +305,20 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100
     return now
 
 
+def _f1(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows by falling score, and F1 where the cut lies behind each."""
+    order = np.argsort(-score, kind="stable")
+    hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * ~y)[order])
+    f1 = 2 * hit / (hit + miss + (weight * y).sum())
+    # No cut lies between equal scores.
+    ties = np.append(np.diff(score[order]) == 0, False)
+    return order, np.where(ties, 0.0, f1)
+
+
+def _best_f1(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    return float(_f1(score, y, weight)[1].max())
+
+
 def _curve(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """A logistic curve through scores, by Newton steps on a slightly smoothed likelihood."""
     a, b = 1.0, 0.0
@@ -288,9 +332,7 @@ def _curve(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         da, db = np.linalg.solve(hess, grad)
         a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
     # The curve's slope stays; it passes THRESHOLD in the middle of the scores whose F1 is the best or close to it.
-    order = np.argsort(-score, kind="stable")
-    hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * ~y)[order])
-    f1 = 2 * hit / (hit + miss + (weight * y).sum())
+    order, f1 = _f1(score, y, weight)
     good = np.flatnonzero(f1 >= f1.max() - CLOSE)
     cut = (float(score[order][good[0]]) + float(score[order][good[-1]])) / 2
     below = score[score < cut]
@@ -304,6 +346,8 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray
     curve: tuple[float, float]
+    #: What the logarithm of the number of toxic sentences adds.
+    more: float = 0.0
 
     def sentences(self, piece: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Kernels (not scaled) of the sentences that are near a landmark, and their texts."""
@@ -329,6 +373,7 @@ class Model:
         marks.kernels[base : base + len(found)] = marks.kernel(words.data, words.starts[first[found]], words.ends[first[found]])
         row = np.array([marks.close.get(h, -1) for h in names])
         near = np.flatnonzero(row[which] >= 0)
+        near = near[np.argsort(words.sentences[near], kind="stable")]
         if not len(near):
             return np.zeros((0, len(self.landmarks.words))), near
         kernels = marks.kernels[row[which[near]]]
@@ -341,38 +386,77 @@ class Model:
         return kernels @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1]
 
     def raw(self, piece: tk.Texts) -> np.ndarray:
-        out = np.full(piece.n, self.weights[-1])
+        worst, count = self.worst(piece)
+        return worst + self.more * np.log1p(count)
+
+    def worst(self, piece: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text its worst sentence's decision, and the number of its sentences that are toxic by theirs."""
+        out, count = np.full(piece.n, self.weights[-1]), np.zeros(piece.n)
         kernels, texts = self.sentences(piece)
         if len(texts):
-            np.maximum.at(out, texts, self.decide(self.landmarks.scaled(kernels)))
-        return out
+            decided = self.decide(self.landmarks.scaled(kernels))
+            np.maximum.at(out, texts, decided)
+            np.add.at(count, texts, decided > 0)
+        return out, count
 
     def score(self, piece: tk.Texts) -> np.ndarray:
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * self.raw(piece) + b, -500, 500)))
 
 
-def _chosen(pieces: list[tk.Texts], toxic: np.ndarray) -> Landmarks:
-    """Words that tell toxic documents from others, best first, each unlike those before."""
-    n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
+def _uneven(bad: int, good: int, share: float) -> float:
+    """How unlikely it is that so many of a word's documents are toxic, where a share of all is: the bound by Chernoff on the
+    negative logarithm of its chance."""
+    n, own = bad + good, bad / (bad + good)
+    if own <= share:
+        return 0.0
+    return n * (own * np.log(own / share) + ((1 - own) * np.log((1 - own) / (1 - share)) if own < 1 else 0.0))
+
+
+def _groups(texts: list[str]) -> np.ndarray:
+    """A number for each text, the same for copies and near copies: those whose least hashes of three-word shingles agree
+    in two places of one of `BANDS` pairs."""
+    first: dict[tuple, int] = {}
+    out = np.arange(len(texts))
+    for i, text in enumerate(texts):
+        words = text.lower().encode().split()
+        shingles = np.array([zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))], np.uint64)
+        least = [int(((shingles * np.uint64(2 * k + 1) + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).min()) for k in range(2 * BANDS)]
+        keys = [(k, least[2 * k], least[2 * k + 1]) for k in range(BANDS)]
+        met = [out[first[key]] for key in keys if key in first]
+        out[i] = min(met, default=i)
+        for key in keys:
+            first.setdefault(key, i)
+    return out
+
+
+def _chosen(pieces: list[tk.Texts], toxic: np.ndarray, groups: np.ndarray) -> Landmarks:
+    """Words that tell toxic documents from others, best first, each unlike those before. Copies count once."""
+    n1, n0 = max(len(np.unique(groups[toxic])), 1), max(len(np.unique(groups[~toxic])), 1)
     least = max(LEAST, LEAST_SHARE * n1)
 
     def holding(label: bool, only: set[bytes] | None) -> Counter:
         """Documents of the label that hold each word."""
         out: Counter = Counter()
+        seen = np.zeros(0, np.uint64)
         for piece in pieces:
             words = Words(piece)
             use = np.flatnonzero((toxic[piece.first + words.texts] == label) & (words.ends - words.starts >= 5) & (words.ends - words.starts <= 42))
-            # Once for each text and word.
+            # Once for each group of texts and word: in this piece, then over pieces.
             spans = tk.Texts(words.data, np.array([len(words.data) - 1]), 0).hashes(words.starts[use], words.ends[use])
-            _, first = np.unique(spans + words.texts[use].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-            out.update(w for w in map(words.string, use[first]) if only is None or w in only)
+            keys, first = np.unique(spans + groups[piece.first + words.texts[use]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+            new = ~np.isin(keys, seen)
+            seen = np.union1d(seen, keys[new])
+            out.update(w for w in map(words.string, use[first[new]]) if only is None or w in only)
         return out
 
-    bad = {w: c for w, c in holding(True, None).items() if c >= least}
+    every = holding(True, None)
+    bad = {w: c for w, c in every.items() if c >= least}
     good = holding(False, set(bad))
     value = {w: (np.log((c + 0.2) / n1) - np.log((good[w] + 0.2) / n0)) * np.sqrt(c) for w, c in bad.items()}
-    best = sorted((w for w in value if value[w] > 0), key=lambda w: (-value[w], w))[:CANDIDATES]
+    # Of all these words, one at most is expected to be so uneven by chance.
+    share, most = n1 / (n1 + n0), np.log(max(len(every), 1) / CHANCE)
+    best = sorted((w for w in value if value[w] > 0 and _uneven(bad[w], good[w], share) > most), key=lambda w: (-round(value[w], 9), -len(w), w))[:CANDIDATES]
     chosen: list[bytes] = []
     if best:
         alike = Landmarks(best)
@@ -397,7 +481,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     if not toxic.any() or toxic.all():
         return none
     pieces = list(tk.pieces(pa.array(texts, pa.string())))
-    landmarks = _chosen(pieces, toxic)
+    landmarks = _chosen(pieces, toxic, _groups(texts))
     if not landmarks.words:
         return none
     weigh = lambda y: np.where(y, prior / max(y.sum(), 1), (1 - prior) / max((~y).sum(), 1))
@@ -431,8 +515,11 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     x = np.concatenate((kernels[use], extra, np.zeros((1, len(landmarks.words)))))
     y = np.concatenate((bad[use], np.ones(len(extra), bool), [False]))
     model.weights = _machine(x @ landmarks.whiten, y, even(y))
-    raw = np.concatenate([model.raw(p) for p in pieces])
-    model.curve = _curve(raw, toxic, weigh(toxic) * len(toxic))
+    worst, count = (np.concatenate(x) for x in zip(*map(model.worst, pieces), strict=True))
+    weight = weigh(toxic) * len(toxic)
+    # The least of the weights of the count that divide best.
+    model.more = max(MORE, key=lambda m: (round(_best_f1(worst + m * np.log1p(count), toxic, weight), 3), -m))
+    model.curve = _curve(worst + model.more * np.log1p(count), toxic, weight)
     return model
 
 
@@ -456,7 +543,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     # Without what the driver remembers of words.
     marks = Landmarks(model.landmarks.words)
     marks.tuned(model.landmarks.floor)
-    sent = docs.sparkSession.sparkContext.broadcast(Model(marks, model.weights, model.curve))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(marks, model.weights, model.curve, model.more))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
