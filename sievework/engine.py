@@ -6,7 +6,7 @@ import re
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.embedding import CODE_QUERY, QUERY, Embedder, HashEmbedder, document_prompt, embedded
@@ -24,6 +24,8 @@ BATCH, LARGEST = 10_000, 1 << 30
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, make: type[Embedder] = HashEmbedder):
         self.spark, self.index_tables, self.make, self.warning = spark, Index(spark, folder), make, None
+        #: Files and bytes that the last crawl has seen.
+        self.crawled: dict[str, int] = {}
         self.vectors = upkeep.QueryVectors(lambda text, code: [float(x) for x in make().embed([(CODE_QUERY if code else QUERY).format(text)])[0]])
 
     def reset_on_change(self) -> None:
@@ -37,11 +39,15 @@ class Engine:
     def index(self, root: str) -> DataFrame:
         """Brings the index in step with a folder of text documents; returns the changes' counts."""
         upkeep.adopt(self._meta("fingerprint"), upkeep.fingerprint(self.make().name), self.reset_on_change)
-        crawled = sources.with_inodes(sources.crawl(self.spark, root).where("action = 'index'").select("path", "kind", "size", "mtime"))
+        seen = Observation("crawl")
+        # The folder is walked once, for all that follows.
+        crawled = sources.crawl(self.spark, root, progress=seen).where("action = 'index'").select("path", "kind", "size", "mtime", "inode", "device").cache()
         changes = sync.reconcile(self.index_tables.table("files"), crawled, [root]).cache()
         counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        self.crawled = seen.get
         self.index_tables.apply(changes, crawled)
         changes.unpersist()
+        crawled.unpersist()
         while self._read_some():
             pass
         self.index_tables.compact()

@@ -8,6 +8,7 @@ interface that one implements.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import zipfile
@@ -17,11 +18,13 @@ from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import rules
 
+from . import folder_source
+
 ENTRY_CAP, TEXT_CAP = 64 << 20, 10_000_000
 OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
@@ -32,13 +35,24 @@ class MediaReader(Protocol):
     def segments(self, content: bytes) -> Iterator[tuple[str, float, float, str]]: ...
 
 
-def crawl(spark: SparkSession, root: str, include_code: bool = False) -> DataFrame:
-    """path, kind, size, mtime of the files under root worth indexing; the rest with the reason they are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(plain.alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
-    rows = rows.where(rules.is_walked(F.col("path"), F.lit(root.rstrip("/"))))
-    return rows.withColumn("class", rules.classify(F.col("path"), include_code=include_code)).select("path", "class.action", "class.kind", "class.reason", "size", "mtime")
+def crawl(spark: SparkSession, root: str, include_code: bool = False, progress: Observation | None = None, excluded: list[str] = ()) -> DataFrame:
+    """path, action, kind, reason, size, mtime, inode, device of the files under root: those worth indexing, and the rest
+    with the reason they are left out. progress: gets `files` and `bytes` once the crawl is read.
+
+    A folder that executors see is walked by the source `folder`, which lists nothing that it doesn't enter; other
+    stores are listed by Spark's own reader, and have no inodes."""
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", root):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+        rows = found.select("path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.xxhash64("path").alias("inode"), F.lit(0).cast("long").alias("device"), F.lit(None).cast("string").alias("left"))
+        rows = rows.where(rules.is_walked(F.col("path"), F.lit(root.rstrip("/"))))
+    else:
+        folder_source.register(spark)
+        found = spark.read.format("folder").option("excluded", json.dumps(list(excluded))).option("code", include_code).load(re.sub("^file:/*", "/", root))
+        rows = found.where(~F.col("folder") & ~rules.name_of(F.col("path")).startswith(".")).select("path", "size", "mtime", "inode", "device", F.col("reason").alias("left"))
+    rows = rows.withColumn("class", rules.classify(F.col("path"), include_code=include_code))
+    action = F.when(F.col("left").isNotNull(), "skip").otherwise(F.col("class.action"))
+    out = rows.select("path", action.alias("action"), "class.kind", F.coalesce("left", "class.reason").alias("reason"), "size", "mtime", "inode", "device")
+    return out if progress is None else out.observe(progress, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def with_inodes(files: DataFrame) -> DataFrame:
