@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework import registry_sql as Q
 from sievework.operators import folders as D
-from sievework.operators import vectors
+from sievework.operators import hours, vectors
 from sievework.operators.keyword_index import KeywordIndex
 from sievework.plans.delta import DeltaStore
 from sievework.plans.stored import index_folder, stored
@@ -131,3 +131,23 @@ u AS (SELECT t.* FROM t WHERE NOT regexp_matches(substr(t.folder, length(t.top)
 SELECT folder, choice FROM d WHERE CASE WHEN choice = 'skipped' THEN EXISTS (SELECT 1 FROM t WHERE t.folder = d.folder) ELSE NOT EXISTS (SELECT 1 FROM u WHERE u.folder = d.folder AND u.choice = d.choice) END""")
 def folder_choices(spark, sf_dir):
     return D.effective(_choices(spark, sf_dir)[1])
+
+
+# --- hours ---------------------------------------------------------------------------------------------------------
+
+_LOCAL = "extract(hour FROM {0} + o * INTERVAL 1 HOUR) * 60 + extract(minute FROM {0} + o * INTERVAL 1 HOUR) BETWEEN 150 AND 1319"
+
+
+@query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) + CAST(event_id % 366 AS INT) * INTERVAL 1 DAY AS ts FROM events),
+p(f, t, o) AS (VALUES (TIMESTAMP '2023-10-29 01:00:00', TIMESTAMP '2024-03-31 01:00:00', 1), (TIMESTAMP '2024-03-31 01:00:00', TIMESTAMP '2024-10-27 01:00:00', 2), (TIMESTAMP '2024-10-27 01:00:00', TIMESTAMP '2025-03-30 01:00:00', 1)),
+d AS (SELECT unnest(range(TIMESTAMP '2023-12-28', TIMESTAMP '2025-02-08', INTERVAL 1 MINUTE)) AS u),
+m AS (SELECT u, {_LOCAL.format('u')} AS is_open FROM d JOIN p ON u >= f AND u < t),
+x AS (SELECT u FROM (SELECT u, is_open, lag(is_open) OVER (ORDER BY u) AS was FROM m) WHERE is_open <> was),
+n AS (SELECT e.event_id, e.ts, x.u FROM e ASOF JOIN x ON e.ts < x.u)
+SELECT event_id, {_LOCAL.format('ts')} AS open, epoch(u)::BIGINT AS next_change FROM n JOIN p ON ts >= f AND ts < t""")
+def hours_by_zone(spark, sf_dir):
+    """From 02:30 to 22:00 in Berlin: on the night that clocks go forward 02:30 doesn't exist, in autumn it comes twice."""
+    at = F.unix_timestamp(F.date_trunc("second", F.col("ts")).cast("timestamp")) + (F.col("event_id") % 366) * hours.DAY
+    events = table(spark, sf_dir, "events").select("event_id", at.alias("at"))
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    return hours.with_hours(events, "at", 150, 1320, "Europe/Berlin", first, last).select("event_id", "open", "next_change")
