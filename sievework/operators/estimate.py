@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +55,67 @@ def subfolder(path: Column, folder: str) -> Column:
     return F.when(below != "", F.concat(F.lit(folder + "/"), below)).otherwise(F.lit(folder))
 
 
+MAPS = "name string, first long, since array<double>, scale array<double>, units array<double>, seconds array<double>"
+
+
+def _composed(units: np.ndarray, seconds: np.ndarray, most: float, top: float) -> list[np.ndarray]:
+    """What a run of jobs makes of any tally of `top` units at most before it: from `since[k]` units on, scale[k] times that tally, plus units[k]
+    and seconds[k]. One job halves what is above `most`, so each may cut one of the pieces in two."""
+    since, scale, u, s = (np.array([x]) for x in (0.0, 1.0, 0.0, 0.0))
+    for more, took in zip(units.tolist(), seconds.tolist(), strict=True):
+        # A tally of so long ago that nothing is left of it (a scale of zero) decides nothing any more.
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            cut = (most - u) / scale
+        inner = np.flatnonzero((cut >= since) & (np.nextafter(cut, np.inf) < np.append(since[1:], top)))
+        if len(inner):
+            # Above the cut a piece of its own begins; exactly at it nothing is halved yet.
+            at = inner + 1
+            since, scale, u, s = np.insert(since, at, np.nextafter(cut[inner], np.inf)), np.insert(scale, at, scale[inner]), np.insert(u, at, u[inner]), np.insert(s, at, s[inner])
+            cut = np.insert(cut, at, cut[inner])
+        half = np.where(since > cut, 0.5, 1.0)
+        scale, u, s = scale * half, u * half + more, s * half + took
+    return [since, scale, u, s]
+
+
 def tallies(jobs: DataFrame) -> DataFrame:
     """name, seconds, units after jobs (seq, name, units, seconds) in order: past ten times what is enough, what came
-    before is halved. An ordered fold over each name's jobs."""
+    before is halved.
+
+    An ordered fold, in parallel: jobs lie in ranges of (name, seq), and each range composes its jobs to one map from a tally
+    before it to the one after it, piece by piece linear. Then each name's maps are applied in order, one for each range,
+    however many jobs it has. Null names are a name; jobs of equal number come in the order of their units and seconds."""
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Ranges hold one task's jobs; of them only the columns stay until the name ends.
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names = table["name"].to_pylist()
+        cuts = [k for k in range(len(names)) if not k or names[k] != names[k - 1]] + [len(names)]
+        out = []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            most = 10.0 * ENOUGH.get(names[low], 20)
+            own = [table[c].slice(low, high - low).to_numpy() for c in ("seq", "units", "seconds")]
+            out.append((names[low], int(own[0][0]), *(x.tolist() for x in _composed(own[1], own[2], most, max(most, 2 * largest) + largest))))
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1]), *(pa.array(c, pa.list_(pa.float64())) for c in columns[2:])], [c.split()[0] for c in MAPS.split(", ")])
+
+    rows = jobs.where("units > 0 and seconds > 0").select("name", F.col("seq").cast("long").alias("seq"), F.col("units").cast("double").alias("units"), F.col("seconds").cast("double").alias("seconds"))
+    # No tally is above what the largest job can make of one.
+    largest = rows.agg(F.max("units")).first()[0] or 0.0
+    maps = rows.repartitionByRange("name", "seq").sortWithinPartitions("name", "seq", "units", "seconds").mapInArrow(composed, MAPS)
+    # A map for each range that holds the name.
+    ordered = maps.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("first", "since", "scale", "units", "seconds"))).alias("maps"))
     state = "struct<s:double,u:double>"
-    enough = F.coalesce(*[F.when(F.col("name") == k, F.lit(float(v))) for k, v in ENOUGH.items()], F.lit(20.0))
-    ordered = jobs.where("units > 0 and seconds > 0").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "units", "seconds"))).alias("jobs"))
-    ordered = ordered.withColumn("enough", enough)
 
-    def step(acc, job):
-        half = F.when(acc["u"] > 10 * F.col("enough"), 0.5).otherwise(1.0)
-        return F.struct((acc["s"] * half + job["seconds"]).alias("s"), (acc["u"] * half + job["units"]).alias("u")).cast(state)
+    def step(acc, m):
+        piece = F.size(F.filter(m["since"], lambda x: x <= acc["u"]))
+        of = lambda c: F.element_at(m[c], piece)
+        return F.struct((acc["s"] * of("scale") + of("seconds")).alias("s"), (acc["u"] * of("scale") + of("units")).alias("u")).cast(state)
 
-    folded = ordered.withColumn("t", F.aggregate("jobs", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("u")), step))
+    folded = ordered.withColumn("t", F.aggregate("maps", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("u")), step))
     return folded.select("name", F.col("t.s").alias("seconds"), F.col("t.u").alias("units"))
 
 
