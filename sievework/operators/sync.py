@@ -17,9 +17,13 @@ def reconcile(stored: DataFrame, crawled: DataFrame, present_roots: list[str] |
     """path, change, old_path: added, changed, moved, removed, unchanged. Both have path, size, mtime, inode, device.
 
     By path first, then what is left by (device, inode): a file of the same size and time (within a millisecond) at a
-    path that is gone has moved. A stored file counts once, for the first crawled path. Files under a root that is not
-    there now are not removed."""
-    s = stored.select(F.col("path").alias("s_path"), *[F.col(c).alias(f"s_{c}") for c in ("size", "mtime", "inode", "device")])
+    path that is gone has moved. A stored file counts once, for the first crawled path. Of rows that repeat a path, on
+    either side, the one with the least inode counts (then device, size, time). Files under a root that is not there now
+    are not removed."""
+    facts = ("inode", "device", "size", "mtime")
+    once = lambda rows: rows.groupBy("path").agg(F.min(F.struct(*facts)).alias("f")).select("path", "f.*")
+    crawled, stored = once(crawled), once(stored)
+    s = stored.select(F.col("path").alias("s_path"), *[F.col(c).alias(f"s_{c}") for c in facts])
     both = crawled.join(s, crawled["path"] == s["s_path"], "full_outer")
     same = (F.col("size") == F.col("s_size")) & (F.abs(F.col("mtime") - F.col("s_mtime")) <= TOLERANCE)
     known = both.where("path is not null and s_path is not null").select("path", F.when(same, "unchanged").otherwise("changed").alias("change"), F.lit(None).cast("string").alias("old_path"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from sievework import registry_sql as Q
 from sievework.operators import folders as D
-from sievework.operators import hours, vectors
+from sievework.operators import hours, media, sync, vectors
 from sievework.operators.keyword_index import KeywordIndex
 from sievework.plans.delta import DeltaStore
 from sievework.plans.stored import index_folder, stored
-from sievework.registry import _MATCHED, _ROWS_SQL, _SCORED, SIX, TERMS, _index, _query_vector, _rows, _vectors, query, table
+from sievework.registry import _MATCHED, _PATHS, _ROWS_SQL, _SCORED, SIX, TERMS, _index, _query_vector, _rows, _two_crawls, _vectors, query, table
 
 # --- keywords ------------------------------------------------------------------------------------------------------
 
@@ -72,6 +72,19 @@ def changed_tables(spark, sf_dir):
     return store.table("orders")
 
 
+@query(f"""WITH {_PATHS}, s AS (SELECT path, min(id) AS id, arg_min(size, id) AS size FROM paths WHERE id % 10 <> 1 GROUP BY path),
+c AS (SELECT path, min(id) AS id, arg_min(size, id) AS size, arg_min(mt, id) AS mt FROM (SELECT CASE WHEN id % 10 = 3 THEN '/new' || path ELSE path END AS path, id, CASE WHEN id % 10 = 4 THEN size + 1 ELSE size END AS size, size AS mt
+  FROM paths WHERE id % 10 <> 2) GROUP BY path),
+f AS (SELECT c.path AS cp, s.path AS sp, c.id AS ci, s.id AS si, c.size AS cs, s.size AS ss, c.mt AS cm FROM c FULL JOIN s ON c.path = s.path),
+m AS (SELECT n.cp, g.sp FROM f n JOIN f g ON n.sp IS NULL AND g.cp IS NULL AND n.ci = g.si AND n.cs = g.ss AND n.cm = g.ss)
+SELECT cp AS path, CASE WHEN cs = ss AND cm = ss THEN 'unchanged' ELSE 'changed' END AS change, NULL AS old_path FROM f WHERE cp IS NOT NULL AND sp IS NOT NULL
+UNION ALL SELECT cp, 'moved', sp FROM m UNION ALL SELECT cp, 'added', NULL FROM f WHERE sp IS NULL AND cp NOT IN (SELECT cp FROM m)
+UNION ALL SELECT sp, 'removed', NULL FROM f WHERE cp IS NULL AND sp NOT IN (SELECT sp FROM m)""")
+def repeated_paths_sync(spark, sf_dir):
+    """Two crawls in which paths repeat, all rows of them."""
+    return sync.reconcile(*_two_crawls(spark, sf_dir))
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +103,16 @@ def query_scale(spark, sf_dir):
     return spark.createDataFrame(rows, "modality string, mean double, mu double, sigma double").select("modality", *[SIX(c).alias(c) for c in ("mean", "mu", "sigma")])
 
 
+_STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@query(f"SELECT vec_id, [CASE WHEN x = 0 THEN CAST(0 AS DOUBLE) ELSE round_even(x / {_STEP}, 0) * {_STEP} END FOR x IN CAST(embedding AS DOUBLE[])] AS half FROM embeddings")
+def half_rounding(spark, sf_dir):
+    """What a vector is after it was stored as 16-bit floats: 11 bits, half to even."""
+    back = media.from_half(media.half_bytes(F.col("embedding"))).cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", back.alias("half"))
+
+
 # --- folders -------------------------------------------------------------------------------------------------------
 
 _HOME = "'/home/' || CAST({0} % 100 AS VARCHAR) || '/' || CAST({0} AS VARCHAR)"
