@@ -16,7 +16,7 @@ The title of a licence ("title:X") followed by the words that begin its text ("t
 from there to the next title, or to the first sentence after the appendix that shows how to apply it, belongs to that
 text. A GNU title gives the version's `-only` identifier: a text alone grants no later version.
 
-"All rights reserved" makes a text proprietary only where no other licence is found.
+"All rights reserved" makes a text proprietary; of documents (`scanned`) only those in which no other licence is found.
 
 Defined cases: a null or empty text has no sentences and no licence; repeated rows are each scanned; a text of any
 length is scanned whole, in time in proportion to its length; an empty table gives an empty result; ids are passed
@@ -216,6 +216,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     *_gnu_rules(),
     ("public-domain", ("public-domain",)),
     ("proprietary", ("confidential",)),
+    ("proprietary", ("reserved",)),
 ]
 #: Sentences between a title and the words that begin its text, at most.
 HEADING = 8
@@ -257,7 +258,9 @@ def _literal(pattern: str) -> str:
 
 
 class Scanner:
-    def __init__(self, sentences=None, rules=None, gap: int = GAP):
+    """alone: rights that are reserved count only where no other licence is found."""
+
+    def __init__(self, sentences=None, rules=None, gap: int = GAP, alone: bool = False):
         self.sentences = [(name, _literal(pattern), _within(name, pattern)) for name, pattern in (sentences or SENTENCES)]
         #: Names that may follow "licensed under", each alone; and in lists of them.
         self.named = [] if sentences else [(name, _within("named:", rf"(?:the )?(?:{pattern}){_TAIL}", "", "")) for name, pattern in NAMED]
@@ -273,7 +276,7 @@ class Scanner:
                 self.spdx_ids[base.lower()] = f"{base}-only"
                 self.spdx_ids[base.lower() + "+"] = f"{base}-or-later"
         self.rules = sorted(rules or RULES, key=lambda r: -len(r[1]))
-        self.gap = gap
+        self.gap, self.alone = gap, alone
 
     def _expression(self, line: str) -> Iterator[str]:
         """The licences of an SPDX expression, each with its exception."""
@@ -369,8 +372,8 @@ class Scanner:
                     licences.append((parts[-1][0], licence))
                     parts = [(), *[None] * len(rule)]
         licences += [(at, name.split(":", 1)[1]) for at, (_, name) in enumerate(found) if free[at] and name.startswith(("named:", "spdx:"))]
-        if not licences:
-            licences = [(at, "proprietary") for at, (_, name) in enumerate(found) if name == "reserved"]
+        others = [(at, x) for at, x in licences if found[at][1] != "reserved"]
+        licences = others if self.alone and others else licences
         return [x for _, x in sorted(licences)], [name for _, name in found]
 
 
@@ -379,7 +382,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sen
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scanner(sentences, rules)
+        own = Scanner(sentences, rules, alone=True)
         for batch in batches:
             found = [own.scan(t.as_py() or "") for t in batch.column(1)]
             lists = [pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1)]

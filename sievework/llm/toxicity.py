@@ -7,7 +7,8 @@ letters take a little off. The floor lies above the words of clean documents, wh
 has the gap before and after it as letters. Only words whose kernel over three-letter subsequences within five letters
 reaches `NEAR` are compared in full. Marks between letters are left out first, and
 letters that stand apart ("i d i o t") are joined. A word of more than `LONG` letters counts as its overlapping parts, and a longer
-word's beginnings of `BEGINNINGS` bytes count as words too, so that a stem is found with any ending. A sentence's kernel with a landmark is its best word's.
+word's beginnings of `BEGINNINGS` bytes count as words too (and are landmarks where several words share them), so that
+a stem is found with any ending. A sentence's kernel with a landmark is its best word's.
 
 Landmarks are words that documents labelled toxic hold much oftener than others, more than chance explains among so many words,
 unlike each other; copies and near copies of a document count once. The sentences'
@@ -55,8 +56,11 @@ MORE = (0.0, 0.1, 0.25, 0.5, 1.0)
 GROUPS = 24
 #: Pairs of least hashes by which copies are known.
 BANDS = 3
-#: Bytes of the beginnings of words that count as words too.
-BEGINNINGS = (5, 7)
+#: Bytes of the beginnings of words that count as words too, and the letter that ends them, so that they are unlike short
+#: words.
+BEGINNINGS, CUT = (5, 7), 1
+#: Documents that hold a beginning, for each that holds the most frequent word with it, at least.
+SEVERAL = 1.2
 #: Letters of the longest word that is taken whole (even); landmarks are shorter.
 LONG = 64
 #: Words that a worker remembers as far from all landmarks, before it starts anew.
@@ -124,13 +128,12 @@ class Words:
             long = np.flatnonzero(ends - starts - 2 > n)
             # No letter is cut in two.
             long = long[(self.data[starts[long] + n + 1] & 0xC0) != 0x80]
-            letters = self.data[starts[long, None] + np.arange(n + 2)]
-            letters[:, -1] = 32
+            letters = np.concatenate((self.data[starts[long, None] + np.arange(1, n + 1)], np.full((len(long), 2), [CUT, 32], np.uint8)), 1)
             # A gap belongs to the words on both its sides.
-            data.append(letters[:, 1:].ravel())
-            first = at - 1 + (n + 1) * np.arange(len(long))
-            items.append((first, first + n + 2, texts[long], sentences[long]))
-            at += letters[:, 1:].size
+            data.append(letters.ravel())
+            first = at - 1 + (n + 2) * np.arange(len(long))
+            items.append((first, first + n + 3, texts[long], sentences[long]))
+            at += letters.size
         self.data = np.concatenate([*data, np.full(SPAN, 32, np.uint8)])
         self.starts, self.ends, self.texts, self.sentences = (np.concatenate(x) for x in zip(*items, strict=True))
 
@@ -195,7 +198,7 @@ class Landmarks:
         self.letters = _padded(data, starts, ends, int((ends - starts).max(initial=0)))
         self.alone = _full(self.letters, self.letters) if self.words else np.zeros(0)
         # Each landmark with a letter of no word inserted at each place.
-        forms = [(m, w[:at] + b"\1" + w[at:]) for m, w in enumerate(self.words) for at in range(1, len(w))]
+        forms = [(m, w[:at] + b"\2" + w[at:]) for m, w in enumerate(self.words) for at in range(1, len(w))]
         self.top = np.ones(len(self.words), np.float32)
         if forms:
             mark, spans = np.array([m for m, _ in forms]), _letters([w for _, w in forms])
@@ -331,10 +334,11 @@ def _curve(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         hess = np.array([[(h * score * score).sum() + 1e-3, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
         da, db = np.linalg.solve(hess, grad)
         a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    # The curve's slope stays; it passes THRESHOLD in the middle of the scores whose F1 is the best or close to it.
+    # The curve's slope stays; it passes THRESHOLD below the least score whose F1 is the best or close to it, since a tampered
+    # insult that stands alone scores lower than most toxic documents of the sample.
     order, f1 = _f1(score, y, weight)
     good = np.flatnonzero(f1 >= f1.max() - CLOSE)
-    cut = (float(score[order][good[0]]) + float(score[order][good[-1]])) / 2
+    cut = float(score[order][good[-1]])
     below = score[score < cut]
     cut = (cut + float(below.max())) / 2 if len(below) else cut
     a = max(float(a), 2.0)
@@ -456,6 +460,12 @@ def _chosen(pieces: list[tk.Texts], toxic: np.ndarray, groups: np.ndarray) -> La
     value = {w: (np.log((c + 0.2) / n1) - np.log((good[w] + 0.2) / n0)) * np.sqrt(c) for w, c in bad.items()}
     # Of all these words, one at most is expected to be so uneven by chance.
     share, most = n1 / (n1 + n0), np.log(max(len(every), 1) / CHANCE)
+    # A beginning says more than the words only where several of them begin so.
+    largest: Counter = Counter()
+    for w, c in bad.items():
+        for n in BEGINNINGS:
+            largest[w[:n]] = max(largest[w[:n]], c if w[-1] != CUT else 0)
+    value = {w: v for w, v in value.items() if w[-1] != CUT or bad[w] > SEVERAL * largest[w[:-1]]}
     best = sorted((w for w in value if value[w] > 0 and _uneven(bad[w], good[w], share) > most), key=lambda w: (-round(value[w], 9), -len(w), w))[:CANDIDATES]
     chosen: list[bytes] = []
     if best:
