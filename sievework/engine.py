@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.embedding import CODE_QUERY, QUERY, Embedder, HashEmbedder, document_prompt, embedded
-from sievework.functions.text import excerpt, has_prose
-from sievework.operators import estimate, evaluate, segment, sync, upkeep
+from sievework.functions.passages import snippet_of
+from sievework.functions.text import excerpt, has_prose, query_terms
+from sievework.operators import estimate, evaluate, folders, rules, segment, sync, upkeep
 from sievework.operators.keyword_index import KeywordIndex
-from sievework.operators.search import search, search_many
+from sievework.operators.search import pointed, search, search_many, with_excerpts
 from sievework.operators.store import Index
 from sievework.sources import files as sources
 
@@ -98,12 +99,24 @@ class Engine:
     def _keywords(self) -> KeywordIndex:
         return self.index_tables.keywords()
 
-    def search(self, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
+    def search(self, query: str, kinds: list[str] | None = None, limit: int = 20, typing: bool = False, choices: DataFrame | None = None, types: list[str] = (), excerpts: bool = False) -> DataFrame:
+        """The best files of a query. typing: its last word may go on. choices (folder, choice) and types (extensions left out)
+        are applied after the limit. excerpts: adds points_at and excerpt, for which only the hits' own texts are read."""
         files, segments = self.index_tables.table("files").select(F.col("id").alias("file"), "path"), self._segments()
         usable, self.warning = upkeep.usable_vector(self._meta("vector_source"), self.make().name)
         q = self.spark.createDataFrame([(self.vectors.of(query),)], "q array<float>") if usable else None
-        hits = search(segments, q, self._keywords(), query, kinds, limit)
-        return hits.join(files, "file").orderBy(F.desc("score"), "file")
+        hits = search(segments, q, self._keywords(), query, kinds, limit, typing=typing).join(files, "file")
+        if types:
+            hits = hits.where(~rules.extension_of(F.col("path")).isin(list(types)))
+        if choices is not None:
+            hits = folders.standing(hits, choices).where("searched").drop("searched", "searched_as")
+        if excerpts:
+            hits = pointed(hits)
+            texts = self.index_tables.table("fts").join(hits.select(F.col("keyword_segment").alias("rowid")), "rowid", "left_semi")
+            written = F.concat_ws(" ", F.nullif("name", F.lit("")), F.coalesce("original", "body"))
+            snippets = texts.select(F.col("rowid").alias("id"), snippet_of(written, query_terms(query)).alias("snippet"))
+            hits = with_excerpts(hits, self.index_tables.table("segments").select("id", "kind", "loc", "excerpt"), snippets)
+        return hits.orderBy(F.desc("score"), "file")
 
     def status(self) -> DataFrame:
         return sync.counts(self.index_tables.table("files"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
 import regex
@@ -51,13 +53,32 @@ def spans(word: str, text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _best_window(places: list[tuple[int, int]], width: int) -> int:
+    """The place at which the first window of `width` words begins that holds most different terms. places: (word, term) in
+    the order of the text."""
+    held, best, end = Counter(), (0, 0), 0
+    for word, term in places:
+        while end < len(places) and places[end][0] < word + width:
+            held[places[end][1]] += 1
+            end += 1
+        best = max(best, (len(held), -word))
+        held[term] -= 1
+        if not held[term]:
+            del held[term]
+    return -best[1]
+
+
 def snippet(text: str, terms: list[str], words: int = SNIPPET_WORDS) -> str | None:
-    """About `words` words around the first match, matches between guillemets."""
-    marks = sorted(s for t in terms for s in spans(t, text))
+    """About `words` words with most different terms, matches between guillemets."""
+    marks = sorted((s, k) for k, t in enumerate(terms) for s in spans(t, text))
     if not marks:
         return None
     tokens = [m.span() for m in re.finditer(r"\S+", text)]
-    first = next(i for i, (_, e) in enumerate(tokens) if e > marks[0][0])
+    ends, places = [e for _, e in tokens], []
+    for (start, _), term in marks:
+        places.append((bisect_right(ends, start), term))
+    marks = [s for s, _ in marks]
+    first = _best_window(places, words)
     lo = max(0, first - words // 3)
     shown = tokens[lo : lo + words + 1]
     out, at = "…" if lo else "", shown[0][0]
