@@ -7,7 +7,7 @@ last return the columns of documents.
 from __future__ import annotations
 
 from sievework.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from sievework.llm.shared import read, written
+from sievework.llm.shared import discard, read, written
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = read(spark, sf_dir)
+    docs, before = read(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline")
+        # What a stage has read is not needed once it is done.
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
