@@ -8,19 +8,19 @@ Three tables of a `DeltaStore`:
 - words: each token's rows and uses; changes add differences, also negative ones.
 
 Buckets hold rows of like length, so that a bucket's bound is close. Tasks cut texts into tokens batch by batch, each
-distinct word once, and give whole blocks; only these are sorted, by token and least length. A change writes blocks, rows and words of its
-own rows, and the keys of what goes; parts are merged level by level. The number of rows and their whole length are
-figures of the store, kept by differences.
+distinct word once, and give whole blocks in runs that are sorted by token and row length. Blocks and rows are written
+as they are cut, in one job: of a build only the vocabulary is shuffled. A change writes blocks, rows and words of its
+own rows, and the keys of what goes; parts are merged level by level, which sorts them as a whole. The number of rows and
+their whole length are figures of the store, kept by differences.
 
-A search filters blocks by its tokens, which reaches the Parquet scan; document frequencies come from the words alone,
-and no search reads a text. For the best rows (`top`), blocks' bounds are added up by bucket: buckets are read from the
+A search filters blocks by its tokens, which reaches the Parquet scan and its small pages; document frequencies come from
+the words alone, and no search reads a text. For the best rows (`top`), blocks' bounds are added up by bucket: buckets are read from the
 highest sum downwards until no other can hold a row of the best.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +48,7 @@ BUCKET, CHARS, PART_BITS, TASK_BITS = 64, 4 << 20, 44, 24
 SMALL, SHARE = 1_000_000, 16
 #: Frequencies that an index remembers.
 SEEN = 10_000
-_CUT = "token string, bucket long, n int, uses long, strongest double, shortest int, postings array<" + POSTING + ">, rowid long, file long, length int, tokens array<struct<token:string,uses:int>>"
+_CUT = "kind string, token string, bucket long, n int, uses long, strongest double, shortest int, postings array<" + POSTING + ">, rowid long, file long, length int, tokens array<struct<token:string,uses:int>>"
 
 
 def _offsets(starts: np.ndarray, total: int) -> pa.Array:
@@ -110,14 +110,14 @@ def _cut(table: pa.Table, tokens: Tokens, first_bucket: int, size: int = BUCKET)
     per_row = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(at, minlength=rows))])
     forward = pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), pa.StructArray.from_arrays([vocabulary.take(pa.array(token[by_row])), pa.array(used[by_row].astype(np.int32))], ["token", "uses"]))
     rest = [own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(lengths.astype(np.int32)), forward]
-    heading = ["token", "bucket", "n", "uses", "strongest", "shortest", "postings", "rowid", "file", "length", "tokens"]
-    whole = lambda arrays: pa.RecordBatch.from_arrays(arrays, heading)
-    return whole([*blocks, *(none(k, n) for k in kinds)]), whole([*(none(b.type, rows) for b in blocks), *rest]), -(-rows // size)
+    heading = ["kind", "token", "bucket", "n", "uses", "strongest", "shortest", "postings", "rowid", "file", "length", "tokens"]
+    whole = lambda kind, arrays: pa.RecordBatch.from_arrays([pa.array([kind] * len(arrays[0]), pa.string()), *arrays], heading)
+    return whole("blocks", [*blocks, *(none(k, n) for k in kinds)]), whole("rows", [*(none(b.type, rows) for b in blocks), *rest]), -(-rows // size)
 
 
 def tokenized(rows: DataFrame, number: int) -> DataFrame:
-    """Blocks (rowid null) and rows (token null) of rows (rowid, file, name, body); null texts are empty. A bucket's number
-    holds that of the part, of the task, and a count."""
+    """Blocks and rows, by `kind`, of rows (rowid, file, name, body); null texts are empty. A bucket's number holds that of
+    the part, of the task, and a count."""
 
     bucket_rows, most = BUCKET, CHARS
 
@@ -179,18 +179,12 @@ class KeywordIndex:
             change.add(keyword_rows=-count, keyword_length=-int(length))
 
     def add(self, change: Change, rows: DataFrame) -> None:
-        """Adds rows (rowid, file, name, body). Texts are cut into tokens once: sorting and counting read what is written
-        aside."""
-        aside = f"{self.store.folder}/aside-{uuid.uuid4().hex}"
-        tokenized(rows, change.number).write.parquet(aside)
-        cut = self.spark.read.schema(_CUT).parquet(aside)
-        blocks, own = cut.where("token is not null"), cut.where("token is null")
-        change.append(self.names["blocks"], sorted_blocks(blocks))
-        change.append(self.names["rows"], own)
+        """Adds rows (rowid, file, name, body). Texts are cut into tokens once and written once; counting reads what was
+        written."""
+        blocks, own = change.append_apart({n: self.names[n] for n in ("blocks", "rows")}, tokenized(rows, change.number), "kind")
         change.append(self.names["words"], sorted_words(blocks.groupBy("token").agg(F.sum("n").alias("docs"), F.sum("uses").alias("uses"))))
         count, length = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         change.add(keyword_rows=count, keyword_length=int(length))
-        self.store._fs.delete(self.store._path(aside), True)
 
     def update(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """A change of its own: rows that go (rowid), then rows (rowid, file, name, body) that come."""

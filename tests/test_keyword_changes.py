@@ -106,3 +106,23 @@ def test_frequencies_read_no_posting(posted):
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,w1)]" in plan.replace("In(token, [w1])", "EqualTo(token,w1)") and "postings" not in plan
     assert posted.known(["w1", "zzz"]) == [True, False] and posted.begun("riv").first()["token"] == "river"
     assert os.path.isdir(posted.store.folder)
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled and spilled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).memoryBytesSpilled() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_the_vocabulary_only(spark, tmp_path):
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(i, i, "n", " ".join(f"w{rng.randint(0, 300)}" for _ in range(400))) for i in range(800)], SCHEMA).repartition(4).localCheckpoint()
+    assert texts.count() == 800
+    before = shuffled(spark)
+    build(texts, str(tmp_path))
+    written = sum(p["bytes"] for p in KeywordIndex(spark, str(tmp_path)).store.versions()["tables"]["blocks"]["parts"])
+    assert written > 500_000 and shuffled(spark) - before < written / 4
+    assert not [f for f in os.listdir(tmp_path) if f.startswith("aside-")]
+    index = KeywordIndex(spark, str(tmp_path))
+    assert index.words.agg(F.sum("uses")).first()[0] == 800 * 401 == index.figures[0] * index.figures[1]
