@@ -46,8 +46,8 @@ KEYS = {"blocks": "rowid", "rows": "rowid"}
 BUCKET, CHARS, PART_BITS, TASK_BITS = 64, 4 << 20, 44, 24
 #: Postings of a search that are read without looking at bounds; share of the postings read first otherwise.
 SMALL, SHARE = 1_000_000, 16
-#: Frequencies that an index remembers.
-SEEN = 10_000
+#: Frequencies that an index remembers; rows that go and are broadcast at most.
+SEEN, SENT = 10_000, 250_000
 _CUT = "kind string, token string, bucket long, n int, uses long, strongest double, shortest int, postings array<" + POSTING + ">, rowid long, file long, length int, tokens array<struct<token:string,uses:int>>"
 
 
@@ -169,6 +169,8 @@ class KeywordIndex:
         """Takes out rows (rowid)."""
         rows = change.table(self.names["rows"])
         ids = rowids.select(F.col("rowid").alias("gone_rowid")).distinct()
+        # Hashed, not sorted: only the few columns of `ids` are held, and the rows with their tokens stream by.
+        ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("shuffle_hash")
         going = rows.join(ids, rows["rowid"].eqNullSafe(F.col("gone_rowid")), "left_semi")
         count, length = going.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         if count:

@@ -126,3 +126,19 @@ def test_a_build_shuffles_the_vocabulary_only(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path) if f.startswith("aside-")]
     index = KeywordIndex(spark, str(tmp_path))
     assert index.words.agg(F.sum("uses")).first()[0] == 800 * 401 == index.figures[0] * index.figures[1]
+
+
+def test_removed_rows_are_hashed_not_sorted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "SENT", 3)
+    rng, index, plans = random.Random(4), KeywordIndex(spark, str(tmp_path)), []
+    index.update(spark.createDataFrame([(i, i, "n", prose(rng)) for i in range(60)], SCHEMA))
+    monkeypatch.setattr(delta.Change, "delete", lambda self, name, keys: plans.append(keys._jdf.queryExecution().executedPlan().toString()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (2, 20):
+            index.remove(index.store.begin(), spark.createDataFrame([(i,) for i in range(n)], "rowid long"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in "".join(plans)
+    assert "BroadcastHashJoin" in plans[0] and "ShuffledHashJoin" in plans[-1]
